@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import pickle
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,3 +43,20 @@ def bounded_rows(df: DataFrame, group: str, most: int, key: str) -> DataFrame:
     share = df.groupBy(group).agg((F.lit(most) / F.count("*")).alias("_share"))
     u = (F.xxhash64(F.col(key).cast("string")).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
     return df.join(F.broadcast(share), group).filter(u < F.col("_share")).drop("_share")
+
+
+_MADE: dict[str, object] = {}
+
+
+def once(key: str, make):
+    """What make() gives, made once in a Python worker for each key; a worker keeps three at the most."""
+    if key not in _MADE:
+        if len(_MADE) >= 3:
+            _MADE.clear()
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+def digest(value: object) -> str:
+    """A key for once()."""
+    return hashlib.sha256(pickle.dumps(value)).hexdigest()

@@ -7,16 +7,42 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, packing, simhash
-from quire.llm.common import table
+from quire.llm import bpe, language, packing, pages, secrets, simhash, syncmers, toxicity, vectors
+from quire.llm.common import fold, table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = language.identify(table(spark, sf_dir, "documents"), fold("doc_id", 3) != 1)
+    return named.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "spans")
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -26,7 +52,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op8_token_counts, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_document_fingerprints, op4_secret_scans, op5_best_fit_packing, op6_language_id, op7_embedding_near_dedup, op8_token_counts, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
