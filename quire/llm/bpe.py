@@ -40,6 +40,12 @@ def chunks(text: str) -> list[str]:
     return [x for x in SPACES.split(text) if x] if ODD.search(text) else text.split()
 
 
+def words(chunk: str) -> list[str]:
+    """The words that a chunk between white spaces is cut into, normalised."""
+    plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
+    return WORD.findall(plain.lower() if plain.isascii() else "".join(map(str.lower, plain)))
+
+
 class Remembered(dict):
     """A bounded table that computes what it lacks."""
 
@@ -74,7 +80,11 @@ class Merger:
         self.seen = Remembered(self.chunk)
 
     def word(self, word: str) -> int:
-        """Initial symbols less merges. The heap holds adjacent pairs by rank, then place; a pair is stale once one side has changed."""
+        """Initial symbols less merges."""
+        return self.merge(word)[1]
+
+    def merge(self, word: str) -> tuple[list[int], int]:
+        """The symbols of a word after all merges, -1 where one went into the symbol before, and how many are left. The heap holds adjacent pairs by rank, then place; a pair is stale once one side has changed."""
         data = word.encode()
         symbols: list[int] = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
         count = size = len(symbols)
@@ -95,12 +105,10 @@ class Merger:
                     heapq.heappush(heap, (*r, at, merged, symbols[beyond]))
             if (ahead := before[at]) >= 0 and (r := self.ranks.get((symbols[ahead], merged))):
                 heapq.heappush(heap, (*r, ahead, symbols[ahead], merged))
-        return count
+        return symbols, count
 
     def chunk(self, chunk: str) -> int:
-        plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
-        plain = plain.lower() if plain.isascii() else "".join(map(str.lower, plain))
-        return sum(map(self.words.__getitem__, WORD.findall(plain)))
+        return sum(map(self.words.__getitem__, words(chunk)))
 
     def count(self, text: str) -> int:
         """Tokens of a text; a special token's string in it is one token."""

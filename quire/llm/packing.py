@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -14,11 +15,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import KEPT, Remembered, chunks
+from quire.llm.bpe import Remembered, chunks, merger, words
 from quire.llm.common import checkpoint, whole
 
 
@@ -163,17 +165,25 @@ def slots(bins: Bins) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-@functools.lru_cache(2)
-def encoder(vocabulary: str):
-    """Chunk -> bytes of its ids, by the library, for chunks without special strings."""
-    from tokenizers import Tokenizer
+class Encoder:
+    """Little-endian 32-bit ids of texts, by the vocabulary's merges; as in counting, a bounded table holds what chunks and words have given."""
+
+    def __init__(self, vocabulary: str):
+        self.merger = merger(vocabulary)
+        self.special = {x["content"]: np.array([x["id"]], dtype="<u4").tobytes() for x in json.loads(vocabulary)["added_tokens"]}
+        self.words = Remembered(lambda word: np.array([x for x in self.merger.merge(word)[0] if x >= 0], dtype="<u4").tobytes())
+        self.seen = Remembered(lambda chunk: b"".join(map(self.words.__getitem__, words(chunk))))
 
-    library = Tokenizer.from_str(vocabulary)
+    def ids(self, text: str) -> bytes:
+        if "<|" in text and self.merger.cut is not None and self.merger.cut.search(text):
+            parts = regex.split(f"({self.merger.cut.pattern})", text)
+            return b"".join(self.special[x] if x in self.special else self.ids(x) for x in parts if x)
+        return b"".join(map(self.seen.__getitem__, chunks(text)))
 
-    def ids(text: str) -> bytes:
-        return np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    return Remembered(ids, KEPT // 2), ids, [x.content for x in library.get_added_tokens_decoder().values()]
+@functools.lru_cache(2)
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
 def document_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -183,13 +193,12 @@ def document_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_c
     last = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, encode, special = encoder(shared.value)
+        encode = encoder(shared.value).ids
         part, met = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
             for key, text in zip(batch["_id"], batch["_text"], strict=True):
-                odd = "<|" in text and any(x in text for x in special)
-                ids = (encode(text) if odd else b"".join(map(seen.__getitem__, chunks(text)))) + last
+                ids = encode(text) + last
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     data = ids[4 * start : 4 * (start + capacity)]
                     length = len(data) // 4
