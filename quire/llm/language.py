@@ -1,104 +1,113 @@
 """Language identification: scripts narrow the candidates, then Viterbi over per-word scores labels spans of mixed text.
 
-A word's score for a language is its mean log-likelihood under the language's character n-grams, as a difference from the best one. Changing the language from one word to the next costs a penalty.
+A word's score for a language is the mean log-likelihood of its letter trigrams there, as a difference from the best language. Changing the language from one word to the next costs a penalty. Texts are handled as arrays of code points, a bounded slice at a time.
 """
 
 from __future__ import annotations
 
-import functools
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import KEPT
-from quire.llm.common import bounded_rows, digest, once, whole
+from quire.llm.common import bounded_rows, checkpoint, digest, once, whole
 
-LETTERS = regex.compile(r"[\p{L}\p{M}]+")
-LETTER = regex.compile(r"\p{L}")
-#: Rows of each language that are learned from, at the most; n-gram lengths; grams kept, the most frequent of each language.
+#: Rows of each language that are learned from, at the most.
 ROWS = 800
-GRAMS = (1, 2, 3, 4)
-KEPT_GRAMS = 60_000
-#: Letters of a word that its grams are taken from: a longer one is cut into words of that many.
-LONGEST = 40
-PENALTY, FLOOR = 14.0, -6.0
+#: Letters told apart, the most frequent ones; two more classes stand for other letters of known scripts and for letters of unknown ones, 0 for the rest.
+ALPHABET = 94
+CLASSES = ALPHABET + 3
+OTHER, FOREIGN = CLASSES - 2, CLASSES - 1
+PLANE = 1 << 16
+WEIGHT, PENALTY, FLOOR = 2.0, 14.0, -6.0
 #: A script counts as a language's own from this share of its letters.
 SCRIPT_SHARE = 0.01
+SLICE = 1 << 20
 
 
-@functools.lru_cache(100_000)
 def script(letter: str) -> str:
     """The script a letter's name begins with, as LATIN, CYRILLIC or CJK."""
     return unicodedata.name(letter, "?").split(" ")[0].split("-")[0]
 
 
-def pieces(chunk: str) -> list[str]:
-    """Lower-case words of letters in a chunk between white space."""
-    words = LETTERS.findall(chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk))
-    return [w[i : i + LONGEST].lower() for w in words for i in range(0, len(w), LONGEST)]
+def points(text: str) -> np.ndarray:
+    """Code points of the text in lower case; those beyond the first plane as its last one, which is no letter."""
+    data = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return np.minimum(data, PLANE - 1)
 
 
-def grams(word: str) -> list[str]:
-    edged = f" {word} "
-    return [edged[i : i + n] for n in GRAMS for i in range(len(edged) - n + 1) if edged[i : i + n] != " "]
+def spaces() -> np.ndarray:
+    return np.array([chr(i).isspace() for i in range(PLANE)])
+
+
+def trigrams(classes: np.ndarray) -> np.ndarray:
+    """A trigram for each place that has a letter: it and both neighbours, non-letters as 0; -1 elsewhere."""
+    edged = np.concatenate([[0], classes, [0]]).astype(np.int32)
+    edged[edged == FOREIGN] = 0
+    tri = (edged[:-2] * CLASSES + edged[1:-1]) * CLASSES + edged[2:]
+    return np.where(edged[1:-1] > 0, tri, -1)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    scores: dict[str, np.ndarray]
-    unseen: np.ndarray
-    scripts: dict[str, np.ndarray]  # script -> mask of the languages written in it
-    seen: dict = field(default_factory=dict)
-    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def word(self, word: str) -> np.ndarray:
-        """Scores, 0 for the best language; a script that no language is written in says nothing."""
-        found = [self.scores.get(g, self.unseen) for g in grams(word)]
-        mean = np.sum(found, axis=0) * (2.0 / (len(word) + 2))
-        mask = self.scripts.get(script(word[0]))
-        if mask is None:
-            return np.zeros(len(self.languages))
-        mean = np.where(mask, mean, -np.inf)
-        return np.maximum(mean - mean.max(), FLOOR)
-
-    def chunk(self, chunk: str) -> tuple[np.ndarray, int]:
-        """Scores of the words of a chunk in all, and its letters."""
-        words = pieces(chunk)
-        total = np.zeros(len(self.languages))
-        for w in words:
-            total += self.word(w)
-        return np.maximum(total, FLOOR), sum(map(len, words))
-
-    def rows(self, chunks: list[str]) -> np.ndarray:
-        """Row numbers of chunks in table and sizes; at most KEPT are kept."""
-        get = self.seen.get
-        found = list(map(get, chunks))
-        if None in found:
-            new = {c for c, r in zip(chunks, found, strict=True) if r is None}
-            if len(self.seen) + len(new) > KEPT:
-                self.seen.clear()
-                new = set(chunks)
-            n = len(self.seen)
-            if self.table.shape[0] < n + len(new):
-                size = max(1024, 2 * (n + len(new)))
-                table, sizes = np.zeros((size, len(self.languages))), np.zeros(size)
-                if n:
-                    table[:n], sizes[:n] = self.table[:n], self.sizes[:n]
-                self.table, self.sizes = table, sizes
-            for i, c in enumerate(sorted(new), n):
-                self.table[i], self.sizes[i] = self.chunk(c)
-                self.seen[c] = i
-            found = list(map(get, chunks))
-        return np.array(found, dtype=np.int64)
+    letters: dict[str, int]  # class of each letter told apart
+    scripts: dict[str, list[bool]]  # the languages written in each script
+    rows: np.ndarray  # row of each trigram in scores; the last row for trigrams never seen
+    scores: np.ndarray  # log-likelihoods
+
+    def __post_init__(self) -> None:
+        self.space = spaces()
+        self.classes = np.zeros(PLANE, dtype=np.int16)
+        allowed = np.zeros((CLASSES, len(self.languages)), dtype=bool)
+        for i in range(PLANE - 1):
+            c = chr(i)
+            if c.isalpha():
+                known = self.scripts.get(script(c))
+                self.classes[i] = FOREIGN if known is None else self.letters.get(c, OTHER)
+                if known is not None:
+                    allowed[self.classes[i]] |= known
+        allowed[0] = True
+        self.allowed = allowed
+        self.narrows = not allowed[:FOREIGN].all()
+
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and letters of each word between white space."""
+        parts = []
+        at = 0
+        while at < len(text):
+            end = at + SLICE
+            while end < len(text) and not text[end - 1].isspace() and end < at + 2 * SLICE:
+                end += 1
+            parts.append(self.slice(points(text[at:end])))
+            at = end
+        if not parts:
+            return np.zeros((0, len(self.languages))), np.zeros(0)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def slice(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gap = self.space[data]
+        starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+        if not len(starts):
+            return np.zeros((0, len(self.languages))), np.zeros(0)
+        classes = self.classes[data]
+        classes[gap] = 0
+        tri = trigrams(classes)
+        has = np.flatnonzero(tri >= 0)
+        word = np.searchsorted(starts, has, side="right") - 1
+        known = np.bincount(word, minlength=len(starts))
+        letters = np.bincount(np.searchsorted(starts, np.flatnonzero(classes), side="right") - 1, minlength=len(starts))
+        values = self.scores[self.rows[tri[has]]]
+        total = np.stack([np.bincount(word, weights=values[:, j], minlength=len(starts)) for j in range(len(self.languages))], axis=1)
+        mean = total * (WEIGHT * np.sqrt(known) / np.maximum(known, 1))[:, None]
+        if self.narrows:
+            barred = np.stack([np.bincount(word, weights=~self.allowed[classes[has], j], minlength=len(starts)) for j in range(len(self.languages))], axis=1) > 0
+            mean = np.where(barred & ~barred.all(axis=1, keepdims=True), -np.inf, mean)
+        return np.maximum(mean - mean.max(axis=1, keepdims=True), FLOOR), letters
 
 
 def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -111,94 +120,94 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     sums = np.vstack([np.zeros(k), np.cumsum(scores - scores[:, [top]], axis=0)])
     if (sums - np.minimum.accumulate(sums, axis=0)).max() <= penalty / 2:
         return np.full(n, top)
-    best, back = list(scores[0]), np.zeros((n, k), dtype=np.int16)
+    best, back = scores[0].tolist(), []
     own = list(range(k))
-    for i, row in enumerate(scores[1:].tolist(), 1):
+    for row in scores[1:].tolist():
         most = max(best)
-        at = best.index(most)
-        most -= penalty
-        came = own
-        if min(best) < most:
-            came = [j if best[j] >= most else at for j in own]
-            best = [max(b, most) for b in best]
-        best = [b + s for b, s in zip(best, row, strict=True)]
-        back[i] = came
-    path = np.empty(n, dtype=np.int64)
-    path[-1] = int(np.argmax(best))
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return path
+        if min(best) < most - penalty:
+            at = best.index(most)
+            most -= penalty
+            back.append([j if best[j] >= most else at for j in own])
+            best = [(b if b > most else most) + s for b, s in zip(best, row, strict=True)]
+        else:
+            back.append(own)
+            best = [b + s for b, s in zip(best, row, strict=True)]
+    path = [best.index(max(best))]
+    for came in reversed(back):
+        path.append(came[path[-1]])
+    return np.array(path[::-1])
 
 
 def label(model: Model, text: str) -> tuple[str, float, str]:
     """(language of most letters, its share of certainty, spans as lang:first word:end word)."""
-    chunks = text.split()
-    if not chunks or not LETTER.search(text):
-        return "und", 0.0, ""
-    rows = model.rows(chunks)
-    scores, sizes = model.table[rows], model.sizes[rows]
+    scores, sizes = model.words(text) if model.languages else (np.zeros((0, 0)), np.zeros(0))
+    if not sizes.sum():
+        return ("und", 0.0, "") if not model.languages or not any(map(str.isalpha, text)) else (model.languages[0], 0.0, "")
     path = viterbi(scores)
     letters = np.bincount(path, weights=sizes, minlength=len(model.languages))
     best = int(letters.argmax())
-    rival = np.delete(scores, best, axis=1).max(axis=1) if len(model.languages) > 1 else np.full(len(rows), FLOOR)
-    agrees = scores[:, best] - rival
-    score = float((sizes * (path == best) / (1 + np.exp(-np.clip(agrees, -30, 30)))).sum() / max(1.0, sizes.sum()))
+    rival = np.delete(scores, best, axis=1).max(axis=1) if len(model.languages) > 1 else np.full(len(path), FLOOR)
+    sure = 1 / (1 + np.exp(rival - scores[:, best]))
+    score = float((sizes * (path == best) * sure).sum() / sizes.sum())
     cuts = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
     ends = np.r_[cuts[1:], len(path)]
     return model.languages[best], min(1.0, max(0.0, score)), ",".join(f"{model.languages[path[s]]}:{s}:{e}" for s, e in zip(cuts, ends, strict=True))
 
 
-def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", most: int = ROWS) -> tuple:
-    """(languages, gram log-likelihoods, unseen, scripts) from labelled rows, at most about `most` of each language, chosen by a hash of the id.
+def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", most: int = ROWS) -> Model:
+    """A model from labelled rows, at most about `most` of each language, chosen by a hash of the id.
 
-    The grams are counted on the executors; only the KEPT_GRAMS most frequent of all come to the driver. Rows with null text or language are left out; no rows give no languages.
+    Letters and trigrams are counted on the executors, each as the root of its count in a text, lest a text that repeats itself outweigh the others; what comes to the driver is bounded by the letters of Unicode's first plane and the trigrams of the alphabet, for each language. Rows with null text or language are left out; no rows give a model without languages.
     """
-    sample = bounded_rows(rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).filter("lang IS NOT NULL AND text IS NOT NULL"), "lang", most, "id")
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts: dict[tuple, int] = defaultdict(int)
-            words: dict[tuple, int] = defaultdict(int)
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                for chunk in text.split():
-                    words[lang, chunk] += 1
-            for (lang, chunk), k in words.items():
-                for w in pieces(chunk):
-                    counts[lang, "script", script(w[0])] += k * len(w)
-                    for g in grams(w):
-                        counts[lang, "gram", g] += k
-            yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["lang", "kind", "gram", "n"])
-
-    counts = sample.mapInPandas(counted, "lang string, kind string, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    kept = counts.orderBy(F.col("kind").desc(), F.col("n").desc(), "lang", "gram").limit(KEPT_GRAMS * 2).toPandas()
-    languages = sorted(kept["lang"].unique())
+    named = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    sample = checkpoint(bounded_rows(named, "lang", most, "id").select("lang", "text"))
+
+    def counted(of) -> DataFrame:
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for lang, texts in batch.groupby("lang")["text"]:
+                    each = [np.unique(v[v >= 0], return_counts=True) for v in map(of, map(points, texts))]
+                    found, at = np.unique(np.concatenate([e[0] for e in each]), return_inverse=True)
+                    n = np.bincount(at, weights=np.concatenate([np.ceil(np.sqrt(e[1])) for e in each]), minlength=len(found))
+                    yield pd.DataFrame({"lang": lang, "what": found.astype(np.int64), "n": n.astype(np.int64)})
+
+        return sample.mapInPandas(count, "lang string, what long, n long").groupBy("lang", "what").agg(F.sum("n").alias("n")).toPandas()
+
+    chars = counted(lambda p: p)
+    chars = chars[np.array([chr(x).isalpha() for x in chars["what"]], dtype=bool)]
+    languages = sorted(chars["lang"].unique())
     at = {x: i for i, x in enumerate(languages)}
-    totals = np.ones(len(languages))
-    gathered: dict[str, np.ndarray] = {}
-    written: dict[str, np.ndarray] = {}
-    for lang, kind, gram, n in kept.itertuples(index=False):
-        where = gathered if kind == "gram" else written
-        where.setdefault(gram, np.zeros(len(languages)))[at[lang]] += n
-        if kind == "gram":
-            totals[at[lang]] += n
-    size = max(1, len(gathered))
-    grams_of = {g: np.log((c + 0.5) / (totals + 0.5 * size)) for g, c in gathered.items()}
-    in_all = sum(written.values()) if written else np.ones(len(languages))
-    scripts = {s: mask for s, c in written.items() if (mask := c >= SCRIPT_SHARE * in_all).any()}
-    return languages, grams_of, np.log(0.5 / (totals + 0.5 * size)), scripts
-
-
-
-
-def labeller(docs: DataFrame, learned: tuple):
-    """A column function text -> struct(lang_pred, score, spans). The model, bounded by KEPT_GRAMS, is broadcast."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(learned), digest(learned)
+    in_all = chars.groupby("what")["n"].sum().reset_index().sort_values(["n", "what"], ascending=[False, True])
+    letters = {chr(x): i for i, x in enumerate(in_all["what"][:ALPHABET], 1)}
+    written = chars.assign(script=[script(chr(x)) for x in chars["what"]]).groupby(["script", "lang"])["n"].sum()
+    size = chars.groupby("lang")["n"].sum()
+    scripts: dict[str, list[bool]] = {}
+    for (name, lang), n in written.items():
+        if n >= SCRIPT_SHARE * size[lang]:
+            scripts.setdefault(name, [False] * len(languages))[at[lang]] = True
+    empty = Model(languages, letters, scripts, np.zeros(CLASSES**3, dtype=np.int32), np.zeros((1, len(languages))))
+    if not languages:
+        return empty
+    classes = empty.classes
+    seen = counted(lambda p: trigrams(classes[p]))
+    values = sorted(seen["what"].unique())
+    counts = np.zeros((len(values) + 1, len(languages)))
+    counts[np.searchsorted(values, seen["what"]), seen["lang"].map(at)] = seen["n"]
+    rows_of = np.full(CLASSES**3, len(values), dtype=np.int32)
+    rows_of[values] = np.arange(len(values))
+    return Model(languages, letters, scripts, rows_of, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts))))
+
+
+def labeller(docs: DataFrame, model: Model):
+    """A column function text -> struct(lang_pred, score, spans). The model, bounded by the alphabet, is broadcast."""
+    parts = model.languages, model.letters, model.scripts, model.rows, model.scores
+    shared, key = docs.sparkSession.sparkContext.broadcast(parts), digest(parts)
 
     @F.pandas_udf("lang_pred string, score double, spans string")
     def labelled(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = once(key, lambda: Model(*shared.value))
+        own = once(key, lambda: Model(*shared.value))
         for batch in texts:
-            yield pd.DataFrame([label(model, x) if model.languages else ("und", 0.0, "") for x in batch], columns=["lang_pred", "score", "spans"])
+            yield pd.DataFrame([label(own, x) for x in batch], columns=["lang_pred", "score", "spans"])
 
     return labelled
 
@@ -208,6 +217,5 @@ def identify(docs: DataFrame, known: Column, lang_col: str = "lang", id_col: str
 
     lang_pred is `und` for texts that are null or without letters; letters of a script that no learned language uses count for none. Equal scores take the first language by name. Repeated rows stay; other columns are ignored; without labelled rows all is `und`; an empty table gives an empty result.
     """
-    learned = learn(docs.filter(known), lang_col, text_col, id_col, most)
-    named = labeller(docs, learned)
+    named = labeller(docs, learn(docs.filter(known), lang_col, text_col, id_col, most))
     return docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).select("_id", named("_text").alias("l")).select(F.col("_id").alias(id_col), "l.*")
