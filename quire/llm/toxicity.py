@@ -14,21 +14,24 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import KEPT
+from quire.llm.bpe import KEPT, Remembered
 from quire.llm.common import bounded_rows, digest, once, whole
 
 #: Labelled documents of each label that are learned from, about, at the most.
 ROWS = 6000
-#: Words shared by fewer toxic training documents, or short ones, are no landmarks; how many there are at the most.
-LEAST_DOCS, SHORTEST, LANDMARKS = 3, 4, 96
+#: Words shared by fewer toxic training texts, by count and by share, or short ones, are no landmarks (a group of near copies shares all its words); how many there are at the most.
+LEAST_DOCS, LEAST_SHARE, SHORTEST, LANDMARKS = 3, 0.01, 4, 96
+#: Candidates for landmarks that come to the driver; a landmark is farther than this from all before it.
+CANDIDATES, APART = 600, 0.8
 #: Letters in a subsequence; what each letter of spread costs.
 ORDER, DECAY = 3, 0.6
-#: Kernels below this are taken as zero, so most words need no feature.
-NEAR = 0.35
+#: The kernel is raised to this power (again a kernel), so near words count by far the most; below NEAR it is taken as zero, so most words need no feature.
+POWER, NEAR = 3, 0.45
 #: Longer words are looked at in overlapping windows.
 WINDOW, STEP = 24, 12
+#: Texts whose words are looked up together.
+TOGETHER = 200
 
-SENTENCE_END = regex.compile(r"(?<=[.!?])\s+|\n+")
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 SPACED = regex.compile(r"(?<!\S)(?:\p{L}[\s.*_-]+){2,}\p{L}(?!\S)")
 
@@ -96,6 +99,12 @@ class Kernel:
             for c in s:
                 self.by_letter.setdefault(c, np.zeros(len(landmarks), dtype=np.int16))[j] = 1
         self.needed = np.array([max(3, len(s) - 1) for s in self.sets], dtype=np.int16)
+        self.by_set = Remembered(self.sharing)
+
+    def sharing(self, letters: frozenset) -> list[int]:
+        """Landmarks that lack one of these letters' words at the most."""
+        rows = [self.by_letter[c] for c in letters if c in self.by_letter]
+        return np.flatnonzero(sum(rows) >= self.needed).tolist() if len(rows) >= 3 else []
 
     def of(self, words: list[str]) -> np.ndarray:
         """A row for each word; zero where a word lacks two or more of a landmark's letters, or the kernel is below NEAR."""
@@ -107,23 +116,25 @@ class Kernel:
                 owner.append(i)
         left, right = [], []
         for k, w in enumerate(parts):
-            rows = [self.by_letter[c] for c in set(w) if c in self.by_letter]
-            if len(rows) >= 3:
-                hit = np.flatnonzero(sum(rows) >= self.needed)
-                left += [k] * len(hit)
-                right += hit.tolist()
+            hit = self.by_set[frozenset(w)]
+            left += [k] * len(hit)
+            right += hit
         if not left:
             return out
         codes, _ = coded(parts)
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        order = np.argsort(size[left], kind="stable")
+        left, right = np.array(left)[order].tolist(), np.array(right)[order].tolist()
         norms = {}
-        need = sorted(set(left))
+        need = list(dict.fromkeys(left))  # by length, so little is padded
         for s in range(0, len(need), 4096):
             some = need[s : s + 4096]
-            norms |= zip(some, np.sqrt(np.maximum(raw_kernel(codes[some], codes[some]), 1e-12)), strict=True)
+            own = codes[some, : size[some[-1]]]
+            norms |= zip(some, np.sqrt(np.maximum(raw_kernel(own, own), 1e-12)), strict=True)
         for s in range(0, len(left), 8192):
             a, b = left[s : s + 8192], right[s : s + 8192]
-            value = raw_kernel(codes[a], self.codes[b]) / (np.array([norms[x] for x in a]) * self.norms[b])
-            np.maximum.at(out, ([owner[x] for x in a], b), np.where(value >= NEAR, value, 0))
+            value = raw_kernel(codes[a, : size[a[-1]]], self.codes[b]) / (np.array([norms[x] for x in a]) * self.norms[b])
+            np.maximum.at(out, ([owner[x] for x in a], b), np.where(value >= NEAR, value**POWER, 0))
         return out
 
 
@@ -133,88 +144,94 @@ class Scorer:
     def __init__(self, model: dict):
         self.model, self.kernel = model, Kernel(model["landmarks"])
         self.rows: dict[str, np.ndarray | None] = {}
-
-    def features(self, chunks: list[str]) -> list[np.ndarray | None]:
-        """Kernel rows of chunks, None for zero."""
-        new = sorted({c for c in chunks if c not in self.rows})
-        if new:
-            if len(self.rows) + len(new) > KEPT:
-                self.rows.clear()
-                new = sorted(set(chunks))
-            words: dict[str, list[str]] = {}
-            for c in new:
-                words.setdefault(letters(c), []).append(c)
-            known = [w for w in words if w]
-            values = self.kernel.of(known)
-            for w, row in zip(known, values, strict=True):
-                own = row if row.any() else None
-                for c in words[w]:
-                    self.rows[c] = own
-            for c in words.get("", ()):
-                self.rows[c] = None
-        return [self.rows[c] for c in chunks]
+        self.words: dict[str, np.ndarray | None] = {}
+
+    def warm(self, texts: list[str]) -> None:
+        """Look all chunks of some texts up at once: kernels of many words take little longer than of one."""
+        self.features(list(set().union(*(joined(t).split() for t in texts))))
+
+    def features(self, chunks: list[str]) -> None:
+        """See that rows holds all chunks: None where no landmark is near."""
+        new = {c for c in chunks if c not in self.rows}
+        if not new:
+            return
+        if len(self.rows) + len(new) > KEPT:
+            self.rows.clear()
+            self.words.clear()
+            new = set(chunks)
+        spelt = {c: letters(c) for c in new}
+        fresh = sorted({w for w in spelt.values() if w not in self.words})
+        if fresh:
+            values = self.kernel.of(fresh)
+            near = values.any(axis=1)
+            self.words |= {w: values[i] if near[i] else None for i, w in enumerate(fresh)}
+        self.rows |= {c: self.words[w] for c, w in spelt.items()}
 
     def sentence_rows(self, text: str) -> np.ndarray:
-        """Features of the sentences that hold a near word; each landmark's nearest word."""
-        text = joined(text)
-        chunks = text.split()
-        found = self.features(chunks)
-        if not any(x is not None for x in found):
+        """Features of the sentences that hold a near word, each landmark's nearest one. A sentence ends with a chunk that ends in a full stop, exclamation or question mark."""
+        chunks = joined(text).split()
+        self.features(chunks)
+        found = list(map(self.rows.__getitem__, chunks))
+        near = [i for i, x in enumerate(found) if x is not None]
+        if not near:
             return np.zeros((0, len(self.kernel.landmarks)))
-        out = []
-        for sentence in SENTENCE_END.split(text):
-            rows = [r for r in self.features(sentence.split()) if r is not None]
-            if rows:
-                out.append(np.max(rows, axis=0))
-        return np.array(out) if out else np.zeros((0, len(self.kernel.landmarks)))
-
-    def decision(self, text: str) -> float:
-        rows = self.sentence_rows(text)
-        m = self.model
-        return max([m["base"], *(rows @ m["whiten"] @ m["weights"] + m["base"])])
+        ends = [i for i, c in enumerate(chunks) if c[-1] in ".!?"]
+        sentence = np.searchsorted(ends, near)
+        starts = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+        return np.maximum.reduceat(np.array([found[i] for i in near]), starts, axis=0)
 
     def score(self, text: str) -> float:
-        a, b = self.model["calibration"]
-        return float(1 / (1 + np.exp(-np.clip(a * self.decision(text) + b, -30, 30))))
-
-
-def train_svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, cost: float = 20.0) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, by gradient steps with momentum; labels are 1 and -1, both classes weigh the same."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, b = np.zeros(x.shape[1]), 0.0
-    vw, vb = np.zeros_like(w), 0.0
-    rate = 1.0 / (1 + 4 * cost * max(1.0, (weight[:, None] * x * x).sum()))
-    for _ in range(rounds * 4):
-        lack = np.maximum(0, 1 - y * (x @ w + b))
-        pull = -2 * cost * weight * lack * y
-        gw, gb = w + x.T @ pull, pull.sum()
-        vw, vb = 0.9 * vw - rate * gw, 0.9 * vb - rate * gb
-        w, b = w + vw, b + vb
-    return w, b
-
-
-def train_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that fit P(label 1) to decisions, by Newton steps; a little ridge keeps them finite."""
-    mean, scale = x.mean(), x.std() + 1e-9
-    z = np.c_[(x - mean) / scale, np.ones(len(x))]
-    t = np.zeros(2)
+        rows, m = self.sentence_rows(text), self.model
+        decisions = rows @ m["whiten"] @ m["weights"] + m["base"]
+        return float(1 / (1 + np.exp(-np.clip(summary(decisions, m["base"]) @ m["calibration"], -30, 30))))
+
+
+def summary(decisions: np.ndarray, base: float) -> np.ndarray:
+    """What a document's score is made of: its worst sentence, how far that one is beyond half the margin, its worst three together, a sentence without near words in the place of those it lacks; and 1."""
+    three = np.sort(np.r_[decisions, base, base, base])[-3:]
+    return np.array([three[-1], 4 * max(0.0, three[-1] - 0.5), three.sum(), 1.0])
+
+
+def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 300.0) -> tuple[np.ndarray, float]:
+    """Linear support vector machine with squared hinge loss, by Newton steps on the rows within the margin; labels are 1 and -1, both classes weigh the same."""
+    weight = 2 * cost * np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    z = np.c_[x, np.ones(len(x))]
+    ridge = np.diag([*np.ones(x.shape[1]), 1e-6])
+    t = np.zeros(z.shape[1])
+    loss = lambda t: t @ ridge @ t + (weight * np.maximum(0, 1 - y * (z @ t)) ** 2).sum()
+    for _ in range(40):
+        inside = y * (z @ t) < 1
+        zi, wi = z[inside], weight[inside]
+        step = np.linalg.solve((zi * wi[:, None]).T @ zi + ridge, (zi * wi[:, None]).T @ y[inside]) - t
+        size = 1.0
+        while size > 1e-4 and loss(t + size * step) > loss(t):
+            size /= 2
+        if size <= 1e-4 or abs(step).max() < 1e-9:
+            break
+        t = t + size * step
+    return t[:-1], float(t[-1])
+
+
+def train_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the columns of x (the last is 1) that fit P(label 1), by Newton steps; a little ridge keeps them finite."""
+    t = np.zeros(x.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ t, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.eye(2) * 1e-2
-        t -= np.linalg.solve(h, z.T @ (p - y) + 1e-2 * t)
-    return t[0] / scale, t[1] - t[0] * mean / scale
+        p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(t)) * 1e-2
+        t = t - np.linalg.solve(h, x.T @ (p - y) + 1e-2 * t)
+    return t
 
 
 def learn(labelled: DataFrame, most: int = ROWS) -> dict:
     """A model from rows (id, text, label 0 or 1), about `most` of each label at the most, chosen by a hash of the id.
 
-    Words are counted on the executors and only the LANDMARKS best come to the driver; so do the sample's sentence features, a few floats for each sampled document. One label alone gives a constant score.
+    Words are counted on the executors and only the LANDMARKS best come to the driver; so do the sample's sentence features, a few floats for each sampled document. Altered landmarks join the toxic sentences of the vector machine, whose weights tell which landmarks bear it. One label alone gives a constant score.
     """
     sample = bounded_rows(labelled.filter("text IS NOT NULL AND label IN (0, 1)"), "label", most, "id")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
-        return {"landmarks": [], "whiten": np.zeros((0, 0)), "weights": np.zeros(0), "base": 0.0, "calibration": (0.0, 4.0 if pos else -4.0)}
+        return {"landmarks": [], "whiten": np.zeros((0, 0)), "weights": np.zeros(0), "base": 0.0, "calibration": np.array([0.0, 0.0, 0.0, 4.0 if pos else -4.0])}
 
     @F.pandas_udf("array<string>")
     def words(texts: pd.Series) -> pd.Series:
@@ -224,18 +241,20 @@ def learn(labelled: DataFrame, most: int = ROWS) -> dict:
     found = each.groupBy("word").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
     rates = F.col("p") / pos, F.col("n") / neg
     odds = F.log((rates[0] + 0.5 / pos) / (rates[1] + 0.5 / neg))
-    best = found.filter(F.col("p") >= LEAST_DOCS).withColumn("gain", rates[0] * odds).filter(odds > 2.0).orderBy(F.col("gain").desc(), "word").limit(LANDMARKS)
-    landmarks = [r["word"] for r in best.collect()]
+    best = found.filter(F.col("p") >= max(LEAST_DOCS, LEAST_SHARE * pos)).withColumn("gain", rates[0] * odds).filter(odds > 2.0).orderBy(F.col("gain").desc(), "word").limit(CANDIDATES)
+    landmarks = spread([r["word"] for r in best.collect()])
     kernel = Kernel(landmarks)
     gram = kernel.of(landmarks) if landmarks else np.zeros((0, 0))
     values, vectors = np.linalg.eigh((gram + gram.T) / 2) if landmarks else (np.zeros(0), np.zeros((0, 0)))
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    untrained = {"landmarks": landmarks, "whiten": whiten, "weights": np.zeros(len(landmarks)), "base": 0.0, "calibration": (1.0, 0.0)}
+    untrained = {"landmarks": landmarks, "whiten": whiten, "weights": np.zeros(len(landmarks)), "base": 0.0, "calibration": np.zeros(4)}
     shared, key = sample.sparkSession.sparkContext.broadcast(untrained), digest(untrained)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = once(key, lambda: Scorer(shared.value))
         for batch in batches:
+            for s in range(0, len(batch), TOGETHER):
+                scorer.warm(batch["text"].iloc[s : s + TOGETHER].tolist())
             yield pd.DataFrame({"label": batch["label"], "rows": [[r.tolist() for r in worst(scorer.sentence_rows(t))] for t in batch["text"]]})
 
     rows = sample.select("label", "text").mapInPandas(featured, "label int, rows array<array<double>>").collect()
@@ -246,10 +265,29 @@ def learn(labelled: DataFrame, most: int = ROWS) -> dict:
             y.append(1.0 if r["label"] else -1.0)
             owner.append(i)
     x, y, owner = np.array(x).reshape(len(x), len(landmarks)) @ whiten, np.array(y), np.array(owner)
-    weights, base = train_svm(x, y)
-    decisions = np.full(len(rows), base)
-    np.maximum.at(decisions, owner, x @ weights + base)
-    return untrained | {"weights": weights, "base": base, "calibration": train_logistic(decisions, np.array([r["label"] for r in rows], dtype=float))}
+    bent = kernel.of([w for m in landmarks for w in variants(m)]) if landmarks else x[:0]
+    weights, base = train_svm(np.r_[x, bent @ whiten], np.r_[y, np.ones(len(bent))])
+    decisions = x @ weights + base
+    ends = np.searchsorted(owner, np.arange(len(rows) + 1))
+    made = np.array([summary(decisions[s:e], base) for s, e in zip(ends[:-1], ends[1:], strict=True)])
+    return untrained | {"weights": weights, "base": base, "calibration": train_logistic(made, np.array([r["label"] for r in rows], dtype=float))}
+
+
+def variants(word: str) -> list[str]:
+    """The word with a letter put in or left out, at every place but its ends."""
+    return [w for i in range(1, len(word)) for w in (word[:i] + "x" + word[i:], word[:i] + word[i + 1 :] if i < len(word) - 1 else word)]
+
+
+def spread(candidates: list[str]) -> list[str]:
+    """The first LANDMARKS candidates that lie APART from those before them."""
+    if not candidates:
+        return []
+    like = Kernel(candidates).of(candidates)
+    chosen: list[int] = []
+    for i in range(len(candidates)):
+        if len(chosen) < LANDMARKS and not (like[i, chosen] >= APART**POWER).any():
+            chosen.append(i)
+    return [candidates[i] for i in chosen]
 
 
 def worst(rows: np.ndarray) -> np.ndarray:
@@ -271,7 +309,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, known: Column, id_col: str = "d
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = once(key, lambda: Scorer(shared.value))
         for batch in batches:
-            yield pd.Series([scorer.score(t) for t in batch], dtype="float64")
+            scores: list[float] = []
+            for s in range(0, len(batch), TOGETHER):
+                texts = batch.iloc[s : s + TOGETHER].tolist()
+                scorer.warm(texts)
+                scores += map(scorer.score, texts)
+            yield pd.Series(scores, dtype="float64")
 
     out = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).select(F.col("_id").alias(id_col), scored("_text").alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
