@@ -12,6 +12,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import Remembered, chunks, merger, words
+from quire.llm.bpe import Remembered, byte_letters, chunks, merger, words
 from quire.llm.common import checkpoint, whole
 
 
@@ -166,12 +167,15 @@ def slots(bins: Bins) -> np.ndarray:
 
 
 class Encoder:
-    """Little-endian 32-bit ids of texts, by the vocabulary's merges; as in counting, a bounded table holds what chunks and words have given."""
+    """Little-endian 32-bit ids of texts by the tokenizers library's model; as in counting, a bounded table holds what chunks and words have given."""
 
     def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
         self.merger = merger(vocabulary)
-        self.special = {x["content"]: np.array([x["id"]], dtype="<u4").tobytes() for x in json.loads(vocabulary)["added_tokens"]}
-        self.words = Remembered(lambda word: np.array([x for x in self.merger.merge(word)[0] if x >= 0], dtype="<u4").tobytes())
+        self.special = {x["content"]: pack("<I", x["id"]) for x in json.loads(vocabulary)["added_tokens"]}
+        model, letters = Tokenizer.from_str(vocabulary).model, dict(enumerate(byte_letters()))
+        self.words = Remembered(lambda word: b"".join([pack("<I", x.id) for x in model.tokenize(word.encode().decode("latin-1").translate(letters))]))
         self.seen = Remembered(lambda chunk: b"".join(map(self.words.__getitem__, words(chunk))))
 
     def ids(self, text: str) -> bytes:
