@@ -1,14 +1,76 @@
-"""The corpus pipeline: stages of the training-data operators, each over all that the one before kept."""
+"""The corpus pipeline: documents in, packed training sequences out, in five stages, each over all that the one before kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.llm.common import shared_folder, whole
+from quire.llm.language import labeller, learn
+from quire.llm.mixing import Mix, draws
+from quire.llm.packing import pack_documents
+from quire.llm.secrets import redact
+from quire.llm.simhash import simhash_groups
+
+VOCABULARY = "word_bpe_49k.json"
+MIX = Mix(entropy=0.9, repeats=4.0, cover=True)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: null texts and those without a letter. Learns from the labelled documents themselves; any text with letters stays."""
+    named = labeller(docs, learn(docs))
+    return docs.withColumn("__named", named(whole("text"))).filter(F.col("__named.lang_pred") != "und").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays; of rows that share an id, one. Rows without an id stay where no other document is like them."""
+    groups = simhash_groups(docs.select("doc_id", "text"))
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return kept.withColumn("__nth", first).filter((F.col("__nth") == 1) | F.col("doc_id").isNull()).select(docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live-looking credentials are masked; no document goes."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated until their sources weigh what the mix asks for; every one is drawn at least once."""
+    return draws(docs, MIX, keep=True).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id), ("simhash_near_dedup", near_dedup), ("secret_scans", secret_scan), ("source_mixing", mix_sources), ("best_fit_packing", pack),
+]
+
+#: SQL can express neither the learned languages nor the fingerprints; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def queries() -> dict:
-    return {}
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written to the shared folder as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"pipeline": run}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

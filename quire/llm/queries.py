@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, language, packing, pages, secrets, simhash, syncmers, toxicity, vectors
+from quire.llm import bpe, language, mixing, packing, pages, secrets, simhash, syncmers, toxicity, vectors
 from quire.llm.common import fold, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -51,8 +51,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draws(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_document_fingerprints, op4_secret_scans, op5_best_fit_packing, op6_language_id, op7_embedding_near_dedup, op8_token_counts, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_document_fingerprints, op4_secret_scans, op5_best_fit_packing, op6_language_id, op7_embedding_near_dedup, op8_token_counts, op9_simhash_near_dedup, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
