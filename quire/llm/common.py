@@ -54,9 +54,9 @@ _MADE: dict[str, object] = {}
 
 
 def once(key: str, make):
-    """What make() gives, made once in a Python worker for each key; a worker keeps three at the most."""
+    """What make() gives, made once in a Python worker for each key; a worker keeps two at the most."""
     if key not in _MADE:
-        if len(_MADE) >= 3:
+        if len(_MADE) >= 2:
             _MADE.clear()
         _MADE[key] = make()
     return _MADE[key]

@@ -5,6 +5,7 @@ The kernel of two words sums their common subsequences of three letters, each we
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -14,8 +15,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import KEPT, Remembered
-from quire.llm.common import bounded_rows, digest, once, whole
+from quire.llm.bpe import Remembered
+from quire.llm.common import bounded_rows, checkpoint, digest, once, whole
 
 #: Labelled documents of each label that are learned from, about, at the most.
 ROWS = 6000
@@ -29,11 +30,12 @@ ORDER, DECAY = 3, 0.6
 POWER, NEAR = 3, 0.45
 #: Longer words are looked at in overlapping windows.
 WINDOW, STEP = 24, 12
-#: Texts whose words are looked up together.
-TOGETHER = 200
+#: Texts whose words are looked up together; pairs of words compared at once; chunks and words that a task remembers.
+TOGETHER, PAIRS, KEPT = 200, 1024, 200_000
 
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
-SPACED = regex.compile(r"(?<!\S)(?:\p{L}[\s.*_-]+){2,}\p{L}(?!\S)")
+SINGLE = re.compile(r"(?:^|\s)\S\s+\S\s+\S(?:\s|$)")
+SPACED = regex.compile(r"(?<!\S)(?:\p{L}\s+){2,}\p{L}(?!\S)")
 
 
 def letters(chunk: str) -> str:
@@ -46,9 +48,6 @@ def joined(text: str) -> str:
     return SPACED.sub(lambda m: NOT_LETTERS.sub("", m[0]), text) if SINGLE.search(text) else text
 
 
-SINGLE = regex.compile(r"(?<!\S)\p{L}[\s.*_-]+\p{L}[\s.*_-]+\p{L}(?!\S)")
-
-
 def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letters as a matrix of code points, padded by zero, and the lengths."""
     size = max(map(len, words), default=1)
@@ -61,24 +60,23 @@ def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def raw_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """Gap-weighted subsequence kernel of the words in rows of a and b, pair by pair; padding matches nothing.
 
-    prefix[i, j] sums subsequences so far that end within the first i and j letters, decayed to there.
+    prefix[i, j] sums subsequences so far that end within the first i and j letters, decayed to there; pairs lie side by side in memory.
     """
-    n, m = a.shape[1], b.shape[1]
-    equal = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] != 0)
-    prefix = np.ones((len(a), n + 1, m + 1))
-    for level in range(order):
-        last = level == order - 1
-        if last:
-            # a pair of equal letters closes a subsequence; its spread ends there
-            return decay * decay * np.einsum("pij,pij->p", equal, prefix[:, :-1, :-1])
-        nxt = np.zeros_like(prefix)
-        for i in range(1, n + 1):
-            run = np.zeros(len(a))
-            for j in range(1, m + 1):
-                run = decay * run + decay * decay * equal[:, i - 1, j - 1] * prefix[:, i - 1, j - 1]
-                nxt[:, i, j] = decay * nxt[:, i - 1, j] + run
-        prefix = nxt
-    raise ValueError("order must be positive")
+    n, m, pairs = a.shape[1], b.shape[1], len(a)
+    equal = ((a.T[:, None, :] == b.T[None, :, :]) & (a.T[:, None, :] != 0)) * (decay * decay)
+    prefix = np.ones((n + 1, m + 1, pairs))
+    for _ in range(order - 1):
+        closed = equal * prefix[:-1, :-1]
+        prefix = np.zeros((n + 1, m + 1, pairs))
+        run = np.empty(pairs)
+        for i in range(n):
+            run[:] = 0
+            for j in range(m):
+                run *= decay
+                run += closed[i, j]
+                np.multiply(prefix[i, j + 1], decay, out=prefix[i + 1, j + 1])
+                prefix[i + 1, j + 1] += run
+    return (equal * prefix[:-1, :-1]).sum(axis=(0, 1))
 
 
 def self_kernel(words: list[str]) -> np.ndarray:
@@ -99,7 +97,7 @@ class Kernel:
             for c in s:
                 self.by_letter.setdefault(c, np.zeros(len(landmarks), dtype=np.int16))[j] = 1
         self.needed = np.array([max(3, len(s) - 1) for s in self.sets], dtype=np.int16)
-        self.by_set = Remembered(self.sharing)
+        self.by_set = Remembered(self.sharing, 50_000)
 
     def sharing(self, letters: frozenset) -> list[int]:
         """Landmarks that lack one of these letters' words at the most."""
@@ -127,12 +125,12 @@ class Kernel:
         left, right = np.array(left)[order].tolist(), np.array(right)[order].tolist()
         norms = {}
         need = list(dict.fromkeys(left))  # by length, so little is padded
-        for s in range(0, len(need), 4096):
-            some = need[s : s + 4096]
+        for s in range(0, len(need), PAIRS):
+            some = need[s : s + PAIRS]
             own = codes[some, : size[some[-1]]]
             norms |= zip(some, np.sqrt(np.maximum(raw_kernel(own, own), 1e-12)), strict=True)
-        for s in range(0, len(left), 8192):
-            a, b = left[s : s + 8192], right[s : s + 8192]
+        for s in range(0, len(left), PAIRS):
+            a, b = left[s : s + PAIRS], right[s : s + PAIRS]
             value = raw_kernel(codes[a, : size[a[-1]]], self.codes[b]) / (np.array([norms[x] for x in a]) * self.norms[b])
             np.maximum.at(out, ([owner[x] for x in a], b), np.where(value >= NEAR, value**POWER, 0))
         return out
@@ -222,12 +220,12 @@ def train_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return t
 
 
-def learn(labelled: DataFrame, most: int = ROWS) -> dict:
-    """A model from rows (id, text, label 0 or 1), about `most` of each label at the most, chosen by a hash of the id.
+def learn(labelled: DataFrame) -> dict:
+    """A model from a bounded sample of rows (id, text, label 0 or 1).
 
     Words are counted on the executors and only the LANDMARKS best come to the driver; so do the sample's sentence features, a few floats for each sampled document. Altered landmarks join the toxic sentences of the vector machine, whose weights tell which landmarks bear it. One label alone gives a constant score.
     """
-    sample = bounded_rows(labelled.filter("text IS NOT NULL AND label IN (0, 1)"), "label", most, "id")
+    sample = checkpoint(labelled.filter("text IS NOT NULL"))
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
@@ -300,9 +298,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, known: Column, id_col: str = "d
 
     Null and empty texts score as texts without any near word. A text that is labelled twice counts twice in training; null labels and ids are left out of it. Repeated rows stay; other columns are ignored whatever their names; an empty table gives an empty result.
     """
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    texts = docs.filter(known).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    model = learn(texts.join(marked, "id"))
+    marked = labels.filter(known).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
+    chosen = bounded_rows(marked, "label", ROWS, "id")  # of the labels alone: about ROWS ids of each of two labels, so they can be broadcast
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    model = learn(texts.join(F.broadcast(chosen), "id"))
     shared, key = docs.sparkSession.sparkContext.broadcast(model), digest(model)
 
     @F.pandas_udf("double")
