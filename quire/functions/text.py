@@ -91,7 +91,7 @@ def roman(text: Column) -> Column:
     digit = lambda c: F.when(c == "I", 1).when(c == "V", 5).when(c == "X", 10).when(c == "L", 50).when(c == "C", 100).when(c == "D", 500).when(c == "M", 1000).otherwise(0)
     values = F.transform(F.filter(F.split(F.upper(text), ""), lambda c: c != ""), digit)
     following = F.concat(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(0)))
-    return F.aggregate(F.zip_with(values, following, lambda a, b: F.when(a < b, -a).otherwise(a)), F.lit(0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(values, following, lambda a, b: F.when(a < b, -a).otherwise(a)), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
 
 
 def path_segment(text: Column) -> Column:
