@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed and cut off in the folder that spark.checkpoint.dir names; in one of our own only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quire-checkpoints"))
+    return df.checkpoint()
+
+
 def both_ways(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Each edge from either end: (at, other, ...)."""
     rest = [c for c in edges.columns if c not in (src, dst)]
@@ -16,15 +27,17 @@ def both_ways(edges: DataFrame, src: str, dst: str) -> DataFrame:
 def ancestry(nodes: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame:
     """(key, ancestor, depth) up to `most` steps; a node that would be met twice on the way ends it.
 
-    Doubling: after each join every node knows ancestors twice as far, so a chain of n takes log n joins.
+    Doubling: after each join every node knows ancestors twice as far, so a chain of n takes log n joins, each settled before the next.
     """
     known = nodes.filter(F.col(parent).isNotNull() & (F.col(parent) != F.col(key))).select(F.col(key).alias("at"), F.col(parent).alias("up"), F.lit(1).cast("long").alias("depth"))
-    reach, step = known, 1
+    reach, step = settled(known), 1
     while step < most:
         far = reach.filter(F.col("depth") == step).select(F.col("at"), F.col("up").alias("mid"))
         more = far.join(reach.select(F.col("at").alias("mid"), "up", F.col("depth").alias("d")), "mid").select("at", "up", (F.col("d") + step).alias("depth"))
-        reach = reach.unionByName(more.filter((F.col("at") != F.col("up")) & (F.col("depth") <= most)))
-        step *= 2
+        more = settled(more.filter((F.col("at") != F.col("up")) & (F.col("depth") <= most)))
+        if not more.limit(1).count():
+            break
+        reach, step = reach.unionByName(more), 2 * step
     nearest = reach.groupBy("at", "up").agg(F.min("depth").alias("depth"))
     return nearest.select(F.col("at").alias(key), F.col("up").alias("ancestor"), "depth")
 
