@@ -5,6 +5,7 @@ Every block element and every block of text is a node that is content or not. A
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import random
@@ -368,6 +369,11 @@ def labelled(source: str) -> tuple[Tree, list[int]]:
     return tree, [mark[i] if tree.text[i] or not sum(weight[i]) else int(weight[i][1] > weight[i][0]) for i in range(n)]
 
 
+@functools.cache
+def trained() -> Model:
+    return train(labelled_pages())
+
+
 def main_text(model: Model, source: str) -> str:
     tree = parse(source)
     return "\n\n".join(t for t, p in zip(tree.text, model.marginals(tree), strict=True) if t and p > 0.5)
@@ -378,7 +384,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages, and pages without content, give an empty text. Broken, unclosed and cut-off markup is read as far as it goes; pages of any length are read whole. A block as likely content as not is left out. Repeated rows stay; other columns are ignored; an empty table gives an empty result. The model, some hundred numbers, is trained on PAGES labelled pages and broadcast.
     """
-    model = train(labelled_pages())
+    model = trained()
     shared, key = pages.sparkSession.sparkContext.broadcast(model), digest(model)
 
     @F.pandas_udf("string")
