@@ -1,6 +1,6 @@
 """Plans of the corpus engine: queries over the tables, each with the SQL that says the same."""
 
-from quire.plans import checks, lookup, search
+from quire.plans import checks, lookup, passages, search
 from quire.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "checks", "lookup", "search"]
+__all__ = ["ORACLES", "QUERIES", "checks", "lookup", "passages", "search"]
