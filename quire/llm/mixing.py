@@ -17,6 +17,8 @@ from quire.llm.common import checkpoint, whole
 PASSES, TRIED = 5, 32
 #: Documents of a slice of a permutation, about; slices of a source at the most.
 SLICE, SLICES = 500, 1 << 16
+#: Sources whose plan is broadcast, at the most.
+BROADCAST = 100_000
 
 
 @dataclass(frozen=True)
@@ -85,26 +87,25 @@ def draws(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_col:
     spent = (term / z * budget).alias("spent")
     plan = by_source.withColumn("total", F.lit(float(total or 1)))
     plan = plan.select("_group", "tokens", F.when(F.col("tokens") > 0, term / z).otherwise(0.0).alias("weight"), F.when(F.col("tokens") > 0, spent).otherwise(0.0).alias("spent"), F.least(F.lit(SLICES), F.greatest(F.lit(1), F.ceil(F.col("docs") / SLICE))).cast("int").alias("slices"))
-    plan = plan.withColumn("ratio", F.when(F.col("tokens") > 0, F.round(F.col("spent") / F.greatest(F.col("tokens"), F.lit(1)), 9)).otherwise(1.0)).withColumn("blocks", F.floor("ratio"))
+    plan = plan.withColumn("ratio", F.when(F.col("tokens") > 0, F.round(F.col("spent") / F.greatest(F.col("tokens"), F.lit(1)), 9)).otherwise(1.0)).withColumn("blocks", F.floor("ratio").cast("int"))
+    plan = plan.withColumn("left", (F.col("ratio") - F.col("blocks")) * F.col("tokens"))
+    small = by_source.count() <= BROADCAST  # one row a source: broadcast if that is few, else joined by shuffle
+    held = F.broadcast if small else lambda df: df
     place = lambda block: F.xxhash64(F.lit(mix.seed), block, F.col("_id").cast("string")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    planned = rows.join(plan, "_group")
-    whole_blocks = planned.filter("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).withColumn("_u", place(F.col("block")))
-    part = planned.filter("ratio > blocks").withColumn("block", F.col("blocks").cast("int")).withColumn("_u", place(F.col("block"))).withColumn("_slice", F.floor(F.col("_u") * F.col("slices")).cast("int"))
-    slices = part.groupBy("_group", "_slice").agg(F.sum("_tokens").alias("n"))
-    before = slices.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    within = F.coalesce(F.sum("_tokens").over(Window.partitionBy("_group", "_slice").orderBy("_u", "_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = (F.col("ratio") - F.col("blocks")) * F.col("tokens")
-    cut = left_out(part, before, left, within)
+    in_slice = F.floor(place(F.col("blocks")) * F.col("slices")).cast("int").alias("_slice")
+    slices = rows.join(held(plan), "_group").groupBy("_group", "left", in_slice).agg(F.sum("_tokens").alias("n"))
+    before = slices.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ends = before.filter(F.col("before") < F.col("left")).groupBy("_group").agg(F.max("_slice").alias("end"), F.max_by("before", "_slice").alias("before"))
+    planned = rows.join(held(checkpoint(plan.join(ends, "_group", "left"))), "_group").withColumn("_slice", in_slice)
+    # slices before the one in which the budget ends are drawn whole; only that one's rows are ordered
+    last = F.col("blocks") - 1 + F.when(F.col("_slice") < F.col("end"), 1).otherwise(0)
+    kept = [*(f"_c{i}" for i in range(len(own))), "_id", "_source", "_tokens", "block", "weight", "ratio"]
+    drawn = planned.filter(last >= 0).withColumn("block", F.explode(F.sequence(F.lit(0), last))).select(*kept)
+    within = F.coalesce(F.sum("_tokens").over(Window.partitionBy("_group").orderBy("_u", "_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = planned.filter(F.col("_slice") == F.col("end")).withColumn("block", F.col("blocks")).withColumn("_u", place(F.col("block")))
+    edge = edge.withColumn("_within", within).filter(F.col("before") + F.col("_within") < F.col("left")).select(*kept)
+    all_of = drawn.unionByName(edge)
     names = [F.col(f"_c{i}").alias(c) for i, c in enumerate(own)]
-    drawn = whole_blocks.select(*[f"_c{i}" for i in range(len(own))], "_id", "_source", "_tokens", "block", "weight", "_u", "ratio").unionByName(cut.select(*[f"_c{i}" for i in range(len(own))], "_id", "_source", "_tokens", "block", "weight", "_u", "ratio"))
     own_columns = [] if keep else [F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_tokens").alias("n_tokens"), "block", "weight"]
-    return drawn.select(*names, *own_columns, F.least(F.lit(1.0), (F.col("block") + F.col("_u")) / F.greatest(F.col("ratio"), F.lit(1e-9))).alias("draw_at"))
-
-
-def left_out(part: DataFrame, before: DataFrame, left: Column, within: Column) -> DataFrame:
-    """The rows of the last blocks that the budgets reach. Slices wholly within or beyond their budget are settled by the slice's sum; a window orders only the slice in which a source's budget ends."""
-    ends = before.withColumn("after", F.lead("before").over(Window.partitionBy("_group").orderBy("_slice")))
-    placed = part.join(ends, ["_group", "_slice"])
-    inside = placed.filter((F.col("after").isNotNull()) & (F.col("after") <= left))
-    edge = placed.filter((F.col("before") < left) & (F.col("after").isNull() | (F.col("after") > left))).withColumn("_within", within).filter(F.col("before") + F.col("_within") < left)
-    return inside.unionByName(edge.drop("_within"))
+    at = F.least(F.lit(1.0), (F.col("block") + place(F.col("block"))) / F.greatest(F.col("ratio"), F.lit(1e-9)))
+    return all_of.select(*names, *own_columns, at.alias("draw_at"))
