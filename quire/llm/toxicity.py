@@ -30,6 +30,9 @@ ORDER, DECAY = 3, 0.6
 POWER, NEAR = 3, 0.45
 #: Longer words are looked at in overlapping windows.
 WINDOW, STEP = 24, 12
+#: What texts of one altered landmark weigh in calibration, as a share of the toxic texts.
+ALTERED = 0.02
+
 #: Texts whose words are looked up together; pairs of words compared at once; chunks and words that a task remembers.
 TOGETHER, PAIRS, KEPT = 200, 1024, 200_000
 
@@ -210,13 +213,13 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 300.0) -> tuple[np.nda
     return t[:-1], float(t[-1])
 
 
-def train_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def train_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weights of the columns of x (the last is 1) that fit P(label 1), by Newton steps; a little ridge keeps them finite."""
     t = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(t)) * 1e-2
-        t = t - np.linalg.solve(h, x.T @ (p - y) + 1e-2 * t)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(len(t)) * 1e-2
+        t = t - np.linalg.solve(h, x.T @ (weight * (p - y)) + 1e-2 * t)
     return t
 
 
@@ -267,8 +270,10 @@ def learn(labelled: DataFrame) -> dict:
     weights, base = train_svm(np.r_[x, bent @ whiten], np.r_[y, np.ones(len(bent))])
     decisions = x @ weights + base
     ends = np.searchsorted(owner, np.arange(len(rows) + 1))
-    made = np.array([summary(decisions[s:e], base) for s, e in zip(ends[:-1], ends[1:], strict=True)])
-    return untrained | {"weights": weights, "base": base, "calibration": train_logistic(made, np.array([r["label"] for r in rows], dtype=float))}
+    made = [summary(decisions[s:e], base) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+    altered = [summary(d, base) for d in (bent @ whiten @ weights + base)[:, None]]
+    labels, weight = np.r_[[r["label"] for r in rows], np.ones(len(altered))].astype(float), np.r_[np.ones(len(made)), np.full(len(altered), ALTERED * pos / max(1, len(altered)))]
+    return untrained | {"weights": weights, "base": base, "calibration": train_logistic(np.array(made + altered), labels, weight)}
 
 
 def variants(word: str) -> list[str]:
