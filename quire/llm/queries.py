@@ -59,5 +59,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_document_fingerprints, op4_secret_scans, op5_best_fit_packing, op6_language_id, op7_embedding_near_dedup, op8_token_counts, op9_simhash_near_dedup, op10_source_mixing)}
 
 
+#: All pairs of a label, then all that can be reached: for small tables.
+LINKED_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS i, vec_id AS c FROM embeddings UNION SELECT r.i, l.w FROM r JOIN l ON r.c = l.u),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT i AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(c) AS component_id, i = min(c) AS kept FROM r LEFT JOIN n ON n.u = r.i GROUP BY i
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can express; the other operators are tested against brute force in tests/llm."""
+    return {"op7_embedding_near_dedup": LINKED_VECTORS}
