@@ -47,7 +47,7 @@ def bounded_rows(df: DataFrame, group: str, most: int, key: str) -> DataFrame:
     """About `most` rows of every group at the most, picked by a hash of the key alone: the same rows for any partitioning."""
     share = df.groupBy(group).agg((F.lit(most) / F.count("*")).alias("_share"))
     u = (F.xxhash64(F.col(key).cast("string")).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
-    return df.join(F.broadcast(share), group).filter(u < F.col("_share")).drop("_share")
+    return df.join(share, group).filter(u < F.col("_share")).drop("_share")
 
 
 _MADE: dict[str, object] = {}

@@ -45,8 +45,12 @@ class Grid:
         self.first, self.second, self.visits = first, second, visits
 
     def cells(self, data: np.ndarray, visits: int | None = None) -> np.ndarray:
-        """The nearest cells of each vector in the order in which a multi-sequence traversal pops them: by the sum of the two halves' distances. Of pairs of ranks (i, j) only those with (i + 1)(j + 1) <= visits can be among the first, as all smaller pairs come before."""
+        """Nearest cells of each vector, a bounded number of vectors at a time."""
         most = min(visits or self.visits, len(self.first) * len(self.second))
+        return np.concatenate([self.traverse(data[s : s + 512], most) for s in range(0, len(data), 512)]) if len(data) else np.zeros((0, most), int)
+
+    def traverse(self, data: np.ndarray, most: int) -> np.ndarray:
+        """The nearest cells of each vector in the order in which a multi-sequence traversal pops them: by the sum of the two halves' distances. Of pairs of ranks (i, j) only those with (i + 1)(j + 1) <= visits can be among the first, as all smaller pairs come before."""
         half = self.first.shape[1]
         a, b = distances(data[:, :half], self.first), distances(data[:, half:], self.second)
         ra, rb = np.argsort(a, axis=1, kind="stable")[:, :most], np.argsort(b, axis=1, kind="stable")[:, :most]
@@ -123,10 +127,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     placed = checkpoint(kinds.mapInPandas(visit, f"label {label}, v {vector}, rep {key}, copies long, cells array<int>"))
     group = placed.withColumn("size", F.size("v")).withColumn("home", F.element_at("cells", 1))
     code = lambda c: F.floor(c / width).cast("int")
-    blocks = group.groupBy("label", "size", code(F.col("home")).alias("code")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     codes = F.array_distinct(F.transform("cells", code))
-    guests = group.withColumn("code", F.explode(codes)).join(blocks, ["label", "size", "code"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    guests = guests.withColumn("member", (code(F.col("home")) == F.col("code")) & (F.pmod(F.xxhash64("rep"), F.col("blocks")) == F.col("block")))
+    guests = group.withColumn("code", F.explode(codes)).withColumn("lives", code(F.col("home")) == F.col("code"))
+    sizes = guests.groupBy("label", "size", "code").agg(F.ceil(F.count_if("lives") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    # members in blocks, visitors in parts, every block against every part in a task of its own
+    block, part_of = (F.pmod(F.xxhash64("rep", F.lit(name)), F.col(name)).cast("int") for name in ("blocks", "parts"))
+    role = lambda b, p, member: F.struct(b.alias("block"), p.alias("part"), F.lit(member).alias("member"))
+    visits = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: role(b, part_of, False))
+    lives = F.when(F.col("lives"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: role(block, p, True))).otherwise(F.array().cast("array<struct<block: int, part: int, member: boolean>>"))
+    guests = guests.join(sizes.filter("blocks > 0"), ["label", "size", "code"]).withColumn("role", F.explode(F.concat(visits, lives)))
+    guests = guests.select("label", "size", "code", "role.*", "v", "rep", "copies", "cells", "home")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         data, ids = unit(part["v"]), part["rep"].to_numpy()
@@ -134,13 +144,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         home, copies = part["home"].to_numpy(), part["copies"].to_numpy(np.int64)
         links = np.zeros(len(part), dtype=np.int64)
         tied: list[tuple[np.ndarray, np.ndarray]] = []
-        members = np.flatnonzero(part["member"].to_numpy(bool))
+        is_member = part["member"].to_numpy(bool)
+        members, visitors = np.flatnonzero(is_member), np.flatnonzero(~is_member)
         for cell in np.unique(home[members]):
             own = members[home[members] == cell]
-            comers = np.flatnonzero((cells == cell).any(axis=1))
-            alone = len(own) == 1 and len(comers) == 1
-            if alone:
-                continue
+            comers = visitors[(cells[visitors] == cell).any(axis=1)]
             for s in range(0, len(comers), 1024):
                 some = comers[s : s + 1024]
                 hit = data[some] @ data[own].T >= threshold
@@ -163,7 +171,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         b = np.concatenate([ids[counted], *(t[1] for t in tied)])
         return pd.DataFrame({"a": a, "b": b, "n": np.r_[links[counted], np.zeros(len(a) - len(counted), np.int64)]})
 
-    found = checkpoint(guests.select("label", "size", "code", "block", "member", "v", "rep", "copies", "cells", "home").groupBy("label", "size", "code", "block").applyInPandas(compare, f"a {key}, b {key}, n long"))
+    found = checkpoint(guests.groupBy("label", "size", "code", "block", "part").applyInPandas(compare, f"a {key}, b {key}, n long"))
     counts = found.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     moved = connected_components(found.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "rep")
     joined = kinds.join(counts, "rep", "left").join(moved, "rep", "left")
