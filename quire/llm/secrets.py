@@ -1,6 +1,6 @@
 """Secret scans with corpus-wide ownership frequency.
 
-One pass over the texts finds candidates; their hashes are then counted by distinct repositories and owners. A value that several owners hold is a copied example; one that stays with an owner and looks random is a live-looking credential. Bare copies of random-looking tokens become spans of their own only if the counts say so.
+One pass over the texts finds candidates; their hashes are then counted by distinct repositories and owners. A value that several owners hold is a copied example; one that stays with an owner is a live-looking credential. Bare copies of random-looking tokens become spans of their own only if the counts say so.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 SHORTEST_ASSIGN, SHORTEST_ACCESS, SHORTEST_HEX = 6, 20, 24
-#: A candidate beyond the base: this long, with letters and digits, and this random (bits a character).
+#: A candidate beyond the base: this long, with letters and digits, and random: this many bits a character, or this share of what its length and alphabet allow at the most.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGIT = re.compile(r"[0-9]")
-RANDOM_BITS = 3.5
+RANDOM_BITS, RANDOM_SHARE = 3.5, 0.7
+#: Alphabets a value may be drawn from, smallest first, and how many characters each has.
+ALPHABETS = ((re.compile(r"[0-9a-f]*|[0-9A-F]*"), 16), (re.compile(r"[0-9a-z]*|[0-9A-Z]*"), 36), (re.compile(r"[0-9A-Za-z]*"), 62))
 
-SCAN_SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, base string, found array<struct<kind:int,start:int,stop:int,value:long,random:boolean>>"
+SCAN_SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, base string, found array<struct<kind:int,start:int,stop:int,value:long>>"
 
 
 def bits(value: str) -> float:
@@ -39,6 +41,12 @@ def bits(value: str) -> float:
     return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) if n else 0.0
 
 
+def looks_random(value: str) -> bool:
+    """Whether its entropy is near what a value of its length and alphabet can have, or high by itself."""
+    size = next((n for pattern, n in ALPHABETS if pattern.fullmatch(value)), 64)
+    return bits(value) >= min(RANDOM_BITS, RANDOM_SHARE * math.log2(max(1, min(size, len(value)))))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(kind, start, stop, secret) of the base patterns by kind and place; offsets are code points, stop exclusive.
 
@@ -62,7 +70,7 @@ def more_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
     spans = []
     for m in TOKEN.finditer(text):
         value = m[0]
-        if DIGIT.search(value) and value.strip("0123456789+/_=-") and bits(value) >= RANDOM_BITS and not any(s < m.end() and m.start() < e for s, e in taken):
+        if DIGIT.search(value) and value.strip("0123456789+/_=-") and looks_random(value) and not any(s < m.end() and m.start() < e for s, e in taken):
             spans.append((3, m.start(), m.end(), value))
     return spans
 
@@ -75,7 +83,7 @@ def scan(text: str) -> tuple:
     """A row of SCAN_SCHEMA."""
     base = base_spans(text)
     kinds = Counter(x[0] for x in base)
-    found = [{"kind": k, "start": s, "stop": e, "value": xxhash.xxh64_intdigest(v.encode()) - (1 << 63), "random": bits(v) >= RANDOM_BITS or k == 1} for k, s, e, v in [*base, *more_spans(text, base)]]
+    found = [{"kind": k, "start": s, "stop": e, "value": xxhash.xxh64_intdigest(v.encode()) - (1 << 63)} for k, s, e, v in [*base, *more_spans(text, base)]]
     text_base = listed(base)
     return kinds[0], kinds[1], kinds[2], hashlib.sha256(text_base.encode()).hexdigest(), text_base, found
 
@@ -101,10 +109,10 @@ def ownership(rows: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame, few: int) -> DataFrame:
-    """(row, spans, n_live, n_example) of the rows with candidates. Live-looking: random, held by at most `few` owners; an added span must be live-looking and its owner's alone."""
+    """(row, spans, n_live, n_example) of the rows with candidates. Live-looking: held by at most `few` owners, whatever a base value looks like; an added span, random by the scan, must be its owner's alone."""
     marked = rows.select("row", F.explode("found").alias("f")).select("row", "f.*").join(ownership(rows), "value")
-    live = F.col("random") & (F.col("owners") <= few)
-    stays = (F.col("kind") < 3) | (F.col("random") & (F.col("owners") <= 1))
+    live = F.col("owners") <= few
+    stays = (F.col("kind") < 3) | (F.col("owners") <= 1)
     span = F.struct("start", "kind", "stop", live.alias("live"))
     return marked.filter(stays).groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_example"))
 

@@ -1,7 +1,8 @@
 import hashlib
+import random
 import re
 
-from quire.llm.secrets import base_spans, listed, redact, secret_scan
+from quire.llm.secrets import base_spans, listed, looks_random, redact, secret_scan
 
 HEX40 = "ffc3105535f423f352535e4ac53b5fefe076ac6d"
 OWN = "Zx9Qw8Er7Ty6Ui5Op4As3Df2"
@@ -53,3 +54,20 @@ def test_redact(spark):
     by = {r.doc_id: r.text for r in got}
     assert by[6] == "bare [SECRET] here" and by[3] is None and by[7] == f"bare {HEX40}" and by[4] == ""
     assert secret_scan(df.limit(0)).count() == 0 and redact(df.limit(0)).count() == 0
+
+
+def test_random_values_of_any_length_are_live(spark):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    values = ["".join(rng.choices(letters, k=n)) for n in range(6, 13) for _ in range(20)]
+    texts = [f"password={v} end" for v in values] + ["key " + "".join(rng.choices("0123456789abcdef", k=n)) + " end" for n in (24, 32, 40) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, f"s{i}", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    assert all((r.n_live, r.n_example) == (1, 0) for r in secret_scan(df).collect())
+    assert all("[SECRET]" in r.text for r in redact(df).collect())
+
+
+def test_bare_tokens_are_random_for_their_alphabet():
+    rng = random.Random(5)
+    for alphabet, n in (("0123456789ABCDEF", 20), ("0123456789ABCDEF", 32), ("0123456789abcdefghijklmnopqrstuvwxyz", 20), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 64)):
+        assert sum(looks_random("".join(rng.choices(alphabet, k=n))) for _ in range(500)) >= 498
+    assert not looks_random("a1" * 20) and not looks_random("0" * 30 + "a")
