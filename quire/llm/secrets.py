@@ -1,6 +1,6 @@
 """Secret scans with corpus-wide ownership frequency.
 
-One pass over the texts finds candidates; their hashes are then counted by distinct repositories and owners. A value that several owners hold is a copied example; one that stays with an owner is a live-looking credential. Bare copies of random-looking tokens become spans of their own only if the counts say so.
+One pass over the texts finds candidates; their hashes are then counted by distinct repositories and owners. A value that several owners or repositories hold is a copied example; one that stays with few of both is a live-looking credential. Bare copies of random-looking tokens become spans of their own only if the counts say so.
 """
 
 from __future__ import annotations
@@ -109,10 +109,10 @@ def ownership(rows: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame, few: int) -> DataFrame:
-    """(row, spans, n_live, n_example) of the rows with candidates. Live-looking: held by at most `few` owners, whatever a base value looks like; an added span, random by the scan, must be its owner's alone."""
+    """(row, spans, n_live, n_example) of the rows with candidates. Live-looking: held by at most `few` owners and at most `few` repositories, whatever a base value looks like; an added span, random by the scan, must also be its owner's alone."""
     marked = rows.select("row", F.explode("found").alias("f")).select("row", "f.*").join(ownership(rows), "value")
-    live = F.col("owners") <= few
-    stays = (F.col("kind") < 3) | (F.col("owners") <= 1)
+    live = (F.col("owners") <= few) & (F.col("repositories") <= few)
+    stays = (F.col("kind") < 3) | (live & (F.col("owners") <= 1))
     span = F.struct("start", "kind", "stop", live.alias("live"))
     return marked.filter(stays).groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_example"))
 

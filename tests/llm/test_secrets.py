@@ -71,3 +71,15 @@ def test_bare_tokens_are_random_for_their_alphabet():
     for alphabet, n in (("0123456789ABCDEF", 20), ("0123456789ABCDEF", 32), ("0123456789abcdefghijklmnopqrstuvwxyz", 20), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 64)):
         assert sum(looks_random("".join(rng.choices(alphabet, k=n))) for _ in range(500)) >= 498
     assert not looks_random("a1" * 20) and not looks_random("0" * 30 + "a")
+
+
+def test_copies_over_one_owners_repositories_are_examples(spark):
+    data = [(i, f"password={OWN} end", "s1", f"l{i % 5}") for i in range(10)] + [(20 + i, f"bare {OWN[::-1]} end", "s1", f"l{i}") for i in range(3)]
+    data += [(40 + i, "api_key=abc123 end", "s1", f"l{i}") for i in range(2)] + [(50, f"bare {HEX40} end", "s1", None), (51, f"bare {HEX40} end", "s1", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: (r.n_live, r.n_example) for r in secret_scan(df).collect()}
+    assert all(got[i] == (0, 1) for i in range(10))
+    assert all(got[i] == (0, 0) for i in (20, 21, 22))  # no span is added
+    assert all(got[i] == (1, 0) for i in (40, 41, 50, 51))
+    text = {r.doc_id: r.text for r in redact(df).collect()}
+    assert text[0] == data[0][1] and text[20] == data[10][1] and text[40] == "[SECRET] end" and text[50] == "bare [SECRET] end"
