@@ -1,6 +1,6 @@
 """Toxicity scores by a subsequence string kernel, Nyström features and a linear support vector machine.
 
-The kernel of two words sums their common subsequences of three letters, each weighted by how far it is spread in both, so an insult with letters put in or left out stays near. Landmarks are the words that toxic training texts hold most beyond others. A sentence's feature for a landmark is the kernel of its nearest word; features are whitened by the landmarks' own kernel matrix (Nyström) and a support vector machine, trained on the sentences of labelled documents, weighs them. A document's score is calibrated from its worst sentence.
+The kernel of two words sums their common subsequences of three letters, each weighted by how far it is spread in both, so an insult with letters put in or left out stays near. A second kernel, of as many letters as the landmark has, is kept for words that hold the whole landmark in order: short insults with letters put in share too few close threes with it. Landmarks are the words that toxic training texts hold most beyond others. A sentence's two features for a landmark are the kernels of its nearest word; those of three letters are whitened by the landmarks' own kernel matrix (Nyström) and a support vector machine, trained on the sentences of labelled documents, weighs them. A document's score is calibrated from its worst sentence.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ ORDER, DECAY = 3, 0.6
 POWER, NEAR = 3, 0.45
 #: Longer words are looked at in overlapping windows.
 WINDOW, STEP = 24, 12
-#: What texts of one altered landmark weigh in calibration, as a share of the toxic texts.
-ALTERED = 0.02
+#: The root that is drawn of the kernel of whole landmarks, so that each letter put in costs little.
+ROOT = 5
 
 #: Texts whose words are looked up together; pairs of words compared at once; chunks and words that a task remembers.
 TOGETHER, PAIRS, KEPT = 200, 1024, 200_000
@@ -101,6 +101,7 @@ class Kernel:
                 self.by_letter.setdefault(c, np.zeros(len(landmarks), dtype=np.int16))[j] = 1
         self.needed = np.array([max(3, len(s) - 1) for s in self.sets], dtype=np.int16)
         self.by_set = Remembered(self.sharing, 50_000)
+        self.inside = [re.compile(".*".join(map(re.escape, w)), re.DOTALL) for w in landmarks]
 
     def sharing(self, letters: frozenset) -> list[int]:
         """Landmarks that lack one of these letters' words at the most."""
@@ -139,6 +140,27 @@ class Kernel:
         return out
 
 
+    def both(self, words: list[str]) -> np.ndarray:
+        """A row for each word: of(), then the kernels of whole landmarks, zero where a word doesn't hold all letters of one in order."""
+        held: dict[int, list[tuple[int, str]]] = {}
+        for i, w in enumerate(words):
+            for s in range(0, max(1, len(w) - WINDOW + STEP), STEP) if len(w) > WINDOW else (0,):
+                part = w[s : s + WINDOW]
+                own = frozenset(part)
+                for j in self.by_set[own]:
+                    if self.sets[j] <= own and self.inside[j].search(part):
+                        held.setdefault(j, []).append((i, part))
+        out = np.zeros((len(words), len(self.landmarks)))
+        for j, found in held.items():
+            n = len(self.landmarks[j])
+            for s in range(0, len(found), PAIRS):
+                some = found[s : s + PAIRS]
+                codes, _ = coded([part for _, part in some])
+                value = raw_kernel(codes, np.repeat(self.codes[j : j + 1, :n], len(some), axis=0), n) / (np.sqrt(raw_kernel(codes, codes, n)) * DECAY**n)
+                np.maximum.at(out[:, j], [i for i, _ in some], value ** (1 / ROOT))
+        return np.c_[self.of(words), out]
+
+
 class Scorer:
     """A trained model at work: sentence features by a bounded table of chunks."""
 
@@ -163,7 +185,7 @@ class Scorer:
         spelt = {c: letters(c) for c in new}
         fresh = sorted({w for w in spelt.values() if w not in self.words})
         if fresh:
-            values = self.kernel.of(fresh)
+            values = self.kernel.both(fresh)
             near = values.any(axis=1)
             self.words |= {w: values[i] if near[i] else None for i, w in enumerate(fresh)}
         self.rows |= {c: self.words[w] for c, w in spelt.items()}
@@ -175,7 +197,7 @@ class Scorer:
         found = list(map(self.rows.__getitem__, chunks))
         near = [i for i, x in enumerate(found) if x is not None]
         if not near:
-            return np.zeros((0, len(self.kernel.landmarks)))
+            return np.zeros((0, 2 * len(self.kernel.landmarks)))
         ends = [i for i, c in enumerate(chunks) if c[-1] in ".!?"]
         sentence = np.searchsorted(ends, near)
         starts = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
@@ -193,9 +215,9 @@ def summary(decisions: np.ndarray, base: float) -> np.ndarray:
     return np.array([three[-1], 4 * max(0.0, three[-1] - 0.5), three.sum(), 1.0])
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 300.0) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, by Newton steps on the rows within the margin; labels are 1 and -1, both classes weigh the same."""
-    weight = 2 * cost * np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+def train_svm(x: np.ndarray, y: np.ndarray, each: np.ndarray, cost: float = 300.0) -> tuple[np.ndarray, float]:
+    """Linear support vector machine with squared hinge loss, by Newton steps on the rows within the margin; labels are 1 and -1, both classes weigh the same, their rows as `each` says."""
+    weight = 2 * cost * each * np.where(y > 0, 0.5 / max(1, each[y > 0].sum()), 0.5 / max(1, each[y < 0].sum()))
     z = np.c_[x, np.ones(len(x))]
     ridge = np.diag([*np.ones(x.shape[1]), 1e-6])
     t = np.zeros(z.shape[1])
@@ -226,7 +248,7 @@ def train_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarr
 def learn(labelled: DataFrame) -> dict:
     """A model from a bounded sample of rows (id, text, label 0 or 1).
 
-    Words are counted on the executors and only the LANDMARKS best come to the driver; so do the sample's sentence features, a few floats for each sampled document. Altered landmarks join the toxic sentences of the vector machine, whose weights tell which landmarks bear it. One label alone gives a constant score.
+    Words are counted on the executors and only the LANDMARKS best come to the driver; so do the sample's sentence features, a few floats for each sampled document. Altered landmarks join the toxic sentences of the vector machine, whose weights tell which landmarks bear it, and calibration as toxic texts; each landmark's weigh by how many texts hold it, in calibration as much as all toxic texts together, and clean ones twice, so labels keep their shares. One label alone gives a constant score.
     """
     sample = checkpoint(labelled.filter("text IS NOT NULL"))
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -243,12 +265,15 @@ def learn(labelled: DataFrame) -> dict:
     rates = F.col("p") / pos, F.col("n") / neg
     odds = F.log((rates[0] + 0.5 / pos) / (rates[1] + 0.5 / neg))
     best = found.filter(F.col("p") >= max(LEAST_DOCS, LEAST_SHARE * pos)).withColumn("gain", rates[0] * odds).filter(odds > 2.0).orderBy(F.col("gain").desc(), "word").limit(CANDIDATES)
-    landmarks = spread([r["word"] for r in best.collect()])
+    held = {r["word"]: r["p"] for r in best.collect()}
+    landmarks = spread(list(held))
     kernel = Kernel(landmarks)
     gram = kernel.of(landmarks) if landmarks else np.zeros((0, 0))
     values, vectors = np.linalg.eigh((gram + gram.T) / 2) if landmarks else (np.zeros(0), np.zeros((0, 0)))
-    whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    untrained = {"landmarks": landmarks, "whiten": whiten, "weights": np.zeros(len(landmarks)), "base": 0.0, "calibration": np.zeros(4)}
+    size = len(landmarks)
+    whiten = np.eye(2 * size)
+    whiten[:size, :size] = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
+    untrained = {"landmarks": landmarks, "whiten": whiten, "weights": np.zeros(2 * size), "base": 0.0, "calibration": np.zeros(4)}
     shared, key = sample.sparkSession.sparkContext.broadcast(untrained), digest(untrained)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,24 +286,26 @@ def learn(labelled: DataFrame) -> dict:
     rows = sample.select("label", "text").mapInPandas(featured, "label int, rows array<array<double>>").collect()
     x, y, owner = [], [], []
     for i, r in enumerate(rows):
-        for row in r["rows"] or [[0.0] * len(landmarks)]:
+        for row in r["rows"] or [[0.0] * (2 * size)]:
             x.append(row)
             y.append(1.0 if r["label"] else -1.0)
             owner.append(i)
-    x, y, owner = np.array(x).reshape(len(x), len(landmarks)) @ whiten, np.array(y), np.array(owner)
-    bent = kernel.of([w for m in landmarks for w in variants(m)]) if landmarks else x[:0]
-    weights, base = train_svm(np.r_[x, bent @ whiten], np.r_[y, np.ones(len(bent))])
+    x, y, owner = np.array(x).reshape(len(x), 2 * size) @ whiten, np.array(y), np.array(owner)
+    bent = kernel.both([w for m in landmarks for w in variants(m)]) if landmarks else x[:0]
+    likely = np.array([held[m] / len(variants(m)) for m in landmarks for _ in variants(m)])
+    weights, base = train_svm(np.r_[x, bent @ whiten], np.r_[y, np.ones(len(bent))], np.r_[np.ones(len(x)), likely])
     decisions = x @ weights + base
     ends = np.searchsorted(owner, np.arange(len(rows) + 1))
     made = [summary(decisions[s:e], base) for s, e in zip(ends[:-1], ends[1:], strict=True)]
     altered = [summary(d, base) for d in (bent @ whiten @ weights + base)[:, None]]
-    labels, weight = np.r_[[r["label"] for r in rows], np.ones(len(altered))].astype(float), np.r_[np.ones(len(made)), np.full(len(altered), ALTERED * pos / max(1, len(altered)))]
+    labels, weight = np.r_[[r["label"] for r in rows], np.ones(len(altered))].astype(float), np.r_[np.where([r["label"] for r in rows], 1.0, 1 + bool(len(altered))), pos * likely / max(1, likely.sum())]
     return untrained | {"weights": weights, "base": base, "calibration": train_logistic(np.array(made + altered), labels, weight)}
 
 
 def variants(word: str) -> list[str]:
-    """The word with a letter put in or left out, at every place but its ends."""
-    return [w for i in range(1, len(word)) for w in (word[:i] + "x" + word[i:], word[:i] + word[i + 1 :] if i < len(word) - 1 else word)]
+    """The word with a letter put in or left out or two put in, at every place but its ends, and with one in every gap."""
+    one = [w for i in range(1, len(word)) for w in (word[:i] + "x" + word[i:], word[:i] + word[i + 1 :] if i < len(word) - 1 else word)]
+    return [*one, *(word[:i] + "x" + word[i:k] + "x" + word[k:] for i in range(1, len(word)) for k in range(i, len(word))), "x".join(word)]
 
 
 def spread(candidates: list[str]) -> list[str]:

@@ -63,3 +63,22 @@ def test_scores(spark):
     assert by[2000].score == by[2001].score == by[2002].score < 0.5
     assert T.toxicity(docs.limit(0), marks, F.lit(True)).count() == 0
     assert np.allclose([r.score for r in T.toxicity(docs, marks.limit(0), F.lit(True)).collect()], 1 / (1 + np.exp(4.0)))
+
+
+def test_short_insults_with_letters_put_in(spark):
+    rng = random.Random(6)
+    insults = ["scum", "trash", "clown", "idiot", "moron", "stupid"]
+    sound = ["".join(rng.choices("aeioubfgvwz", k=rng.randint(2, 7))) for _ in range(80)]
+    data, labels = [], []
+    for i in range(300):
+        words = rng.choices(sound, k=30)
+        if i % 3 == 0:
+            words[rng.randrange(30)] = rng.choice(insults)
+        data.append((i, " ".join(words) + "."))
+        labels.append((i, int(i % 3 == 0)))
+    bent = [w[:i] + "k" + w[i:] for w in insults for i in range(1, len(w))] + [w[:i] + "k" + w[i:j] + "y" + w[j:] for w in insults for i in range(1, len(w)) for j in range(i, len(w))]
+    data += [(1000 + i, f"you {w} now") for i, w in enumerate(bent)] + [(5000 + i, f"kind {w} now") for i, w in enumerate(sound)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    by = {r.doc_id: r.predicted for r in T.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True)).collect()}
+    assert [w for i, w in enumerate(bent) if by[1000 + i] != 1] == []
+    assert not any(by[5000 + i] for i in range(len(sound)))
