@@ -32,7 +32,9 @@ BOUNDS = {"li": frozenset(("ul", "ol", "menu", "dir")), "dt": frozenset(("dl",))
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|>)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
 NAMED = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+MAYBE_HIDDEN = re.compile(r"hidden|style", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 CLASS_WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -111,7 +113,7 @@ def parse(source: str) -> Tree:
             elif name in CELLS:
                 parts.append(" ")
             continue
-        if name in DROPPED or (attrs and HIDDEN.search(attrs) and name not in VOID):
+        if name in DROPPED or (attrs and name not in VOID and hidden(attrs)):
             if low is None:
                 low = source.lower() if len(source.lower()) == size else source
             end = closing_of(low, name, at)
@@ -145,6 +147,16 @@ def parse(source: str) -> Tree:
     return tree
 
 
+def hidden(attrs: str) -> bool:
+    """Whether an attribute of its own says so: hidden, aria-hidden or a style. Of equal names the first counts."""
+    if not MAYBE_HIDDEN.search(attrs):
+        return False
+    first: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attrs):
+        first.setdefault(m[1].lower(), html.unescape((m[2] or "").strip("\"'")))
+    return "hidden" in first or first.get("aria-hidden", "").strip().lower() == "true" or bool(NOT_SHOWN.search(first.get("style", "")))
+
+
 def closing_of(low: str, name: str, at: int) -> int:
     """Where the element that began before `at` ends; elements of its name may stand in it, but for raw text. -1: nowhere."""
     depth = 1

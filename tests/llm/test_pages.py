@@ -54,3 +54,14 @@ def test_cases(spark):
 def test_deep_tree():
     model = P.train(P.labelled_pages(50))
     P.main_text(model, "<div>" * 30000 + "<p>Deep down.")
+
+
+def test_hidden_is_an_attribute_of_its_own():
+    for attrs in (' title="The hidden valley"', ' href="/x" title="a hidden gem"', ' data-title="Our hidden history"', ' class="menu hidden md:block"', " data-x='display: none'", ' title="aria-hidden=true"', ' title="left hidden'):
+        assert not P.hidden(attrs), attrs
+        if attrs.count('"') % 2 == 0:
+            assert "Words" in P.parse(f"<section{attrs}>Words</section>").text, attrs
+    for attrs in (" hidden", " HIDDEN=''", ' class="a" hidden="until-found"', " aria-hidden=true", ' aria-hidden = "True"', ' style="color:red; DISPLAY : none"', " hidden/", " id=x\nhidden"):
+        assert P.hidden(attrs), attrs
+        assert "Words" not in P.parse(f"<section{attrs}>Words</section>").text, attrs
+    assert not P.hidden(' aria-hidden="false" style="display:block"')
