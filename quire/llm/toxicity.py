@@ -1,17 +1,17 @@
 """Toxicity scores by a subsequence string kernel, Nyström features and a linear support vector machine.
 
-The kernel of two words sums their common subsequences of three letters, each weighted by how far it is spread in both, so an insult with letters put in or left out stays near. A second kernel, of as many letters as the landmark has, is kept for words that hold the whole landmark in order: short insults with letters put in share too few close threes with it. Landmarks are the words that toxic training texts hold most beyond others. A sentence's two features for a landmark are the kernels of its nearest word; those of three letters are whitened by the landmarks' own kernel matrix (Nyström) and a support vector machine, trained on the sentences of labelled documents, weighs them. A document's score is calibrated from its worst sentence.
+The kernel of two words sums their common subsequences of three letters, each weighted by how far it is spread in both, so an insult with letters put in, left out or doubled stays near. Landmarks are words that distinct toxic training texts hold significantly more often than clean ones. A document has two features for each: how far its nearest word goes beyond what clean texts reach, which is learned too, and how often its words come near. They are whitened by the landmarks' own kernel matrix (Nyström), a support vector machine weighs them and a logistic curve makes its decision a score.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,25 +20,28 @@ from quire.llm.common import bounded_rows, checkpoint, digest, once, whole
 
 #: Labelled documents of each label that are learned from, about, at the most.
 ROWS = 6000
-#: Words shared by fewer toxic training texts, by count and by share, or short ones, are no landmarks (a group of near copies shares all its words); how many there are at the most.
-LEAST_DOCS, LEAST_SHARE, SHORTEST, LANDMARKS = 3, 0.01, 4, 96
-#: Candidates for landmarks that come to the driver; a landmark is farther than this from all before it.
-CANDIDATES, APART = 600, 0.8
 #: Letters in a subsequence; what each letter of spread costs.
-ORDER, DECAY = 3, 0.6
-#: The kernel is raised to this power (again a kernel), so near words count by far the most; below NEAR it is taken as zero, so most words need no feature.
-POWER, NEAR = 3, 0.45
+ORDER, DECAY = 3, 0.9
+#: Landmarks at the most, and candidates for them that come to the driver; the fewest distinct toxic texts that hold one; the least likelihood ratio (2 ln) for its being more frequent there, which chance gives less than once in 20 million words.
+LANDMARKS, CANDIDATES, LEAST_DOCS, SIGNIFICANT = 96, 600, 3, 30.0
+#: A landmark's kernel with each one before it is less than this.
+APART = 0.8
+#: Lesser kernels count as zero; the share of clean training texts that may go beyond a landmark's level; the share of the way from that level to an equal word after which a feature is whole.
+FLOOR, BEYOND, WHOLE_FROM = 0.3, 0.0005, 0.5
+#: The share of near words from which the second feature is whole; texts count as this long at the least.
+RATE, SHORT = 0.02, 10
+#: Lesser eigenvalues of the landmarks' kernel matrix are raised to this; weight of the training rows against the size of the vector machine's weights.
+EIGEN, COST = 0.2, 3000.0
 #: Longer words are looked at in overlapping windows.
 WINDOW, STEP = 24, 12
-#: The root that is drawn of the kernel of whole landmarks, so that each letter put in costs little.
-ROOT = 5
+#: Minimum hashes of a training text in bands: texts that share a band, likely from a similarity of 0.8 on, are near copies.
+BANDS, IN_BAND, SHINGLE = 8, 4, 5
 
-#: Texts whose words are looked up together; pairs of words compared at once; chunks and words that a task remembers.
-TOGETHER, PAIRS, KEPT = 200, 1024, 200_000
+#: Code points looked at together; pairs of words compared at once; words that a task remembers; letters told apart by one mask.
+SLICE, PAIRS, KEPT, MASK = 1 << 20, 1024, 200_000, 63
+POINTS = 0x110000
 
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
-SINGLE = re.compile(r"(?:^|\s)\S\s+\S\s+\S(?:\s|$)")
-SPACED = regex.compile(r"(?<!\S)(?:\p{L}\s+){2,}\p{L}(?!\S)")
 
 
 def letters(chunk: str) -> str:
@@ -46,17 +49,12 @@ def letters(chunk: str) -> str:
     return NOT_LETTERS.sub("", chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()
 
 
-def joined(text: str) -> str:
-    """The text with letters that stand singly, three or more in a row, put together."""
-    return SPACED.sub(lambda m: NOT_LETTERS.sub("", m[0]), text) if SINGLE.search(text) else text
-
-
 def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letters as a matrix of code points, padded by zero, and the lengths."""
     size = max(map(len, words), default=1)
     out = np.zeros((len(words), size), dtype=np.int32)
     for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), dtype="<u4")
+        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     return out, np.array([len(w) for w in words])
 
 
@@ -82,9 +80,12 @@ def raw_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float =
     return (equal * prefix[:-1, :-1]).sum(axis=(0, 1))
 
 
-def self_kernel(words: list[str]) -> np.ndarray:
-    a, _ = coded(words)
-    return np.maximum(raw_kernel(a, a), 1e-12)
+def norms_of(codes: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(raw_kernel(codes, codes), 1e-12))
+
+
+def windows(word: str) -> list[str]:
+    return [word[s : s + WINDOW] for s in range(0, len(word) - WINDOW + STEP, STEP)] if len(word) > WINDOW else [word]
 
 
 class Kernel:
@@ -92,132 +93,133 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.codes, self.lengths = coded(landmarks) if landmarks else (np.zeros((0, 1), np.int32), np.zeros(0))
-        self.norms = np.sqrt(self_kernel(landmarks)) if landmarks else np.zeros(0)
+        self.codes, _ = coded(landmarks)
+        self.norms = norms_of(self.codes) if landmarks else np.zeros(0)
         self.sets = [frozenset(w) for w in landmarks]
-        self.by_letter: dict[str, np.ndarray] = {}
-        for j, s in enumerate(self.sets):
-            for c in s:
-                self.by_letter.setdefault(c, np.zeros(len(landmarks), dtype=np.int16))[j] = 1
-        self.needed = np.array([max(3, len(s) - 1) for s in self.sets], dtype=np.int16)
-        self.by_set = Remembered(self.sharing, 50_000)
-        self.inside = [re.compile(".*".join(map(re.escape, w)), re.DOTALL) for w in landmarks]
-
-    def sharing(self, letters: frozenset) -> list[int]:
-        """Landmarks that lack one of these letters' words at the most."""
-        rows = [self.by_letter[c] for c in letters if c in self.by_letter]
-        return np.flatnonzero(sum(rows) >= self.needed).tolist() if len(rows) >= 3 else []
+        self.alphabet = sorted(frozenset().union(*self.sets))
+        self.needed = np.array([max(min(ORDER, len(s)), len(s) - 1) for s in self.sets], dtype=np.uint8)
+        self.by_set = Remembered(lambda own: [j for j, s in enumerate(self.sets) if len(own & s) >= self.needed[j]], 50_000)
 
     def of(self, words: list[str]) -> np.ndarray:
-        """A row for each word; zero where a word lacks two or more of a landmark's letters, or the kernel is below NEAR."""
+        """A row for each word: its kernels, of its nearest window if it is long; zero below FLOOR and where a word lacks two or more of a landmark's letters."""
         out = np.zeros((len(words), len(self.landmarks)))
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            for s in range(0, max(1, len(w) - WINDOW + STEP), STEP) if len(w) > WINDOW else (0,):
-                parts.append(w[s : s + WINDOW])
-                owner.append(i)
-        left, right = [], []
-        for k, w in enumerate(parts):
-            hit = self.by_set[frozenset(w)]
-            left += [k] * len(hit)
-            right += hit
-        if not left:
-            return out
-        codes, _ = coded(parts)
-        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        order = np.argsort(size[left], kind="stable")
-        left, right = np.array(left)[order].tolist(), np.array(right)[order].tolist()
-        norms = {}
-        need = list(dict.fromkeys(left))  # by length, so little is padded
-        for s in range(0, len(need), PAIRS):
-            some = need[s : s + PAIRS]
-            own = codes[some, : size[some[-1]]]
-            norms |= zip(some, np.sqrt(np.maximum(raw_kernel(own, own), 1e-12)), strict=True)
-        for s in range(0, len(left), PAIRS):
-            a, b = left[s : s + PAIRS], right[s : s + PAIRS]
-            value = raw_kernel(codes[a, : size[a[-1]]], self.codes[b]) / (np.array([norms[x] for x in a]) * self.norms[b])
-            np.maximum.at(out, ([owner[x] for x in a], b), np.where(value >= NEAR, value**POWER, 0))
+        parts = [(i, part) for i, w in enumerate(words) for part in windows(w)]
+        near = [self.by_set[frozenset(part)] for _, part in parts]
+        need = sorted((k for k, js in enumerate(near) if js), key=lambda k: len(parts[k][1]))  # by length, so little is padded
+        codes, size = coded([parts[k][1] for k in need])
+        norms = np.concatenate([norms_of(codes[s : s + PAIRS, : size[s : s + PAIRS].max()]) for s in range(0, len(need), PAIRS)]) if need else np.zeros(0)
+        lefts, rights = np.repeat(np.arange(len(need)), [len(near[k]) for k in need]), np.array([j for k in need for j in near[k]], dtype=int)
+        owner = np.array([parts[k][0] for k in need], dtype=int)
+        for s in range(0, len(lefts), PAIRS):
+            left, right = lefts[s : s + PAIRS], rights[s : s + PAIRS]
+            value = raw_kernel(codes[left, : size[left[-1]]], self.codes[right]) / (norms[left] * self.norms[right])
+            np.maximum.at(out, (owner[left], right), np.where(value >= FLOOR, value, 0.0))
         return out
 
 
-    def both(self, words: list[str]) -> np.ndarray:
-        """A row for each word: of(), then the kernels of whole landmarks, zero where a word doesn't hold all letters of one in order."""
-        held: dict[int, list[tuple[int, str]]] = {}
-        for i, w in enumerate(words):
-            for s in range(0, max(1, len(w) - WINDOW + STEP), STEP) if len(w) > WINDOW else (0,):
-                part = w[s : s + WINDOW]
-                own = frozenset(part)
-                for j in self.by_set[own]:
-                    if self.sets[j] <= own and self.inside[j].search(part):
-                        held.setdefault(j, []).append((i, part))
-        out = np.zeros((len(words), len(self.landmarks)))
-        for j, found in held.items():
-            n = len(self.landmarks[j])
-            for s in range(0, len(found), PAIRS):
-                some = found[s : s + PAIRS]
-                codes, _ = coded([part for _, part in some])
-                value = raw_kernel(codes, np.repeat(self.codes[j : j + 1, :n], len(some), axis=0), n) / (np.sqrt(raw_kernel(codes, codes, n)) * DECAY**n)
-                np.maximum.at(out[:, j], [i for i, _ in some], value ** (1 / ROOT))
-        return np.c_[self.of(words), out]
-
+class Reader:
+    """A text's nearest word to each landmark.
 
-class Scorer:
-    """A trained model at work: sentence features by a bounded table of chunks."""
+    Texts are read as arrays of code points: a mask of each word's letters tells, for all words at once, which could be near a landmark; only those are looked up in a bounded table of words met before.
+    """
 
-    def __init__(self, model: dict):
-        self.model, self.kernel = model, Kernel(model["landmarks"])
+    def __init__(self, landmarks: list[str]):
+        self.kernel = Kernel(landmarks)
+        self.space = np.zeros(POINTS, dtype=bool)
+        self.space[[i for i in range(0x3001) if chr(i).isspace()]] = True
+        self.masks: list[tuple[np.ndarray, np.ndarray]] = []
+        for s in range(0, len(self.kernel.alphabet), MASK):
+            bits = np.zeros(POINTS, dtype=np.uint64)
+            some = self.kernel.alphabet[s : s + MASK]
+            for i, c in enumerate(some):
+                bits[[ord(x) for x in {c, c.upper()} if len(x) == 1]] = 1 << i
+            self.masks.append((bits, np.array([sum(1 << i for i, c in enumerate(some) if c in own) for own in self.kernel.sets], dtype=np.uint64)))
         self.rows: dict[str, np.ndarray | None] = {}
-        self.words: dict[str, np.ndarray | None] = {}
 
-    def warm(self, texts: list[str]) -> None:
-        """Look all chunks of some texts up at once: kernels of many words take little longer than of one."""
-        self.features(list(set().union(*(joined(t).split() for t in texts))))
+    def near(self, texts: list[str]) -> np.ndarray:
+        """A row for each text: for each landmark the greatest kernel of its words, then for each the share of its words that are near."""
+        size = len(self.kernel.landmarks)
+        out, lengths = np.zeros((len(texts), 2 * size)), np.zeros(len(texts))
+        parts: list[tuple[int, str]] = []
+        held = 0
+        for i, text in enumerate(texts if size else []):
+            for part in slices(text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)):
+                if held + len(part) > SLICE:
+                    self.scan(parts, out, lengths)
+                    parts, held = [], 0
+                parts.append((i, part))
+                held += len(part) + 1
+        if parts:
+            self.scan(parts, out, lengths)
+        out[:, size:] /= np.maximum(lengths, SHORT)[:, None]
+        return out
 
-    def features(self, chunks: list[str]) -> None:
-        """See that rows holds all chunks: None where no landmark is near."""
-        new = {c for c in chunks if c not in self.rows}
+    def scan(self, parts: list[tuple[int, str]], out: np.ndarray, lengths: np.ndarray) -> None:
+        text = "\n".join(part for _, part in parts)
+        data = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        gap = self.space[data]
+        starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+        if not len(starts):
+            return
+        ends = np.flatnonzero(~gap & np.r_[gap[1:], True]) + 1
+        counts = np.zeros((len(self.kernel.landmarks), len(starts)), dtype=np.uint8)
+        for bits, own in self.masks:
+            mask = np.bitwise_or.reduceat(bits[data], starts)
+            for j in range(len(own)):
+                counts[j] += np.bitwise_count(mask & own[j])
+        hit = np.flatnonzero((counts >= self.kernel.needed[:, None]).any(axis=0))
+        begins = np.cumsum([0, *(len(part) + 1 for _, part in parts[:-1])])
+        doc = np.array([i for i, _ in parts])[np.searchsorted(begins, starts, side="right") - 1]
+        lengths += np.bincount(doc, minlength=len(lengths))
+        words = [text[s:e] for s, e in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True)]
+        docs = doc[hit].tolist()
+        for at in spelt(np.flatnonzero(ends - starts == 1), doc):
+            word = "".join(text[i] for i in starts[at])
+            if word.isalpha():
+                words.append(word)
+                docs.append(int(doc[at[0]]))
+        self.look_up(words)
+        found = [(i, row) for i, row in zip(docs, map(self.rows.__getitem__, words), strict=True) if row is not None]
+        if found:
+            owners, rows = [i for i, _ in found], np.array([row for _, row in found])
+            np.maximum.at(out[:, : rows.shape[1]], owners, rows)
+            np.add.at(out[:, rows.shape[1] :], owners, np.maximum(rows - FLOOR, 0) / (1 - FLOOR))
+
+    def look_up(self, words: list[str]) -> None:
+        """See that rows holds all words: None where no landmark is near. Kernels of many words together take little longer than of one."""
+        new = {w for w in words if w not in self.rows}
         if not new:
             return
         if len(self.rows) + len(new) > KEPT:
             self.rows.clear()
-            self.words.clear()
-            new = set(chunks)
-        spelt = {c: letters(c) for c in new}
-        fresh = sorted({w for w in spelt.values() if w not in self.words})
-        if fresh:
-            values = self.kernel.both(fresh)
-            near = values.any(axis=1)
-            self.words |= {w: values[i] if near[i] else None for i, w in enumerate(fresh)}
-        self.rows |= {c: self.words[w] for c, w in spelt.items()}
-
-    def sentence_rows(self, text: str) -> np.ndarray:
-        """Features of the sentences that hold a near word, each landmark's nearest one. A sentence ends with a chunk that ends in a full stop, exclamation or question mark."""
-        chunks = joined(text).split()
-        self.features(chunks)
-        found = list(map(self.rows.__getitem__, chunks))
-        near = [i for i, x in enumerate(found) if x is not None]
-        if not near:
-            return np.zeros((0, 2 * len(self.kernel.landmarks)))
-        ends = [i for i, c in enumerate(chunks) if c[-1] in ".!?"]
-        sentence = np.searchsorted(ends, near)
-        starts = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
-        return np.maximum.reduceat(np.array([found[i] for i in near]), starts, axis=0)
-
-    def score(self, text: str) -> float:
-        rows, m = self.sentence_rows(text), self.model
-        decisions = rows @ m["whiten"] @ m["weights"] + m["base"]
-        return float(1 / (1 + np.exp(-np.clip(summary(decisions, m["base"]) @ m["calibration"], -30, 30))))
-
-
-def summary(decisions: np.ndarray, base: float) -> np.ndarray:
-    """What a document's score is made of: its worst sentence, how far that one is beyond half the margin, its worst three together, a sentence without near words in the place of those it lacks; and 1."""
-    three = np.sort(np.r_[decisions, base, base, base])[-3:]
-    return np.array([three[-1], 4 * max(0.0, three[-1] - 0.5), three.sum(), 1.0])
-
-
-def train_svm(x: np.ndarray, y: np.ndarray, each: np.ndarray, cost: float = 300.0) -> tuple[np.ndarray, float]:
+            new = set(words)
+        plain = {w: letters(w) for w in new}
+        distinct = sorted(set(plain.values()))
+        values = dict(zip(distinct, self.kernel.of(distinct), strict=True))
+        self.rows |= {w: values[p] if values[p].any() else None for w, p in plain.items()}
+
+
+def slices(text: str) -> Iterator[str]:
+    """The text in parts of about SLICE, cut at white space after a word of two or more letters; where there is none parts overlap by a window."""
+    at = 0
+    while len(text) - at > SLICE:
+        end = next((e for e in range(at + SLICE, at + SLICE // 2, -1) if text[e].isspace() and not text[e - 1].isspace() and not text[e - 2].isspace()), None)
+        yield text[at : end or at + SLICE]
+        at = end or at + SLICE - WINDOW
+    yield text[at:]
+
+
+def spelt(single: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """Runs of three or more words of one letter each: words spelt out."""
+    if len(single) < 3:
+        return []
+    cuts = np.flatnonzero((np.diff(single) > 1) | (np.diff(doc[single]) != 0)) + 1
+    return [run for run in np.split(single, cuts) if len(run) > 2]
+
+
+def train_svm(x: np.ndarray, y: np.ndarray, each: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps on the rows within the margin; labels are 1 and -1, both classes weigh the same, their rows as `each` says."""
-    weight = 2 * cost * each * np.where(y > 0, 0.5 / max(1, each[y > 0].sum()), 0.5 / max(1, each[y < 0].sum()))
+    weight = cost * each / np.where(y > 0, each[y > 0].sum(), each[y < 0].sum())
     z = np.c_[x, np.ones(len(x))]
     ridge = np.diag([*np.ones(x.shape[1]), 1e-6])
     t = np.zeros(z.shape[1])
@@ -235,77 +237,110 @@ def train_svm(x: np.ndarray, y: np.ndarray, each: np.ndarray, cost: float = 300.
     return t[:-1], float(t[-1])
 
 
-def train_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights of the columns of x (the last is 1) that fit P(label 1), by Newton steps; a little ridge keeps them finite."""
-    t = np.zeros(x.shape[1])
+def train_logistic(decisions: np.ndarray, y: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """(slope, offset) that fit P(label 1), by Newton steps; a little ridge keeps them finite."""
+    x, t = np.c_[decisions, np.ones(len(decisions))], np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(len(t)) * 1e-2
-        t = t - np.linalg.solve(h, x.T @ (weight * (p - y)) + 1e-2 * t)
+        h = (x * (each * p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-2
+        t = t - np.linalg.solve(h, x.T @ (each * (p - y)) + 1e-2 * t)
     return t
 
 
+class Scorer:
+    """A trained model at work."""
+
+    def __init__(self, model: dict):
+        self.model, self.reader = model, Reader(model["landmarks"])
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        m = self.model
+        decisions = features(self.reader.near(texts), m["levels"]) @ m["whiten"] @ m["weights"] + m["base"]
+        return 1 / (1 + np.exp(-np.clip(decisions * m["curve"][0] + m["curve"][1], -30, 30)))
+
+
+def features(near: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """How far each kernel goes beyond its level, 0 up to there, 1 from WHOLE_FROM of the way to an equal word; then how near the share of near words comes to RATE."""
+    size = len(levels)
+    return np.c_[np.clip((near[:, :size] - levels) / ((1 - levels) * WHOLE_FROM), 0, 1), np.minimum(near[:, size:] / RATE, 1)]
+
+
+def sketch(text: str) -> list[int]:
+    """Hashes of bands of minimum hashes of the text's shingles, each with its band's number in it."""
+    words = text.lower().split() or [""]
+    hashed = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+    n = max(1, len(words) - SHINGLE + 1)
+    shingles = np.zeros(n, dtype=np.uint64)
+    for i in range(min(SHINGLE, len(words))):
+        shingles = (shingles ^ hashed[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        shingles ^= shingles >> np.uint64(29)
+    rng = np.random.default_rng(3)
+    factors = rng.integers(1, 1 << 63, BANDS * IN_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    lows = np.array([(shingles * f >> np.uint64(20)).min() for f in factors], dtype=np.uint64).reshape(BANDS, IN_BAND)
+    return [xxhash.xxh64_intdigest(row.tobytes(), b) - (1 << 63) for b, row in enumerate(lows)]
+
+
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """One row of each group of near copies with one label, of a bounded, checkpointed sample (label, text): a row stays unless an earlier one shares a band with it."""
+
+    @F.pandas_udf("array<long>")
+    def bands(texts: pd.Series) -> pd.Series:
+        return texts.map(sketch)
+
+    rows = sample.withColumn("row", F.monotonically_increasing_id())
+    each = checkpoint(rows.select("row", "label", F.explode(bands("text")).alias("band")))
+    first = each.groupBy("label", "band").agg(F.min("row").alias("first"))
+    stays = each.join(first, ["label", "band"]).groupBy("row").agg(F.min("first").alias("first")).filter("first = row")
+    return rows.join(stays.select("row"), "row", "left_semi").select("label", "text")
+
+
 def learn(labelled: DataFrame) -> dict:
-    """A model from a bounded sample of rows (id, text, label 0 or 1).
+    """A model from a bounded sample of rows (text, label 0 or 1), near copies once.
 
-    Words are counted on the executors and only the LANDMARKS best come to the driver; so do the sample's sentence features, a few floats for each sampled document. Altered landmarks join the toxic sentences of the vector machine, whose weights tell which landmarks bear it, and calibration as toxic texts; each landmark's weigh by how many texts hold it, in calibration as much as all toxic texts together, and clean ones twice, so labels keep their shares. One label alone gives a constant score.
+    Words are counted on the executors and only the CANDIDATES best come to the driver; so do the features of the sampled texts, a few floats each. Whatever a text's length, all its words count. One label alone gives a constant score.
     """
-    sample = checkpoint(labelled.filter("text IS NOT NULL"))
+    sample = checkpoint(distinct_texts(checkpoint(labelled.filter("text IS NOT NULL").select("label", "text"))))
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    constant = {"landmarks": [], "levels": np.zeros(0), "whiten": np.zeros((0, 0)), "weights": np.zeros(0), "base": 0.0, "curve": np.array([0.0, np.log((pos + 0.5) / (neg + 0.5))])}
     if not pos or not neg:
-        return {"landmarks": [], "whiten": np.zeros((0, 0)), "weights": np.zeros(0), "base": 0.0, "calibration": np.array([0.0, 0.0, 0.0, 4.0 if pos else -4.0])}
+        return constant
 
     @F.pandas_udf("array<string>")
     def words(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted({w for c in joined(t).split() if SHORTEST <= len(w := letters(c)) <= WINDOW}) for t in texts])
-
-    each = sample.select("label", F.explode(words("text")).alias("word"))
-    found = each.groupBy("word").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    rates = F.col("p") / pos, F.col("n") / neg
-    odds = F.log((rates[0] + 0.5 / pos) / (rates[1] + 0.5 / neg))
-    best = found.filter(F.col("p") >= max(LEAST_DOCS, LEAST_SHARE * pos)).withColumn("gain", rates[0] * odds).filter(odds > 2.0).orderBy(F.col("gain").desc(), "word").limit(CANDIDATES)
-    held = {r["word"]: r["p"] for r in best.collect()}
+        return pd.Series([sorted({w for c in t.split() if ORDER <= len(w := letters(c)) <= WINDOW}) for t in texts])
+
+    found = sample.select("label", F.explode(words("text")).alias("word")).groupBy("word").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    both = F.col("p") + F.col("n")
+    part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / (both * share))).otherwise(0.0)
+    ratio = 2 * (part(F.col("p"), pos / (pos + neg)) + part(F.col("n"), neg / (pos + neg)))
+    likelier = found.filter((F.col("p") >= LEAST_DOCS) & (F.col("p") * neg > F.col("n") * pos)).withColumn("ratio", ratio)
+    best = likelier.filter(F.col("ratio") >= SIGNIFICANT).orderBy(F.col("ratio").desc(), "word").limit(CANDIDATES)
+    held = {r["word"]: r["p"] for r in best.select("word", "p").collect()}
     landmarks = spread(list(held))
-    kernel = Kernel(landmarks)
-    gram = kernel.of(landmarks) if landmarks else np.zeros((0, 0))
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2) if landmarks else (np.zeros(0), np.zeros((0, 0)))
-    size = len(landmarks)
-    whiten = np.eye(2 * size)
-    whiten[:size, :size] = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    untrained = {"landmarks": landmarks, "whiten": whiten, "weights": np.zeros(2 * size), "base": 0.0, "calibration": np.zeros(4)}
-    shared, key = sample.sparkSession.sparkContext.broadcast(untrained), digest(untrained)
+    if not landmarks:
+        return constant
+    shared, key = sample.sparkSession.sparkContext.broadcast(landmarks), digest(landmarks)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = once(key, lambda: Scorer(shared.value))
+        reader = once(key, lambda: Reader(shared.value))
         for batch in batches:
-            for s in range(0, len(batch), TOGETHER):
-                scorer.warm(batch["text"].iloc[s : s + TOGETHER].tolist())
-            yield pd.DataFrame({"label": batch["label"], "rows": [[r.tolist() for r in worst(scorer.sentence_rows(t))] for t in batch["text"]]})
-
-    rows = sample.select("label", "text").mapInPandas(featured, "label int, rows array<array<double>>").collect()
-    x, y, owner = [], [], []
-    for i, r in enumerate(rows):
-        for row in r["rows"] or [[0.0] * (2 * size)]:
-            x.append(row)
-            y.append(1.0 if r["label"] else -1.0)
-            owner.append(i)
-    x, y, owner = np.array(x).reshape(len(x), 2 * size) @ whiten, np.array(y), np.array(owner)
-    bent = kernel.both([w for m in landmarks for w in variants(m)]) if landmarks else x[:0]
-    likely = np.array([held[m] / len(variants(m)) for m in landmarks for _ in variants(m)])
-    weights, base = train_svm(np.r_[x, bent @ whiten], np.r_[y, np.ones(len(bent))], np.r_[np.ones(len(x)), likely])
-    decisions = x @ weights + base
-    ends = np.searchsorted(owner, np.arange(len(rows) + 1))
-    made = [summary(decisions[s:e], base) for s, e in zip(ends[:-1], ends[1:], strict=True)]
-    altered = [summary(d, base) for d in (bent @ whiten @ weights + base)[:, None]]
-    labels, weight = np.r_[[r["label"] for r in rows], np.ones(len(altered))].astype(float), np.r_[np.where([r["label"] for r in rows], 1.0, 1 + bool(len(altered))), pos * likely / max(1, likely.sum())]
-    return untrained | {"weights": weights, "base": base, "calibration": train_logistic(np.array(made + altered), labels, weight)}
-
-
-def variants(word: str) -> list[str]:
-    """The word with a letter put in or left out or two put in, at every place but its ends, and with one in every gap."""
-    one = [w for i in range(1, len(word)) for w in (word[:i] + "x" + word[i:], word[:i] + word[i + 1 :] if i < len(word) - 1 else word)]
-    return [*one, *(word[:i] + "x" + word[i:k] + "x" + word[k:] for i in range(1, len(word)) for k in range(i, len(word))), "x".join(word)]
+            yield pd.DataFrame({"label": batch["label"], "near": list(reader.near(batch["text"].tolist()))})
+
+    rows = sample.mapInPandas(featured, "label int, near array<double>").toPandas()
+    near, y = np.array(rows["near"].tolist()), rows["label"].to_numpy(float)
+    size = len(landmarks)
+    clean = np.sort(near[y == 0, :size], axis=0)
+    levels = np.clip(clean[len(clean) - 1 - int(BEYOND * len(clean))], FLOOR, 0.95)
+    kernel = Kernel(landmarks)
+    gram = kernel.of(landmarks)
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    whiten = np.kron(np.eye(2), vectors @ np.diag(1 / np.sqrt(np.maximum(values, EIGEN))) @ vectors.T)
+    # a landmark alone in a long text is toxic too, as often as texts hold it: no training text need have just one
+    x = features(np.r_[near, np.c_[gram, np.zeros_like(gram)]], levels) @ whiten
+    y, each = np.r_[y, np.ones(size)], np.r_[np.ones(len(near)), [float(held[m]) for m in landmarks]]
+    weights, base = train_svm(x, np.where(y > 0, 1.0, -1.0), each)
+    return {"landmarks": landmarks, "levels": levels, "whiten": whiten, "weights": weights, "base": base, "curve": train_logistic(x @ weights + base, y, each)}
 
 
 def spread(candidates: list[str]) -> list[str]:
@@ -315,20 +350,15 @@ def spread(candidates: list[str]) -> list[str]:
     like = Kernel(candidates).of(candidates)
     chosen: list[int] = []
     for i in range(len(candidates)):
-        if len(chosen) < LANDMARKS and not (like[i, chosen] >= APART**POWER).any():
+        if len(chosen) < LANDMARKS and not (like[i, chosen] >= APART).any():
             chosen.append(i)
     return [candidates[i] for i in chosen]
 
 
-def worst(rows: np.ndarray) -> np.ndarray:
-    """The four sentences nearest to any landmark: a bounded share of each training document."""
-    return rows[np.argsort(-rows.max(axis=1), kind="stable")[:4]] if len(rows) else rows
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, known: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per row of docs: id, score (0 to 1) and predicted (1 from a score of 0.5), learned from the texts and labels of rows where `known`, a condition on the id, holds.
 
-    Null and empty texts score as texts without any near word. A text that is labelled twice counts twice in training; null labels and ids are left out of it. Repeated rows stay; other columns are ignored whatever their names; an empty table gives an empty result.
+    Null and empty texts score as texts without any near word. Null labels and ids are left out of training, near copies count once there. Repeated rows stay; other columns are ignored whatever their names; an empty table gives an empty result.
     """
     marked = labels.filter(known).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
     chosen = bounded_rows(marked, "label", ROWS, "id")  # of the labels alone: about ROWS ids of each of two labels, so they can be broadcast
@@ -340,12 +370,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, known: Column, id_col: str = "d
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = once(key, lambda: Scorer(shared.value))
         for batch in batches:
-            scores: list[float] = []
-            for s in range(0, len(batch), TOGETHER):
-                texts = batch.iloc[s : s + TOGETHER].tolist()
-                scorer.warm(texts)
-                scores += map(scorer.score, texts)
-            yield pd.Series(scores, dtype="float64")
+            yield pd.Series(scorer.scores(batch.tolist()), dtype="float64")
 
     out = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).select(F.col("_id").alias(id_col), scored("_text").alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -32,18 +32,26 @@ def test_kernel_against_all_subsequences():
     assert np.allclose(got, want)
 
 
+INSULTS = ["scum", "trash", "clown", "idiot", "moron", "stupid", "blockhead", "numbskull"]
+
+
+def clean_words(rng, n=120):
+    return ["".join(rng.choices("aeioubfgvwzhlr", k=rng.randint(2, 7))) for _ in range(n)]
+
+
 def rows():
+    """300 labelled texts, a third with one to three insults, and texts that aren't labelled."""
     rng = random.Random(4)
-    sound = ["".join(rng.choices("aeioulnrst", k=rng.randint(2, 7))) for _ in range(80)]
+    sound = clean_words(rng)
     out, labels = [], []
     for i in range(300):
         words = rng.choices(sound, k=30)
-        toxic = i % 3 == 0
-        if toxic:
-            words[rng.randrange(30)] = rng.choice(["blockhead", "numbskull"])
+        if i % 3 == 0:
+            for _ in range(rng.randint(1, 3)):
+                words[rng.randrange(30)] = rng.choice(INSULTS)
         out.append((i, " ".join(words) + ".", 0.5))
-        labels.append((i, int(toxic)))
-    more = ["you b l o c k h e a d now", "you blxockhead now", "you num-bsk-ull", "blockhad", "kind words"]
+        labels.append((i, int(i % 3 == 0)))
+    more = ["you b l o c k h e a d now", "you blyockhead now", "you num-bsk-ull", "blockhad", "kind words"]
     return [*out, *((1000 + j, t, 0.0) for j, t in enumerate(more)), (2000, None, 0.0), (2001, "", 0.0), (2001, "", 0.0), (2002, "fine " * 50000, 0.0), (None, "blockhead", 0.0)], [*labels, (None, 1), (5, None)]
 
 
@@ -56,29 +64,47 @@ def test_scores(spark):
     by = {r.doc_id: r for r in got}
     truth = dict(labels[:300])
     held = [i for i in range(300) if __import__("zlib").crc32(str(i).encode()) % 5 == 0]
-    truth[5] = 0
     assert sum(by[i].predicted == truth[i] for i in held) >= 0.97 * len(held)
-    assert [by[i].predicted for i in (1000, 1002, 1004)] == [1, 1, 0]
-    assert min(by[1001].score, by[1003].score) > 3 * by[1004].score  # a letter put in or left out stays near
+    assert [by[i].predicted for i in range(1000, 1005)] == [1, 1, 1, 1, 0]
     assert by[2000].score == by[2001].score == by[2002].score < 0.5
     assert T.toxicity(docs.limit(0), marks, F.lit(True)).count() == 0
-    assert np.allclose([r.score for r in T.toxicity(docs, marks.limit(0), F.lit(True)).collect()], 1 / (1 + np.exp(4.0)))
+    assert np.allclose([r.score for r in T.toxicity(docs, marks.limit(0), F.lit(True)).collect()], 0.5)
 
 
-def test_short_insults_with_letters_put_in(spark):
+def test_one_altered_insult_is_enough(spark):
+    """Any letter put in, left out, doubled or changing places with the next, in a text that training never saw; no altered word is trained on."""
+    data, labels = rows()
     rng = random.Random(6)
-    insults = ["scum", "trash", "clown", "idiot", "moron", "stupid"]
-    sound = ["".join(rng.choices("aeioubfgvwz", k=rng.randint(2, 7))) for _ in range(80)]
-    data, labels = [], []
-    for i in range(300):
-        words = rng.choices(sound, k=30)
-        if i % 3 == 0:
-            words[rng.randrange(30)] = rng.choice(insults)
-        data.append((i, " ".join(words) + "."))
-        labels.append((i, int(i % 3 == 0)))
-    bent = [w[:i] + "k" + w[i:] for w in insults for i in range(1, len(w))] + [w[:i] + "k" + w[i:j] + "y" + w[j:] for w in insults for i in range(1, len(w)) for j in range(i, len(w))]
-    data += [(1000 + i, f"you {w} now") for i, w in enumerate(bent)] + [(5000 + i, f"kind {w} now") for i, w in enumerate(sound)]
-    docs = spark.createDataFrame(data, "doc_id long, text string")
-    by = {r.doc_id: r.predicted for r in T.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True)).collect()}
-    assert [w for i, w in enumerate(bent) if by[1000 + i] != 1] == []
-    assert not any(by[5000 + i] for i in range(len(sound)))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    bent = {
+        "in": [w[:i] + rng.choice(letters) + w[i:] for w in INSULTS for i in range(1, len(w))],
+        "out": [w[:i] + w[i + 1 :] for w in INSULTS for i in range(len(w))],
+        "doubled": [w[:i] + w[i] + w[i:] for w in INSULTS for i in range(len(w))],
+        "swapped": [w[:i] + w[i + 1] + w[i] + w[i + 2 :] for w in INSULTS for i in range(len(w) - 1)],
+        "plain": INSULTS,
+    }
+    sound = clean_words(random.Random(9))
+    cases = [(kind, " ".join([*rng.choices(sound, k=12), w, *rng.choices(sound, k=12)])) for kind, ws in bent.items() for w in ws]
+    cases += [("clean", " ".join(rng.choices(sound, k=25))) for _ in range(200)]
+    docs = spark.createDataFrame(data + [(10_000 + i, t, 0.0) for i, (_, t) in enumerate(cases)], "doc_id long, text string, score double")
+    by = {r.doc_id: r.predicted for r in T.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") < 10_000).collect()}
+    share = {kind: np.mean([by[10_000 + i] for i, (k, _) in enumerate(cases) if k == kind]) for kind in [*bent, "clean"]}
+    assert share["plain"] == 1 and min(share[k] for k in bent) >= 0.8 and share["clean"] <= 0.02, share
+
+
+def test_near_copies_count_once(spark):
+    """A word that only copies of one toxic text hold is no landmark."""
+    data, labels = rows()
+    rng = random.Random(3)
+    base = rng.choices(clean_words(rng), k=60)
+    copies = [(3000 + i, " ".join([*base[:20], f"w{i}", *base[20:40], "zorblax", *base[40:]]), 0.0) for i in range(60)]
+    docs = spark.createDataFrame([r for r in data if r[0] is not None] + copies, "id long, text string, score double")
+    marks = spark.createDataFrame([x for x in labels if None not in x] + [(3000 + i, 1) for i in range(60)], "id long, label int")
+    model = T.learn(docs.join(marks, "id"))
+    assert set(model["landmarks"]) == set(INSULTS)
+
+
+def test_long_and_odd_texts():
+    reader = T.Reader(["blockhead", "r\u00e9eux"])
+    plain, long, bare, apart, none = reader.near(["a blockhead", "word " * 300_000 + "blockhead", "x" * (2 * T.SLICE) + "blockhead", "re\u0301eux", "\U0001f600 \u65e5\u672c"])
+    assert np.allclose([plain[0], long[0], apart[1]], 1) and bare[0] > 0.5 and not none.any()
