@@ -1,6 +1,6 @@
 """Byte-pair token counts by heap and linked list, for a word-level byte-pair vocabulary file of the tokenizers library.
 
-A text is split at white space; what a chunk between two white spaces costs depends on the chunk alone, so every task keeps a bounded table of the chunks that it has met. Only a new chunk is normalised (NFC, lower case), cut into words and merged.
+What a word costs depends on the word alone, so every task keeps a bounded table of the words that it has met; only a new one is merged. Lower case and words are Python's where a text has but old Latin letters, on which all versions of Unicode agree; chunks between white space that hold others go through the library's own normaliser and splitter.
 """
 
 from __future__ import annotations
@@ -8,11 +8,11 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +20,24 @@ from quire.llm.common import whole
 
 #: Unicode white space as the vocabulary's splitter has it, which leaves out U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-SPACES = regex.compile(f"[{SPACE}]+")
-#: Fixed value: the words of the vocabulary file's splitter.
-WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-ODD = regex.compile("[\x1c-\x1f]")
-#: Chunks that a task remembers; then it starts anew, so its memory stays bounded.
+SPACES = re.compile(f"[{SPACE}]+")
+#: Code points of an early Unicode, composed ones only, and those beyond.
+KNOWN = 0x250
+BEYOND = re.compile(f"[^\\x00-{chr(KNOWN - 1)}]")
+#: Chunks and words that a task remembers; then it starts anew, so its memory stays bounded.
 KEPT = 400_000
 
 
+def word_pattern() -> re.Pattern:
+    """The words of the vocabulary file's splitter (letters; a single digit; an English ending; what is none of these) in lower-case text of known code points."""
+    met = sorted({c for i in range(KNOWN) for c in chr(i) + chr(i).lower()})
+    kind = lambda k: re.escape("".join(c for c in met if unicodedata.category(c)[0] == k))
+    return re.compile(f"[{kind('L')}]+|[{kind('N')}]|'s|'t|'re|'ve|'m|'ll|'d|[^{SPACE}{kind('L')}{kind('N')}]+")
+
+
+WORD = word_pattern()
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself where printable, else the next free one from U+0100 on."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -35,15 +45,12 @@ def byte_letters() -> list[str]:
     return [chr(b if b in own else next(free)) for b in range(256)]
 
 
-def chunks(text: str) -> list[str]:
-    """The text between its white space."""
-    return [x for x in SPACES.split(text) if x] if ODD.search(text) else text.split()
+LETTERS = dict(enumerate(byte_letters()))
 
 
-def words(chunk: str) -> list[str]:
-    """The words that a chunk between white spaces is cut into, normalised."""
-    plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
-    return WORD.findall(plain.lower() if plain.isascii() else "".join(map(str.lower, plain)))
+def spelt(word: str) -> str:
+    """A word's bytes as letters."""
+    return word.encode().decode("latin-1").translate(LETTERS)
 
 
 class Remembered(dict):
@@ -60,6 +67,40 @@ class Remembered(dict):
         return value
 
 
+def special_tokens(vocabulary: str) -> tuple[dict[str, int], re.Pattern | None]:
+    """Strings and ids of the special tokens, and a pattern whose split keeps them."""
+    found = {x["content"]: x["id"] for x in json.loads(vocabulary)["added_tokens"]}
+    return found, re.compile("(" + "|".join(map(re.escape, found)) + ")") if found else None
+
+
+class Reader:
+    """What the words of a text give, in order: `of` for a word, spelt in byte letters, and for a special token `special`."""
+
+    def __init__(self, vocabulary: str, of: Callable, special: Callable):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_str(vocabulary)
+        normal, cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.ids, self.specials = special_tokens(vocabulary)
+        self.special = special
+        self.words = Remembered(lambda word: of(spelt(word)))
+        self.odd = Remembered(lambda chunk: [of(word) for word, _ in cut(normal(chunk))])
+
+    def read(self, text: str) -> Iterator:
+        if "<|" in text and self.specials is not None and self.specials.search(text):
+            for part in self.specials.split(text):
+                yield from [self.special(self.ids[part])] if part in self.ids else self.plain(part)
+        else:
+            yield from self.plain(text)
+
+    def plain(self, text: str) -> Iterator:
+        if text.isascii() or not BEYOND.search(text):
+            yield from map(self.words.__getitem__, WORD.findall(text.lower()))
+        else:
+            for chunk in SPACES.split(text):
+                yield from self.odd[chunk] if BEYOND.search(chunk) else map(self.words.__getitem__, WORD.findall(chunk.lower()))
+
+
 class Merger:
     """Counts of one vocabulary."""
 
@@ -67,17 +108,13 @@ class Merger:
         file = json.loads(vocabulary)
         ids = file["model"]["vocab"]
         end = file["model"].get("end_of_word_suffix") or ""
-        letters = byte_letters()
-        self.inner = [ids[x] for x in letters]
-        self.last = [ids[x + end] for x in letters]
+        self.inner = {x: ids[x] for x in LETTERS.values()}
+        self.last = {x: ids[x + end] for x in LETTERS.values()}
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(file["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[ids[left], ids[right]] = rank, ids[left + right]
-        self.special = [x["content"] for x in file["added_tokens"]]
-        self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.words = Remembered(self.word)
-        self.seen = Remembered(self.chunk)
+        self.reader = Reader(vocabulary, self.word, lambda _: 1)
 
     def word(self, word: str) -> int:
         """Initial symbols less merges."""
@@ -85,8 +122,7 @@ class Merger:
 
     def merge(self, word: str) -> tuple[list[int], int]:
         """The symbols of a word after all merges, -1 where one went into the symbol before, and how many are left. The heap holds adjacent pairs by rank, then place; a pair is stale once one side has changed."""
-        data = word.encode()
-        symbols: list[int] = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
+        symbols: list[int] = [*map(self.inner.__getitem__, word[:-1]), self.last[word[-1]]]
         count = size = len(symbols)
         before, after = list(range(-1, size - 1)), list(range(1, size + 1))
         heap = [(*r, i, symbols[i], symbols[i + 1]) for i in range(size - 1) if (r := self.ranks.get((symbols[i], symbols[i + 1])))]
@@ -107,14 +143,9 @@ class Merger:
                 heapq.heappush(heap, (*r, ahead, symbols[ahead], merged))
         return symbols, count
 
-    def chunk(self, chunk: str) -> int:
-        return sum(map(self.words.__getitem__, words(chunk)))
-
     def count(self, text: str) -> int:
         """Tokens of a text; a special token's string in it is one token."""
-        if self.cut is not None and "<|" in text and (found := len(self.cut.findall(text))):
-            return found + sum(self.count(x) for x in self.cut.split(text) if x and not self.cut.fullmatch(x))
-        return sum(map(self.seen.__getitem__, chunks(text)))
+        return sum(self.reader.read(text))
 
 
 @functools.lru_cache(2)

@@ -7,21 +7,19 @@ from __future__ import annotations
 
 import bisect
 import functools
-import json
+import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from struct import pack
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import Remembered, byte_letters, chunks, merger, words
+from quire.llm.bpe import Reader
 from quire.llm.common import checkpoint, whole
 
 
@@ -167,22 +165,20 @@ def slots(bins: Bins) -> np.ndarray:
 
 
 class Encoder:
-    """Little-endian 32-bit ids of texts by the tokenizers library's model; as in counting, a bounded table holds what chunks and words have given."""
+    """Little-endian 32-bit ids of texts by the tokenizers library's model; as in counting, a bounded table holds what words have given."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self.merger = merger(vocabulary)
-        self.special = {x["content"]: pack("<I", x["id"]) for x in json.loads(vocabulary)["added_tokens"]}
-        model, letters = Tokenizer.from_str(vocabulary).model, dict(enumerate(byte_letters()))
-        self.words = Remembered(lambda word: b"".join([pack("<I", x.id) for x in model.tokenize(word.encode().decode("latin-1").translate(letters))]))
-        self.seen = Remembered(lambda chunk: b"".join(map(self.words.__getitem__, words(chunk))))
+        tokenize = Tokenizer.from_str(vocabulary).model.tokenize
+        self.reader = Reader(vocabulary, lambda word: pack(*[x.id for x in tokenize(word)]), pack)
 
     def ids(self, text: str) -> bytes:
-        if "<|" in text and self.merger.cut is not None and self.merger.cut.search(text):
-            parts = regex.split(f"({self.merger.cut.pattern})", text)
-            return b"".join(self.special[x] if x in self.special else self.ids(x) for x in parts if x)
-        return b"".join(map(self.seen.__getitem__, chunks(text)))
+        return b"".join(self.reader.read(text))
+
+
+def pack(*ids: int) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @functools.lru_cache(2)

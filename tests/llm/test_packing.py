@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -6,8 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quire.llm.bpe import token_counts
-from quire.llm.packing import pack_counts, pack_documents
+from quire.llm.bpe import merger, token_counts
+from quire.llm.packing import encoder, pack_counts, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["", None, " ", "a<|endoftext|>b <|x", "ΑΣ ß é", "a\x1cb", "it's we'll", "word " * 9000, "word " * 9000, "日本語😀", "x" * 3000]
@@ -87,3 +88,22 @@ def test_counts_against_library(spark):
     for i, text in enumerate(TEXTS):
         n = len(library.encode(text or "", add_special_tokens=False).ids)
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((text or "").encode()), n > 2048)
+
+
+def test_every_code_point_and_random_strings_as_the_library_has_them():
+    with open(PATH, encoding="utf-8") as file:
+        vocabulary = file.read()
+    library, encode, count = Tokenizer.from_file(PATH), encoder(vocabulary).ids, merger(vocabulary).count
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    rng = random.Random(1)
+    pools = [points, points[:0x250], points[0x300:0x370] + list("aeiou AEß"), points[0x530:0x600], points[0x1100:0x1200] + points[0x2000:0x2070], list(" 's'T'LL'd09\x1c\x1f\x85\t")]
+    texts = ["a{}b".format(c) for c in points[:0x3000]] + ["".join(points[i : i + 64]) for i in range(0, len(points), 64)]
+    texts += ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(1, 14))) for _ in range(10_000)]
+    for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text) == np.array(found.ids, dtype="<u4").tobytes() and count(text) == len(found.ids), text
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.length) for r in pack_documents(df, PATH).collect()) == [(0, 2), (1, 3), (1, 3)]
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in token_counts(df, PATH).collect()) == [(0, 1), (1, 2), (1, 2)]
