@@ -6,6 +6,7 @@ import hashlib
 import os
 import pickle
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +27,13 @@ def fold(doc_id: str, n: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the one that spark.checkpoint.dir names, one of our own only where none is set."""
+    """The checkpoint folder: the one that spark.checkpoint.dir names; where none is set one of our own, but not on a cluster, where a folder of this machine would be lost or not seen."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quire-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quire-checkpoints"))
     return sc.getCheckpointDir()
 
 
@@ -39,15 +43,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: like a checkpoint, but compressed, and read by column."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Groups whose shares are broadcast, at the most.
+BROADCAST = 100_000
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def bounded_rows(df: DataFrame, group: str, most: int, key: str) -> DataFrame:
-    """About `most` rows of every group at the most, picked by a hash of the key alone: the same rows for any partitioning."""
-    share = df.groupBy(group).agg((F.lit(most) / F.count("*")).alias("_share"))
+    """About `most` rows of every group at the most, picked by a hash of the key alone: the same rows for any partitioning. The groups' shares go to the rows, so no row is shuffled unless there are very many groups."""
+    share = checkpoint(df.groupBy(group).agg((F.lit(most) / F.count("*")).alias("_share")))
     u = (F.xxhash64(F.col(key).cast("string")).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
-    return df.join(share, group).filter(u < F.col("_share")).drop("_share")
+    few = share.count() <= BROADCAST
+    return df.join(F.broadcast(share) if few else share, group).filter(u < F.col("_share")).drop("_share")
 
 
 _MADE: dict[str, object] = {}

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpoint, whole
+from quire.llm.common import checkpoint, stored, whole
 
 #: The base patterns and the shortest secret of each; the order of the kinds breaks ties of place.
 KINDS = ("assign", "access", "hex", "token")
@@ -88,17 +88,24 @@ def scan(text: str) -> tuple:
     return kinds[0], kinds[1], kinds[2], hashlib.sha256(text_base.encode()).hexdigest(), text_base, found
 
 
-def scanned(docs: DataFrame, id_col: str, text_col: str, owner: Column, repository: Column) -> DataFrame:
-    """Each row's scan with its owner and repository, and row, a number of its own; checkpointed, so the texts are read once and the numbers stay."""
-    names = ["n_assign", "n_access", "n_hex", "base_sha256", "base", "found"]
+SCANNED = ["n_assign", "n_access", "n_hex", "base_sha256", "base", "found"]
+
+
+def scan_of(text: Column) -> Column:
+    """Each text's scan, as a struct."""
 
     @F.pandas_udf(SCAN_SCHEMA)
     def scan_all(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.DataFrame([scan(x) for x in batch], columns=names)
+            yield pd.DataFrame([scan(x) for x in batch], columns=SCANNED)
+
+    return scan_all(text)
 
+
+def scanned(docs: DataFrame, id_col: str, text_col: str, owner: Column, repository: Column) -> DataFrame:
+    """Each row's scan with its owner and repository, and row, a number of its own; checkpointed, so the texts are read once and the numbers stay."""
     source = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"), owner.alias("owner"), repository.alias("repository"))
-    rows = source.select("_id", "owner", "repository", scan_all("_text").alias("s")).select("_id", "owner", "repository", "s.*")
+    rows = source.select("_id", "owner", "repository", scan_of(F.col("_text")).alias("s")).select("_id", "owner", "repository", "s.*")
     return checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -130,10 +137,6 @@ def secret_scan(docs: DataFrame, owner_col: str = "source", repository_cols: tup
     return joined.select(F.col("_id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("all", F.lit("")).alias("spans"), zero("n_live"), zero("n_example"))
 
 
-#: Fixed value, for Spark: any text with a candidate matches; others pass redaction untouched.
-MAYBE = r"""(?i:passwd|password|secret|token|api_?key)["']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{20}"""
-
-
 def covered(text: str, spans: list, mask: str) -> str:
     """The text with the mask in place of its spans; spans that touch or overlap become one."""
     parts, at = [], 0
@@ -147,19 +150,17 @@ def covered(text: str, spans: list, mask: str) -> str:
 def redact(docs: DataFrame, owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), few: int = 2, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs, all rows and columns, with every live-looking span replaced by the mask; copied examples stay.
 
-    Rows find their spans by id, owner and a hash of the text, so repeated rows are redacted alike; null texts stay null. Only texts that may hold a candidate are shuffled.
+    Null texts stay null; repeated rows are redacted alike. The texts are scanned once and stored with what was found; only those with a candidate are then shuffled. Columns of any name are kept; an empty table gives an empty result.
     """
 
     @F.pandas_udf("string")
     def cover(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or not len(s) else covered(t, s, mask) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    owner = F.col(owner_col).cast("string")
-    maybe = F.coalesce(F.col(text_col).rlike(MAYBE), F.lit(False))
-    key = lambda: F.xxhash64(F.col(id_col).cast("string"), owner, F.col(text_col), F.length(text_col))
-    some = docs.filter(maybe).withColumn("_key", key())
-    rows = scanned(some, "_key", text_col, owner, F.to_json(F.struct(*repository_cols)))
-    live = judged(rows, few).select("row", F.filter("spans", lambda x: x["live"]).alias("_spans")).filter(F.size("_spans") > 0)
-    by_key = rows.select("row", F.col("_id").alias("_key")).join(live, "row").groupBy("_key").agg(F.first("_spans").alias("_spans"))
-    changed = some.join(by_key, "_key", "left").withColumn(text_col, cover(text_col, "_spans"))
-    return docs.filter(~maybe).unionByName(changed.select(docs.columns))
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    source = docs.select(F.struct(*named).alias("doc"), F.col(owner_col).cast("string").alias("owner"), F.to_json(F.struct(*repository_cols)).alias("repository"), scan_of(whole(text_col))["found"].alias("found"))
+    table = stored(source.withColumn("row", F.monotonically_increasing_id()))
+    some = F.size("found") > 0
+    live = judged(table.filter(some).select("owner", "repository", "found", "row"), few).select("row", F.filter("spans", lambda x: x["live"]).alias("spans")).filter(F.size("spans") > 0)
+    changed = table.filter(some).select("doc", "row").join(live, "row", "left").withColumn("doc", F.col("doc").withField(f"`{text_col}`", cover(F.col("doc")[text_col], "spans")))
+    return table.filter(~some).select("doc.*").unionByName(changed.select("doc.*"))

@@ -54,3 +54,23 @@ def test_run(spark, tmp_path):
     spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert C.run(spark, str(tmp_path)).count() > 0
     assert C.queries()["pipeline"] is C.run and C.ORACLE_SQL is None
+
+
+NAMES = "doc_id long, text string, lang string, source string, n_chars long, key int, doc int, h0 int, row int, found int, spans int, _tokens int, lang_pred int"
+
+
+def test_null_and_shared_ids_and_clashing_names(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choices([f"w{i}" for i in range(500)], k=80))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (None, a), (None, b), (None, b), (2, c), (2, d), (3, a), (None, None), (4, None), (5, b.upper())]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, *[7] * 8) for i, t in rows], NAMES)
+    kept = C.near_dedup(spark, df, "")
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()))
+    assert got == sorted([(1, a), (2, c), (2, d), (4, ""), (5, rows[-1][1])])
+    for _, stage in C.STAGES[:-1]:
+        assert stage(spark, df, "").columns == df.columns and stage(spark, df.limit(0), "").count() == 0
+    assert C.pack(spark, df.limit(0), "").count() == 0
+    assert sorted(r.doc_id or 0 for r in C.secret_scan(spark, df, "").collect()) == sorted(i or 0 for i, _ in rows)
+    assert all(r.key == 7 and r.found == 7 for r in C.secret_scan(spark, df, "").collect())
