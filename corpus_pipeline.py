@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import shared_folder, whole
+from quire.llm.common import checkpoint, removed, shared_folder, whole
 from quire.llm.language import labeller, learn
 from quire.llm.mixing import Mix, draws
 from quire.llm.packing import pack_documents
@@ -23,30 +23,35 @@ MIX = Mix(entropy=0.9, repeats=4.0, cover=True)
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: null texts and those without a letter. Learns from the labelled documents themselves; any text with letters stays."""
     named = labeller(docs, learn(docs))
-    return docs.withColumn("__named", named(whole("text"))).filter(F.col("__named.lang_pred") != "und").select(docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), named(whole("text"))["lang_pred"].alias("lang_pred"))
+    return rows.filter("lang_pred <> 'und'").select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of rows that share an id, one. Rows without an id stay where no other document is like them."""
-    groups = simhash_groups(docs.select("doc_id", "text"))
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("__nth", first).filter((F.col("__nth") == 1) | F.col("doc_id").isNull()).select(docs.columns)
+    """Of each group of near-duplicates one document stays: that with the smallest id, and of texts that share that id the first by a hash; without an id only where none of the group has one. Texts that share an id but are unlike each other all stay; of rows equal in id and text one does."""
+    hashes = [F.xxhash64(F.lit(i), "doc_id", "text") for i in (0, 1)]
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), *[h.alias(f"h{i}") for i, h in enumerate(hashes)])
+    groups = simhash_groups(docs.select(key.alias("key"), "text"), id_col="key")
+    stay = groups.filter("key = component_id").groupBy("key").agg(F.count("*").alias("rows"))
+    stay = checkpoint(stay.select(F.col("key.h0").alias("h0"), F.col("key.h1").alias("h1"), "rows"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[h.alias(f"h{i}") for i, h in enumerate(hashes)])
+    once = rows.join(stay.filter("rows = 1"), ["h0", "h1"], "left_semi")
+    repeated = rows.join(stay.filter("rows > 1"), ["h0", "h1"], "left_semi").dropDuplicates(["h0", "h1"])  # reduced before it is shuffled
+    return once.unionByName(repeated).select("doc.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking credentials are masked; no document goes."""
-    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Live-looking credentials are masked and n_chars follows; no document goes."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated until their sources weigh what the mix asks for; every one is drawn at least once."""
+    """Documents are repeated until their sources weigh what the mix asks for; every one is drawn at least once. Null sources are one source, null texts have no tokens; ties between equal places are broken by id."""
     return draws(docs, MIX, keep=True).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens; null texts are the end token alone, ties between equal lengths are broken by task and order."""
     return pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
 
@@ -59,12 +64,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder as Parquet and read again."""
+    """All stages over documents; what each returns is written to the shared folder as Parquet and read again. A stage's table goes once the next one's is written; the last stays, as the result is read from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            removed(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
