@@ -10,13 +10,13 @@ import functools
 import struct
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import Reader
@@ -176,6 +176,9 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return b"".join(self.reader.read(text))
 
+    def length(self, text: str) -> int:
+        return sum(map(len, self.reader.read(text))) // 4
+
 
 def pack(*ids: int) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -186,6 +189,20 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
+def id_counter(spark: SparkSession, path: str) -> Callable[[Column], Column]:
+    """A column function that counts the ids of a text, as packing will cut them."""
+    with open(path, encoding="utf-8") as file:
+        shared = spark.sparkContext.broadcast(file.read())
+
+    @F.pandas_udf("long")
+    def counted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = encoder(shared.value)
+        for batch in texts:
+            yield pd.Series([own.length(x) for x in batch], dtype="int64")
+
+    return counted
+
+
 def document_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Pieces (id, piece, start, length, ids_crc32) with part, the task that made it, and nth, its place among the pieces of that length there."""
     with open(path, encoding="utf-8") as file:

@@ -52,7 +52,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.draws(table(spark, sf_dir, "documents"))
+    return mixing.draws(table(spark, sf_dir, "documents"), count=packing.id_counter(spark, public_tokenizers.path(WORD_BPE)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,12 +6,13 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
-from quire.llm.mixing import Mix, draws
+from quire.llm.mixing import SLICE, SLICES, Mix, draws
 
 
-def place(seed, block, key):
+def place(*numbers):
+    """The hash of seed, block if there is one, and id as text."""
     h = 42
-    for data in (struct.pack("<i", seed), struct.pack("<i", block), str(key).encode()):
+    for data in (*(struct.pack("<i", x) for x in numbers[:-1]), str(numbers[-1]).encode()):
         h = xxhash.xxh64_intdigest(data, h)
     return (h & ((1 << 52) - 1)) / float(1 << 52)
 
@@ -52,20 +53,21 @@ def test_against_brute_force(spark, mix):
     for r in got:
         drawn[r.source, r.block].append(r)
     for s in sums:
-        full = math.floor(round(ratio.get(s, 1.0), 9))
+        whole = round(ratio[s], 9) if s in ratio else 1.0
+        full = math.floor(whole)
         for b in range(full):
             assert sorted(r.doc_id for r in drawn[s, b]) == sorted(docs[s])
-        spent = 0
-        want = []
-        for i in sorted(docs[s], key=lambda i: (place(mix.seed, full, i), i)):
-            if s in ratio and spent < (ratio[s] - full) * sums[s] - 1e-4 * 0 and round(ratio[s], 9) > full:
+        slices = max(1, min(SLICES, math.ceil(len(docs[s]) / SLICE)))
+        spent, want = 0, []
+        for i in sorted(docs[s], key=lambda i: (math.floor(place(mix.seed, i) * slices), place(mix.seed, full, i), i)):
+            if spent < (whole - full) * sums[s]:
                 want.append(i)
             spent += tokens[i]
-        assert abs(len(want) - len(drawn[s, full])) <= 1
-        assert not (set(want) ^ {r.doc_id for r in drawn[s, full]}) or abs(len(want) - len(drawn[s, full])) == 1
+        assert sorted(want) == sorted(r.doc_id for r in drawn[s, full])
     assert all(0 <= r.draw_at < 1 + 1e-9 for r in got)
     if mix.cover:
         assert {r.doc_id for r in got} == set(tokens)
+    assert all(r.n_tokens == tokens[r.doc_id] for r in got)
     kept = draws(df, mix, keep=True)
     assert kept.columns == [*df.columns, "draw_at"] and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got)
 
