@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import checkpoint, removed, shared_folder, whole
 from quire.llm.language import labeller, learn
 from quire.llm.mixing import Mix, draws
-from quire.llm.packing import pack_documents
+from quire.llm.packing import id_counter, pack_documents
 from quire.llm.secrets import redact
 from quire.llm.simhash import simhash_groups
 
@@ -46,8 +46,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated until their sources weigh what the mix asks for; every one is drawn at least once. Null sources are one source, null texts have no tokens; ties between equal places are broken by id."""
-    return draws(docs, MIX, keep=True).select(docs.columns)
+    """Documents are repeated until their sources weigh, in tokens, what the mix asks for; every one is drawn at least once. Null sources are one source, null texts have no tokens; ties between equal places are broken by id."""
+    count = id_counter(spark, public_tokenizers.path(VOCABULARY))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return draws(docs, MIX, count, keep=True).toDF(*names, "at").select(*names).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
