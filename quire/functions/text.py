@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: English words that carry no meaning in a question.
-STOP_WORDS = ("about", "and", "are", "but", "does", "for", "from", "has", "have", "her", "his", "how", "into", "its", "not", "that", "the", "their", "this", "was", "were", "what", "when", "where", "which", "who", "why", "with", "you")
+STOP_WORDS = ("and", "are", "can", "did", "does", "for", "from", "has", "have", "how", "into", "its", "say", "says", "that", "the", "their", "then", "there", "these", "this", "those", "was", "were", "what", "when", "where", "which", "who", "why", "with", "would")
+#: What stands in place of text to come.
+PLACEHOLDERS = (
+    r"(?:(?:awaiting|tbd|placeholder|sample placeholder|text unavailable|no text available|not yet added|to be added)[\s.!?…—-]*|lorem ipsum\b.*)",
+    r"(?=.*\bawaiting\b)(?=.*\b(?:source|text|translation|verification|upload|import)\b).+",
+    r"(?:text unavailable|no text available)(?:\s+(?:for|from|in)\s+(?:(?:this|the)\s+)?(?:book|chapter|source))?[\s.!?…—-]*",
+    r"\[(?=[^\]]*(?:\b(?:source|text|book|chapter|awaiting|unavailable|placeholder|tbd)\b|\bnot(?:(?:-| )yet)?(?:-| )added\b|\bto(?:-| )be(?:-| )added\b))[^\]]+\]",
+)
+#: Names of URL parameters that carry secrets, whole ones, endings, and what makes a key one.
+SECRET_NAMES = ("sig", "key", "auth", "authorization", "bearer", "basicauth", "authheader", "authorizationheader", "sessioncookie")
+SECRET_ENDINGS = ("token", "secret", "password", "passwd", "credential", "credentials", "signature")
+SECRET_KEYS = ("api", "access", "private", "secret", "signing", "encryption", "session")
 
 
 def squeeze(text: Column) -> Column:
@@ -26,8 +37,8 @@ def words(text: Column) -> Column:
 
 
 def tokens(text: Column, shortest: int = 3, most: int = 8) -> Column:
-    """The first distinct words of letters and digits, in lower case, that are long enough and no stop words."""
-    found = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= shortest)
+    """The first distinct words of letters and digits, case folded, with an apostrophe inside at the most, that are long enough and no stop words."""
+    found = F.filter(F.regexp_extract_all(casefolded(text), F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)?"), F.lit(0)), lambda w: F.length(w) >= shortest)
     return F.slice(F.array_distinct(F.array_except(found, F.array(*map(F.lit, STOP_WORDS)))), 1, most)
 
 
@@ -41,8 +52,8 @@ def strip_tags(text: Column) -> Column:
 
 
 def has_markup(text: Column) -> Column:
-    """A declaration, or a tag that is closed somewhere after its name."""
-    return text.rlike("<[!?]") | text.rlike("</?[A-Za-z_:][^<]*>")
+    """A declaration, or a tag that is closed somewhere after its name; names begin with a letter of any script."""
+    return text.rlike("<[!?]") | text.rlike(r"</?[\p{L}_:][^<]*>")
 
 
 def has_control(text: Column) -> Column:
@@ -50,9 +61,9 @@ def has_control(text: Column) -> Column:
 
 
 def is_placeholder(text: Column) -> Column:
-    """Nothing but dots, dashes or the words that stand for text to come."""
-    plain = F.lower(squeeze(text))
-    return (plain == "") | plain.rlike(r"^[.\-_ ]+$") | plain.rlike(r"^\[?(missing|omitted|placeholder|tbd|todo|lorem ipsum)\]?\.?$")
+    """Nothing but dots and dashes, or words that stand for text to come."""
+    plain = squeeze(text)
+    return reduce(lambda a, b: a | b, [plain.rlike(f"(?i)^{p}$") for p in PLACEHOLDERS], plain.rlike(r"^[.\-_ ]*$"))
 
 
 def reference(book: Column, chapter: Column, verse: Column) -> Column:
@@ -105,10 +116,10 @@ def safe_url(url: Column) -> Column:
 
 def json_text(value: Column) -> Column:
     """A string as JSON writes it, or null."""
-    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for char, name in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
-        escaped = F.replace(escaped, F.lit(char), F.lit("\\" + name))
-    return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
+    plain = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    named = {"\n": "n", "\r": "r", "\t": "t", "\b": "b", "\f": "f"}
+    escaped = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit("\\" + named.get(x, f"u{ord(x):04x}"))), map(chr, range(32)), plain)
+    return F.coalesce(F.concat(F.lit('"'), F.when(value.rlike("[\\x00-\\x1f]"), escaped).otherwise(plain), F.lit('"')), F.lit("null"))
 
 
 def sequence_checksum(*values: Column) -> Column:
@@ -139,6 +150,49 @@ def folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(_each(fold)(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def casefolded(text: Column) -> Column:
+    return _each(str.casefold)(text)
+
+
+def secret_parameter(name: Column) -> Column:
+    """Whether a URL parameter's name tells of a secret, whatever its case and signs; a `value` at its end is no part of it."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", ""), "(value)+$", "")
+    spaced = F.lower(F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])", " "))
+    return bare.isin(*SECRET_NAMES) | bare.rlike(f"({'|'.join(SECRET_ENDINGS)})$") | bare.rlike(f"({'|'.join(SECRET_KEYS)})key$") | spaced.rlike(rf"(?<![a-z0-9])({'|'.join(SECRET_KEYS)})[^a-z0-9]+key(?![a-z0-9])")
+
+
+def secret_url(url: Column) -> Column:
+    """Whether a parameter of the query or the fragment tells of a secret."""
+    names = lambda part: F.transform(F.split(part, "&"), lambda p: F.element_at(F.split(p, "="), 1))
+    query, fragment = F.regexp_extract(url, r"\?([^#]*)", 1), F.regexp_extract(url, "#(.*)$", 1)
+    return F.exists(names(query), secret_parameter) | (F.contains(fragment, F.lit("=")) & F.exists(names(fragment), secret_parameter))
+
+
+def bare_word(word: Column) -> Column:
+    """Lower case, without punctuation at its ends."""
+    return F.lower(F.regexp_replace(word, r"^\p{Punct}+|\p{Punct}+$", ""))
+
+
+def capitalised(text: Column, longer: int = 3, most: int = 10) -> Column:
+    """The first words that begin with a capital and are longer than so many letters."""
+    return F.slice(F.filter(words(text), lambda w: (F.length(w) > longer) & w.rlike(r"^\p{Lu}")), 1, most)
+
+
+def typed_id(text: Column, kind: str) -> Column:
+    """The number of an id such as kind:12, else null."""
+    return F.when(text.rlike(rf"^{kind}:\d+$"), F.regexp_extract(text, r":(\d+)$", 1)).try_cast("long")
+
+
+def entity_tag(*values: Column) -> Column:
+    """SHA-256 of the values as one JSON object with its keys in order: the same for the same content."""
+    return F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256)
+
+
+def utc(text: Column) -> Column:
+    """A time of ISO 8601, one without a zone being of UTC; the epoch if there is none."""
+    return F.coalesce(text.try_cast("timestamp"), F.timestamp_seconds(F.lit(0)))
+
+
 def name_id(kind: str, key: Column, space: uuid.UUID = uuid.NAMESPACE_URL) -> Column:
     """A name-based id (version 5), the same for the same kind and key."""
     return _each(lambda x: str(uuid.uuid5(space, f"{kind}:{x}")))(key)

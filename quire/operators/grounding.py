@@ -2,31 +2,81 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a statement by which its sources are found; shorter statements than two more words are never supported.
+from quire.functions.text import folded
+
+#: Words of a statement by which its sources are found, at the most.
 ANCHOR = 3
+#: Statements that are held as literals at once; beyond LITERAL they meet their sources by a shuffle of anchors.
+BLOCK, LITERAL = 500, 10_000
+
+
+def anchor_of(words: list[str]) -> str:
+    """The longest run of up to ANCHOR words that are whole wherever the statement stands: all but the first and the last may be parts of longer words."""
+    inner = words[1:-1]
+    size = min(ANCHOR, len(inner))
+    return max((" ".join(inner[i : i + size]) for i in range(len(inner) - size + 1)), key=lambda x: (len(x), x))
 
 
-def plain(text: Column) -> Column:
-    """Lower case, other characters than ASCII letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+def runs(text: Column, size: int) -> Column:
+    """All runs of `size` words of a normalised text."""
+    words = F.split(text, " ")
+    at = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
+
+
+def held_runs(text: Column, size: int, wanted: list[str]) -> Column:
+    return F.filter(runs(text, size), lambda run: run.isin(wanted))
 
 
 def supported(statements: DataFrame, sources: DataFrame, statement: str, text: str, key: str, source: str) -> DataFrame:
-    """(key, source) of statements that stand, as normalised, in a source.
+    """(key, source) of statements that stand, as normalised (compatible forms, case folded, single spaces between letters and digits), in a source. Empty statements stand nowhere.
 
-    Whole words inside the statement must be whole words of the source, so its second to fourth word find candidates by equality; the candidates are then verified. No pair without those words is ever made.
+    Statements are asked: up to LITERAL distinct ones are looked up by literals in one pass over the sources, without a shuffle of texts, a run of whole words by which a source must hold them first; those of one or two words are tested in blocks. More statements meet the sources' runs by equality. Either way each pair found is verified.
     """
-    asked = statements.select(key, plain(F.col(statement)).alias("_s")).withColumn("_w", F.split("_s", " ")).filter(F.size("_w") >= ANCHOR + 2)
-    asked = asked.select(key, "_s", F.array_join(F.slice("_w", 2, ANCHOR), " ").alias("_a"))
-    said = sources.select(source, plain(F.col(text)).alias("_t")).withColumn("_w", F.split("_t", " ")).filter(F.size("_w") >= ANCHOR)
-    at = F.sequence(F.lit(1), F.size("_w") - (ANCHOR - 1))
-    grams = F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("_w", i, ANCHOR), " ")))
-    anchors = said.select(source, F.explode(grams).alias("_a")).join(asked.select("_a").distinct(), "_a", "left_semi")
-    found = anchors.join(asked, "_a").select(source, key, "_s")
-    return found.join(said.select(source, "_t"), source).filter(F.contains("_t", "_s")).select(key, source).distinct()
+    asked = statements.select(key, folded(F.col(statement)).alias("_s")).filter("_s <> ''")
+    said = sources.select(source, folded(F.col(text)).alias("_t"))
+    distinct = [r["_s"] for r in asked.select("_s").distinct().limit(LITERAL + 1).collect()]
+    if len(distinct) > LITERAL:
+        return by_shuffle(asked, said, key, source)
+    anchors: dict[str, list[str]] = {}
+    for s in distinct:
+        words = s.split(" ")
+        anchors.setdefault(anchor_of(words) if len(words) > 2 else "", []).append(s)
+    short, sizes = anchors.pop("", []), sorted({a.count(" ") + 1 for a in anchors})
+    parts = []
+    if anchors:
+        known = sources.sparkSession.createDataFrame([(a, s) for a, ss in anchors.items() for s in ss], "_a string, _s string")
+        asked_runs = {n: [a for a in anchors if a.count(" ") + 1 == n] for n in sizes}
+        hits = F.array_distinct(F.concat(*[held_runs(F.col("_t"), n, wanted) for n, wanted in asked_runs.items()]))
+        held = said.withColumn("_a", F.explode(hits)).join(F.broadcast(known), "_a").filter(F.contains("_t", "_s"))
+        parts.append(held.select(source, "_s"))
+    for at in range(0, len(short), BLOCK):
+        block = F.array(*map(F.lit, short[at : at + BLOCK]))
+        parts.append(said.select(source, F.explode(F.filter(block, lambda s: F.contains(F.col("_t"), s))).alias("_s")))
+    if not parts:
+        return asked.select(key).limit(0).join(said.select(source).limit(0), F.lit(False), "left").select(key, source)
+    return reduce(DataFrame.unionByName, parts).join(F.broadcast(asked), "_s").select(key, source).distinct()
+
+
+def by_shuffle(asked: DataFrame, said: DataFrame, key: str, source: str) -> DataFrame:
+    """The same for any number of statements: sources' runs of words meet the statements' anchors, texts follow the pairs found. Statements of one or two words become anchors of parts of words, all substrings of a source's words of their length."""
+    w = F.split("_s", " ")
+    inner = F.slice(w, 2, F.least(F.lit(ANCHOR), F.size(w) - 2))
+    long = asked.filter(F.size(w) > 2).withColumn("_a", F.array_join(inner, " "))
+    grams = F.array_distinct(F.concat(*[runs(F.col("_t"), n) for n in range(1, ANCHOR + 1)]))
+    near = said.select(source, F.explode(grams).alias("_a")).join(long.select("_a").distinct(), "_a", "left_semi").join(long, "_a").select(source, key, "_s")
+    found = near.join(said, source).filter(F.contains("_t", "_s")).select(key, source)
+    brief = asked.filter(F.size(w) <= 2)
+    lengths = [r[0] for r in brief.select(F.length("_s")).distinct().collect()]
+    for n in lengths:
+        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("_t"), i, F.lit(n))))
+        found = found.unionByName(said.select(source, F.explode(pieces).alias("_s")).join(brief.filter(F.length("_s") == n), "_s").select(key, source))
+    return found.distinct()
 
 
 def valid_citations(cited: Column, known: Column) -> Column:
@@ -40,3 +90,20 @@ def settled(claims: DataFrame, support: DataFrame, key: str, classification: str
     counted = support.groupBy(key).agg(F.count("*").alias("sources"))
     status = F.when(F.col("sources") > 0, "supported").when(F.col(classification) == "synthesis", "synthesis").otherwise("dropped")
     return claims.select(key, classification).join(counted, key, "left").withColumn("sources", F.coalesce("sources", F.lit(0))).select(key, "sources", status.alias("status"))
+
+
+def settled_claims(claims: DataFrame, known: DataFrame) -> DataFrame:
+    """claims (id, cited, synthesis, confidence) with kept, the cited ids that are known, and confidence, low where some or all are missing; a claim without any known source goes unless it is synthesis.
+
+    Citations are unfolded and meet the known ids by equality; a claim that cites nothing stays to be judged.
+    """
+    each = claims.select("id", F.explode(F.array_distinct("cited")).alias("source")).join(known.select("source").distinct(), "source", "left_semi")
+    kept = each.groupBy("id").agg(F.array_sort(F.collect_list("source")).alias("kept"))
+    joined = claims.join(kept, "id", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<long>")))
+    lost = (F.size("kept") < F.size(F.array_distinct("cited"))) | (F.size("kept") == 0)
+    return joined.filter((F.size("kept") > 0) | F.col("synthesis")).select("id", "kept", F.when(lost, "low").otherwise(F.col("confidence")).alias("confidence"))
+
+
+def all_known(ids: Column, known: Column) -> Column:
+    """Whether there are ids and all are known."""
+    return (F.size(ids) > 0) & F.forall(ids, lambda x: F.array_contains(known, x))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def table_digest(df: DataFrame, group: list[str], row: str) -> DataFrame:
 
 
 class Publications:
-    """Snapshots of an edition in folders of their own; one small pointer file, written last, names the active one. One writer at a time."""
+    """Snapshots of an edition in folders of their own, never written twice; one small pointer file, put in place last and in one step, names the active one. A crash before that step leaves what was active. One writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -54,15 +55,16 @@ class Publications:
         return json.loads(self.spark.read.text(f"{self.root}/pointer.json", wholetext=True).first()[0])
 
     def _point(self, history: list[dict]) -> None:
-        jvm, fresh = self.spark._jvm, self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer.json.new")
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        fresh = hadoop.Path(f"{self.root}/pointer-{uuid.uuid4()}.json.new")
         out = self.files.create(fresh, True)
         out.write(bytearray(json.dumps(history).encode()))
         out.close()
-        if self.files.exists(self.pointer):
-            self.files.delete(self.pointer, False)
-        if not self.files.rename(fresh, self.pointer):
-            raise OSError(f"can't move {fresh}")
-        del jvm
+        kind = getattr(hadoop, "Options$Rename")
+        options = sc._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        hadoop.FileContext.getFileContext(self.files.getUri(), sc._jsc.hadoopConfiguration()).rename(self.files.makeQualified(fresh), self.files.makeQualified(self.pointer), options)
 
     def publish(self, rows: DataFrame, key: str, faults: DataFrame | None = None) -> int:
         """The active version afterwards. Nothing changes if the rows are those already active. Refused: no rows, repeated keys, or any fault of severity error."""
@@ -77,8 +79,8 @@ class Publications:
         if history and history[-1]["fingerprint"] == fingerprint:
             return history[-1]["version"]
         version = len(history) + 1
-        folder = f"{self.root}/version={version}"
-        rows.write.mode("overwrite").parquet(folder)
+        folder = f"{self.root}/version={version}-{uuid.uuid4()}"
+        rows.write.mode("error").parquet(folder)
         self._point([*history, {"version": version, "folder": folder, "fingerprint": fingerprint, "of": version}])
         return version
 

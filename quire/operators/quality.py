@@ -67,3 +67,8 @@ def findings(parts: list[DataFrame], ranks: dict[str, int]) -> DataFrame:
         joined = joined.unionByName(part)
     rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair]), F.col("code")), F.lit(len(ranks)))
     return joined.distinct().withColumn("rank", rank.cast("long"))
+
+
+def only_in(one: DataFrame, other: DataFrame, side: str) -> DataFrame:
+    """Rows of one that the other lacks, as often as they are more there, with side."""
+    return one.exceptAll(other).withColumn("side", F.lit(side))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import casefolded
+
 #: Rows that each depth of a question returns.
 DEPTHS = {"quick": 6, "study": 12, "deep": 24, "scholar": 32}
 
@@ -48,6 +50,13 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> Dat
     return df.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")).filter(F.col("position") <= n)
 
 
+def first_distinct(df: DataFrame, group: str, order: str, text: str, n: int, longest: int) -> DataFrame:
+    """(group, k, order): of each group the first n texts that differ when trimmed and case folded; empty and longer texts are left out. Equal texts are reduced to their first before they are ordered."""
+    plain = F.trim(text)
+    first = df.filter(F.length(plain).between(1, longest)).groupBy(group, casefolded(plain).alias("k")).agg(F.min(order).alias(order))
+    return top_per_group(first, group, [F.col(order)], n)
+
+
 def reciprocal_ranks(rankings: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     """(key, fused) from rankings (key, position): the sum of 1 / (k + position)."""
     parts = reduce(DataFrame.unionByName, [r.select(key, (1.0 / (k + F.col("position"))).alias("part")) for r in rankings])

@@ -122,11 +122,13 @@ def facet_counts(t: Tables) -> DataFrame:
     return joined.filter(F.contains(F.lower("n_name"), F.lit("i")) | F.contains(F.lower("c_mktsegment"), F.lit("m"))).groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("customers"))
 
 
-@query("WITH k AS (SELECT n_nationkey, n_name, lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) AS key FROM nation), s AS (SELECT s_suppkey, s_name, lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) AS key, n_name AS given FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT s_suppkey, k.n_nationkey, CASE WHEN s.given = k.n_name THEN 'exact' ELSE 'normalised' END AS how FROM s JOIN k USING (key)")
+@query("WITH k AS (SELECT n_nationkey, n_name, lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) AS key FROM nation), s AS (SELECT s_suppkey, s_name, lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) || CASE WHEN s_suppkey % 4 = 3 THEN 'x' ELSE '' END AS key, CASE s_suppkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN replace(n_name, '_', ' - ') ELSE n_name || 'x' END AS given FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT s_suppkey, k.n_nationkey, CASE WHEN s.given = k.n_name THEN 'exact' ELSE 'normalised' END AS how FROM s JOIN k USING (key)")
 def fallback_name_join(t: Tables) -> DataFrame:
-    """An exact match by name, else one by letters and digits alone."""
+    """An exact match by name, else one by letters and digits alone; names that are neither match nothing."""
     names = t.nation.select("n_nationkey", F.col("n_name").alias("name"), T.bare_key(F.col("n_name")).alias("key"))
-    given = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("given"), T.bare_key(F.col("n_name")).alias("key"))
+    kind = F.col("s_suppkey") % 4
+    given = F.when(kind == 0, F.col("n_name")).when(kind == 1, F.lower("n_name")).when(kind == 2, F.replace("n_name", F.lit("_"), F.lit(" - "))).otherwise(F.concat("n_name", F.lit("x")))
+    given = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", given.alias("given"), T.bare_key(given).alias("key"))
     exact = given.join(names, F.col("given") == F.col("name")).select("s_suppkey", names["n_nationkey"], F.lit("exact").alias("how"))
     rest = given.join(exact.select("s_suppkey"), "s_suppkey", "left_anti").join(names, "key").select("s_suppkey", "n_nationkey", F.lit("normalised").alias("how"))
     return exact.unionByName(rest)

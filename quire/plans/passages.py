@@ -66,11 +66,14 @@ def ordered_lookup(t: Tables) -> DataFrame:
     return asked.join(t.documents.select("doc_id", "source"), "doc_id").select("conv_id", F.col("position").cast("long").alias("position"), "doc_id", "source")
 
 
-@query("WITH f AS (SELECT conv_id, lower(substring(text, 1, 3)) AS k, min(turn) AS turn FROM conversations GROUP BY ALL) SELECT conv_id, k, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM f) WHERE n <= 5")
+@query("WITH a AS (SELECT conv_id % 40 AS thread, conv_id * 100 + turn AS place, role || ' ' || CASE WHEN turn % 2 = 0 THEN upper(substring(text, 1, 90)) ELSE '  ' || substring(text, 1, 90) END AS said FROM conversations WHERE turn < 3 UNION ALL SELECT conv_id % 40, conv_id * 100 + turn + 50, upper(role || ' ' || substring(text, 1, 90)) FROM conversations WHERE turn < 3), f AS (SELECT thread, replace(lower(trim(said)), 'ß', 'ss') AS k, min(place) AS place FROM a WHERE length(trim(said)) BETWEEN 1 AND 300 GROUP BY ALL) SELECT thread, place, length(k) AS size FROM (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY place) AS n FROM f) WHERE n <= 5")
 def related_once(t: Tables) -> DataFrame:
-    """The first five of each thread that differ by more than case."""
-    first = t.conversations.groupBy("conv_id", F.lower(F.substring("text", 1, 3)).alias("k")).agg(F.min("turn").alias("turn"))
-    return R.top_per_group(first, "conv_id", [F.col("turn")], 5).select("conv_id", "k", "turn")
+    """The first five of each thread that differ by more than case and outer white space, whole; empty ones and those beyond 300 characters are left out."""
+    place, start = F.col("conv_id") * 100 + F.col("turn"), F.substring("text", 1, 90)
+    rows = t.conversations.filter("turn < 3").withColumn("thread", F.col("conv_id") % 40)
+    once = rows.select("thread", place.alias("place"), F.concat("role", F.lit(" "), F.when(F.col("turn") % 2 == 0, F.upper(start)).otherwise(F.concat(F.lit("  "), start))).alias("said"))
+    again = rows.select("thread", (place + 50).alias("place"), F.upper(F.concat("role", F.lit(" "), start)).alias("said"))
+    return R.first_distinct(once.unionByName(again), "thread", "place", "said", 5, 300).select("thread", "place", F.length("k").cast("long").alias("size"))
 
 
 @query("SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_acctbal > 9000) DESC, (c_mktsegment = 'AUTOMOBILE') DESC, c_custkey) AS n FROM customer) WHERE n <= 4 AND (c_acctbal > 9000 OR c_mktsegment = 'AUTOMOBILE' OR n <= 2)")
@@ -81,9 +84,15 @@ def selection_fill(t: Tables) -> DataFrame:
     return ranked.filter(chosen | preferred | (F.col("position") <= 2)).select("c_nationkey", "c_custkey")
 
 
-@query("SELECT event_id, CASE WHEN json_valid(props) THEN NULL ELSE 'not_json' END AS fault FROM events")
+@query("SELECT event_id, CASE event_id % 9 WHEN 1 THEN 'repeated_key' WHEN 2 THEN 'not_finite' WHEN 3 THEN 'unknown_key' WHEN 4 THEN 'not_json' WHEN 5 THEN 'too_many_members' WHEN 6 THEN 'too_deep' WHEN 7 THEN 'missing' END AS fault FROM events")
 def strict_json(t: Tables) -> DataFrame:
-    return t.events.select("event_id", D.json_fault(F.col("props"), ["k"]).alias("fault"))
+    """Every fault at some row."""
+    many, deep = F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("1"), 101), ","), F.lit("]")), F.concat(F.repeat(F.lit("["), F.lit(13)), F.repeat(F.lit("]"), F.lit(13)))
+    spoilt = [F.lit('{"k": 1, "k": 2}'), F.lit('{"k": NaN}'), F.lit('{"other": 1}'), F.lit('{"k": '), many, deep, F.lit(None).cast("string")]
+    props = F.col("props")
+    for i, bad in enumerate(spoilt, 1):
+        props = F.when(F.col("event_id") % 9 == i, bad).otherwise(props)
+    return t.events.select("event_id", D.json_fault(props, ["k"]).alias("fault"))
 
 
 @query("SELECT s_suppkey, CASE WHEN abs(s_acctbal / 60) <= 90 THEN round(s_acctbal / 60, 6) END AS latitude, coalesce(nullif(trim(CASE WHEN s_acctbal > 5000 THEN '' ELSE s_name END), ''), 'unnamed') AS name FROM supplier")

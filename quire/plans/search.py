@@ -99,15 +99,25 @@ def chunk_passages(t: Tables) -> DataFrame:
     return R.chunk_words(t.documents, "doc_id", "text", 350, 40).select("doc_id", "chunk", "words", F.md5("body").alias("digest"))
 
 
-_plain = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_plain = "trim(regexp_replace(replace(lower(nfc_normalize({})), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+#: Statements of every length: whole ones, and the first word, two or four words of each fifth.
+_asked = "SELECT item_id, text AS said FROM benchmark UNION ALL SELECT item_id + 100000 * n AS item_id, array_to_string(list_slice(string_split(text, ' '), 1, n), ' ') AS said FROM benchmark CROSS JOIN (SELECT unnest([1, 2, 4]) AS n) WHERE item_id % 5 = 0"
 
 
-@query(f"SELECT DISTINCT b.item_id, d.doc_id FROM (SELECT item_id, {_plain.format('text')} AS s FROM benchmark) b JOIN (SELECT doc_id, {_plain.format('text')} AS t FROM documents) d ON contains(d.t, b.s) WHERE len(string_split(b.s, ' ')) >= 5")
+def statements(t: Tables) -> DataFrame:
+    words = F.split("text", " ")
+    lengths = F.array(*map(F.lit, (1, 2, 4)))
+    short = t.benchmark.filter("item_id % 5 = 0").withColumn("n", F.explode(lengths))
+    return t.benchmark.select("item_id", F.col("text").alias("said")).unionByName(short.select((F.col("item_id") + 100_000 * F.col("n")).alias("item_id"), F.array_join(F.slice(words, 1, F.col("n")), " ").alias("said")))
+
+
+
+@query(f"SELECT DISTINCT b.item_id, d.doc_id FROM (SELECT item_id, {_plain.format('said')} AS s FROM ({_asked})) b JOIN (SELECT doc_id, {_plain.format('text')} AS t FROM documents) d ON contains(d.t, b.s) WHERE b.s <> ''")
 def extractive_support(t: Tables) -> DataFrame:
-    return N.supported(t.benchmark, t.documents, "text", "text", "item_id", "doc_id")
+    return N.supported(statements(t), t.documents, "said", "text", "item_id", "doc_id")
 
 
-@query(f"WITH s AS (SELECT b.item_id, count(DISTINCT d.doc_id) AS n FROM (SELECT item_id, {_plain.format('text')} AS s FROM benchmark) b JOIN (SELECT doc_id, {_plain.format('text')} AS t FROM documents) d ON contains(d.t, b.s) WHERE len(string_split(b.s, ' ')) >= 5 GROUP BY b.item_id) SELECT b.item_id, coalesce(n, 0) AS sources, CASE WHEN n > 0 THEN 'supported' WHEN length(b.text) > 300 THEN 'synthesis' ELSE 'dropped' END AS status FROM benchmark b LEFT JOIN s ON b.item_id = s.item_id")
+@query(f"WITH s AS (SELECT b.item_id, count(DISTINCT d.doc_id) AS n FROM (SELECT item_id, {_plain.format('text')} AS s FROM benchmark) b JOIN (SELECT doc_id, {_plain.format('text')} AS t FROM documents) d ON contains(d.t, b.s) WHERE b.s <> '' GROUP BY b.item_id) SELECT b.item_id, coalesce(n, 0) AS sources, CASE WHEN n > 0 THEN 'supported' WHEN length(b.text) > 300 THEN 'synthesis' ELSE 'dropped' END AS status FROM benchmark b LEFT JOIN s ON b.item_id = s.item_id")
 def grounding_status(t: Tables) -> DataFrame:
     claims = t.benchmark.select("item_id", F.when(F.length("text") > 300, "synthesis").otherwise("quotation").alias("kind"))
     return N.settled(claims, N.supported(t.benchmark, t.documents, "text", "text", "item_id", "doc_id"), "item_id", "kind")
@@ -120,10 +130,10 @@ def citation_validity(t: Tables) -> DataFrame:
     return checked.select("conv_id", F.array_join(F.array_sort("c.kept").cast("array<string>"), ",").alias("kept"), F.col("c.valid").alias("valid"))
 
 
-@query("WITH RECURSIVE a AS (SELECT conv_id * 1000 + turn AS node, conv_id * 1000 + turn - 1 AS ancestor, 1::BIGINT AS depth FROM conversations WHERE turn > (SELECT min(turn) FROM conversations) UNION ALL SELECT a.node, a.ancestor - 1, a.depth + 1 FROM a JOIN conversations c ON c.conv_id * 1000 + c.turn = a.ancestor WHERE c.turn > (SELECT min(turn) FROM conversations) AND a.depth < 64) SELECT * FROM a")
+@query("WITH RECURSIVE a AS (SELECT conv_id * 4294967296 + turn AS node, conv_id * 4294967296 + turn - 1 AS ancestor, 1::BIGINT AS depth FROM conversations WHERE turn > (SELECT min(turn) FROM conversations) UNION ALL SELECT a.node, a.ancestor - 1, a.depth + 1 FROM a JOIN conversations c ON c.conv_id * 4294967296 + c.turn = a.ancestor WHERE c.turn > (SELECT min(turn) FROM conversations) AND a.depth < 64) SELECT * FROM a")
 def thread_ancestry(t: Tables) -> DataFrame:
     least = t.conversations.agg(F.min("turn")).first()[0]
-    node = F.col("conv_id") * 1000 + F.col("turn")
+    node = F.col("conv_id") * (1 << 32) + F.col("turn")
     return G.ancestry(t.conversations.select(node.alias("node"), F.when(F.col("turn") > least, node - 1).alias("parent")), "node", "parent")
 
 

@@ -42,7 +42,7 @@ LIMITED = "key string, at long, allowed boolean, retry_after long"
 
 
 def limited(events: DataFrame, key: str, time: str, limit: int, seconds: int) -> DataFrame:
-    """(key, at, allowed, retry_after) in microseconds. Each key's events pass in order through a state of at most `limit` times, batch by batch, so a busy key needs no memory of its own; a key is one sequence by its meaning."""
+    """(key, at, allowed, retry_after) in microseconds. Each key's events pass in order through a state of at most `limit` times, batch by batch, so a busy key needs no memory of its own; a key is one sequence by its meaning. On a stream the state of a key goes when it has been silent for two windows."""
     source = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"))
     if not events.isStreaming:
         ordered = source.repartition("key").sortWithinPartitions("key", "at")
@@ -59,13 +59,17 @@ def limited(events: DataFrame, key: str, time: str, limit: int, seconds: int) ->
         return ordered.filter("key IS NOT NULL").mapInPandas(run, LIMITED)
 
     def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
         times = sorted(t for part in parts for t in part["at"].tolist())
         verdicts, recent = admit(times, recent, limit, seconds * 1_000_000)
         state.update((recent,))
+        state.setTimeoutDuration(2000 * seconds)
         yield pd.DataFrame({"key": group[0], "at": times, "allowed": [v[0] for v in verdicts], "retry_after": [v[1] for v in verdicts]})
 
-    return source.groupBy("key").applyInPandasWithState(step, LIMITED, "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    return source.groupBy("key").applyInPandasWithState(step, LIMITED, "recent array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def sent_once(notes: DataFrame, recipient: str, key: str, time: str, muted: DataFrame, late: str = "1 day") -> DataFrame:
