@@ -5,6 +5,7 @@ Every block element and every block of text is a node that is content or not. A
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import math
@@ -25,12 +26,14 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 CELLS = frozenset(("td", "th"))
 SPACES = frozenset(("br", "td", "th", "option"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-DROPPED = frozenset("script style noscript template svg iframe object canvas select textarea button title math audio video".split())
+DROPPED = frozenset("script style noscript template svg iframe object canvas select textarea button title audio video".split())
 RAW = frozenset(("script", "style", "textarea", "title"))
 CLOSED_BY = {"li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",))}
 BOUNDS = {"li": frozenset(("ul", "ol", "menu", "dir")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",))}
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|>)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+BEGUN = re.compile(r"<[/!a-zA-Z]")
 NAMED = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 MAYBE_HIDDEN = re.compile(r"hidden|style", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
@@ -58,20 +61,72 @@ class Tree:
         return len(self.tag) - 1
 
 
+class Open:
+    """The elements that are open, the root first, with where each name stands, so that none is searched for."""
+
+    def __init__(self, tree: Tree):
+        self.tree, self.nodes = tree, [0]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int) -> None:
+        self.places.setdefault(self.tree.tag[node], []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Closes all from this depth on."""
+        for node in self.nodes[depth:]:
+            self.places[self.tree.tag[node]].pop()
+        del self.nodes[depth:]
+
+    def last(self, names: frozenset[str] | tuple[str, ...]) -> int:
+        """Depth of the innermost one of these names; 0: none is open."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+
+class Ends:
+    """Where elements end, found for all at once when the first is asked for."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.ends: dict[int, int] | None = None
+        self.closings: dict[str, list[int]] = {}
+
+    def of(self, name: str, at: int) -> int:
+        """Where the element whose tag ended at `at` ends; elements of its name may stand in it, but for raw text. -1: nowhere."""
+        if self.ends is None:
+            self.ends, begun = {}, {}
+            for m in BARE_TAG.finditer(self.source, 0, self.source.rfind(">") + 1):
+                tag = m[2].lower()
+                if m[1]:
+                    self.closings.setdefault(tag, []).append(m.end())
+                    if begun.get(tag):
+                        self.ends[begun[tag].pop()] = m.end()
+                else:
+                    begun.setdefault(tag, []).append(m.end())
+        if name in RAW:
+            found = self.closings.get(name, [])
+            i = bisect.bisect_right(found, at)
+            return found[i] if i < len(found) else -1
+        return self.ends.get(at, -1)
+
+
 def parse(source: str) -> Tree:
-    """The tree of block elements and text. Unclosed elements end with their parent; unknown and inline tags only pass their text on."""
+    """The tree of block elements and text. Unclosed elements end with their parent; unknown and inline tags only pass their text on.
+
+    Each character is looked at a bounded number of times, however broken the page: from the first comment that never ends on, comments end at the next >, and from the first tag whose quotes never end on, tags do.
+    """
     tree = Tree()
-    stack = [0]
+    stack, ends = Open(tree), Ends(source)
     parts: list[str] = []
     linked, link_depth, at, size = 0, 0, 0, len(source)
-    low = None
+    last, comments, quotes = source.rfind(">"), True, True
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tree.add("#text", stack[-1], text=text, linked=min(linked, len(text)))
+                tree.add("#text", stack.nodes[-1], text=text, linked=min(linked, len(text)))
             parts.clear()
         linked = 0
 
@@ -83,40 +138,50 @@ def parse(source: str) -> Tree:
             linked += len(text)
 
     while at < size:
-        m = TOKEN.search(source, at)
-        if m is None:
+        begin = source.find("<", at)
+        if begin < 0 or begin > last:
             rest = source[at:]
             cut = rest.rfind("<")
-            said(rest[:cut] if cut >= 0 and re.match(r"<[/!a-zA-Z]", rest[cut:]) else rest)  # an unfinished tag at the end is no text
+            said(rest[:cut] if cut >= 0 and BEGUN.match(rest, cut) else rest)  # an unfinished tag at the end is no text
             break
-        if m.start() > at:
-            said(source[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        mark = source[begin + 1]
+        m = None
+        if mark.isascii() and mark.isalpha() or (mark == "/" and source[begin + 2].isascii() and source[begin + 2].isalpha()):
+            m = TAG.match(source, begin) if quotes else None
+            if m is None:
+                quotes, m = False, BARE_TAG.match(source, begin)
+        elif mark not in "!?/":
+            said(source[at : begin + 1])
+            at = begin + 1
+            continue
+        if begin > at:
+            said(source[at:begin])
+        if m is None:
+            end = -1
+            if source.startswith("<!--", begin) and comments:
+                end = begin + 2 if source.startswith(">", begin + 4) else source.find("-->", begin + 4)
+                comments = end >= 0
+            at = end + 3 if end >= 0 else source.find(">", begin) + 1
             continue
-        name, closing, attrs = name.lower(), m[1] or m[4], m[3] if m[2] else m[6]
+        at = m.end()
+        name, closing, attrs = m[2].lower(), m[1], m[3]
         if closing:
             if name == "a":
                 link_depth = 0
             elif name in BLOCKS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if tree.tag[stack[i]] == name:
-                        flush()
-                        del stack[i:]
-                        if link_depth > len(stack):
-                            link_depth = 0
-                        break
-                else:
-                    if name == "p":
-                        flush()
+                depth = stack.last((name,))
+                if depth:
+                    flush()
+                    stack.cut(depth)
+                    if link_depth > len(stack.nodes):
+                        link_depth = 0
+                elif name == "p":
+                    flush()
             elif name in CELLS:
                 parts.append(" ")
             continue
         if name in DROPPED or (attrs and name not in VOID and hidden(attrs)):
-            if low is None:
-                low = source.lower() if len(source.lower()) == size else source
-            end = closing_of(low, name, at)
+            end = ends.of(name, at)
             if end >= 0:
                 at = end
             elif name in RAW:
@@ -125,22 +190,18 @@ def parse(source: str) -> Tree:
                 parts.append(" " if name in SPACES else "")
             continue
         if name == "a":
-            link_depth = len(stack)
+            link_depth = len(stack.nodes)
         elif name in BLOCKS:
             flush()
             if name in CLOSED_BY:
-                for i in range(len(stack) - 1, 0, -1):
-                    tag = tree.tag[stack[i]]
-                    if tag in CLOSED_BY[name]:
-                        del stack[i:]
-                        break
-                    if tag in BOUNDS[name]:
-                        break
-            elif tree.tag[stack[-1]] == "p":
-                stack.pop()
-            node = tree.add(name, stack[-1], attrs)
+                depth = stack.last(CLOSED_BY[name])
+                if depth > stack.last(BOUNDS[name]):
+                    stack.cut(depth)
+            elif tree.tag[stack.nodes[-1]] == "p":
+                stack.cut(len(stack.nodes) - 1)
+            node = tree.add(name, stack.nodes[-1], attrs)
             if name not in VOID:
-                stack.append(node)
+                stack.push(node)
         elif name in SPACES:
             parts.append(" ")
     flush()
@@ -157,19 +218,6 @@ def hidden(attrs: str) -> bool:
     return "hidden" in first or first.get("aria-hidden", "").strip().lower() == "true" or bool(NOT_SHOWN.search(first.get("style", "")))
 
 
-def closing_of(low: str, name: str, at: int) -> int:
-    """Where the element that began before `at` ends; elements of its name may stand in it, but for raw text. -1: nowhere."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>").finditer(low, at):
-        if m[1]:
-            depth -= 1
-        elif name not in RAW:
-            depth += 1
-        if not depth:
-            return m.end()
-    return -1
-
-
 def bucket(share: float, bounds: tuple[float, ...]) -> int:
     return sum(share >= b for b in bounds)
 
@@ -198,7 +246,7 @@ def evidence(tree: Tree) -> list[list[tuple]]:
         own = [("tag", tag, within[up]), ("part", kind_of(tag), bucket(size[i] / total, (0.01, 0.05, 0.2, 0.5))), ("full", kind_of(tag), links)]
         if tree.attrs[i]:
             words = dict.fromkeys(w for m in NAMED.finditer(tree.attrs[i]) for w in CLASS_WORD.findall(CAMEL.sub(" ", m[1]).lower()))
-            own += [("class", w) for w in list(words)[:12]]
+            own += [("class", w) for w in words]
         out.append(own)
     return out
 

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 from quire.llm import pages as P
 
@@ -65,3 +66,22 @@ def test_hidden_is_an_attribute_of_its_own():
         assert P.hidden(attrs), attrs
         assert "Words" not in P.parse(f"<section{attrs}>Words</section>").text, attrs
     assert not P.hidden(' aria-hidden="false" style="display:block"')
+
+
+def test_broken_markup_takes_linear_time():
+    n = 1 << 20
+    forms = ["<button>", "<!--", "<!-- x -->", "<a t=\"'>", "<a t='", '<p class="x', "<b", "<", "&", "</nav>", "<x hidden>", "<select><option>", "<li><ul>", "<dt><div>", "<a ", "<![", "</ ", "<div hidden", "<p style='"]
+    pages = [f * (n // len(f)) for f in forms]
+    pages += ["<div>" * (n // 11) + "</nav>" * (n // 11), "<li><ul>" + "<div>" * (n // 20) + "<li></li>" * (n // 20), "".join(f"<x{i} hidden>" for i in range(n // 14)), "<article>" + "<!--" * (n // 4) + ">", "<p>" * (n // 8) + '"' * (n // 8) + ">", "<p a=" + " " * n + ">"]
+    for page in pages:
+        began = time.process_time()
+        P.parse(page)
+        assert time.process_time() - began < 4, page[:40]
+
+
+def test_all_words_of_a_class_count_and_formulas_stay(spark):
+    many = " ".join(f"u{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(40))
+    html = f"<article><p>One here is a sentence.</p><p>So <math>a + b</math> it is, she said.</p><div class='{many} comments'><p>I disagree with that.</p></div></article>"
+    rows = [(1, "u", html), (1, "u", html), (None, None, html)]
+    got = P.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == ["One here is a sentence.\n\nSo a + b it is, she said."] * 3
