@@ -1,6 +1,6 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text's symbols are its runs of non-space characters, cut at twelve. A window of K symbols is an anchor if its smallest pair of neighbouring symbols, by hash, stands at either edge of the window: a rule that looks at nothing outside the window, so an anchor stays wherever its symbols do. A text starts with K - 1 blank symbols, so that any symbol at all gives an anchor.
+A text's symbols are its runs of at most twelve non-space characters; a longer run, as in scripts without spaces or in code, is cut by its own content: every character beyond ASCII is a symbol, and ASCII ends one after certain characters. So no symbol depends on where its run begins. A window of K symbols is an anchor if its smallest pair of neighbouring symbols, by hash, stands at either edge of the window: a rule that looks at nothing outside the window, so an anchor stays wherever its symbols do. A text starts with K - 1 blank symbols, so that any symbol at all gives an anchor.
 """
 
 from __future__ import annotations
@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import partitions, whole
 
-#: Symbols in a window and in the substrings whose minimum counts; longest symbol.
-K, S, SYMBOL = 7, 2, 12
+#: Symbols in a window and in the substrings whose minimum counts.
+K, S = 7, 2
+#: Runs up to this length are symbols; in longer ones these characters, a seventh of all or so, and punctuation end a symbol.
+SYMBOL, ENDS = 12, "aoAO037"
+PATTERN = rf"((?<!\S)\S{{1,{SYMBOL}}}+(?!\S)|[^\x00-\x7f]|[\x00-\x7f&&\S&&[^{ENDS}\p{{Punct}}]]*+[{ENDS}\p{{Punct}}]|[\x00-\x7f&&\S&&[^{ENDS}\p{{Punct}}]]++)"
 #: Rows in a range of ids, about; ranges at the most.
 RANGE_ROWS, RANGES = 100, 4096
 LOWEST = -(1 << 63)
@@ -19,7 +22,7 @@ LOWEST = -(1 << 63)
 
 def symbol_hashes(text: Column) -> Column:
     """Blank symbols, then a hash of each symbol of the text."""
-    symbols = F.regexp_extract_all(text, F.lit(rf"(\S{{1,{SYMBOL}}})"), F.lit(1))
+    symbols = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1))
     return F.concat(F.array_repeat(F.lit(0).cast("long"), K - 1), F.transform(symbols, lambda w: F.xxhash64(w)))
 
 

@@ -1,11 +1,12 @@
 import hashlib
 import random
 import re
+import string
 import struct
 
 import xxhash
 
-from quire.llm.syncmers import K, S, SYMBOL, fingerprints
+from quire.llm.syncmers import ENDS, K, S, SYMBOL, fingerprints
 
 
 def folded(values):
@@ -20,8 +21,28 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
+def symbols(text):
+    out = []
+    for run in re.findall(r"[^ \t-\r]+", text):
+        if len(run) <= SYMBOL:
+            out.append(run)
+            continue
+        piece = ""
+        for c in run:
+            if ord(c) > 127:
+                out += [piece] * bool(piece) + [c]
+                piece = ""
+                continue
+            piece += c
+            if c in ENDS or c in string.punctuation:
+                out.append(piece)
+                piece = ""
+        out += [piece] * bool(piece)
+    return out
+
+
 def anchors(text):
-    sym = [0] * (K - 1) + [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(rf"[^ \t-\r]{{1,{SYMBOL}}}", text)]
+    sym = [0] * (K - 1) + [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in symbols(text)]
     out = []
     for i in range(len(sym) - K + 1):
         pairs = [folded(sym[j : j + S]) for j in range(i, i + K - S + 1)]
@@ -40,7 +61,7 @@ def near(a, b):
 
 def test_against_brute_force(spark):
     rng = random.Random(7)
-    texts = {i * 3: " ".join(rng.choices("alpha beta gamma déltà 日本 incomprehensibilities x".split(), k=rng.choice([0, 1, 3, 9, 200]))) for i in range(450)}
+    texts = {i * 3: " ".join(rng.choices("alpha beta gamma déltà 日本 incomprehensibilities x a+b=c;//q03-z_9{}[]!kkkkkkkkkkkkkkkkkkkk 日本語の文章は空白がないので長い".split(), k=rng.choice([0, 1, 3, 9, 200]))) for i in range(450)}
     texts[7], texts[8], texts[4000] = None, "   ", "repeat " * 40000
     rows = [(k, t, "clash") for k, t in texts.items()]
     rng.shuffle(rows)
@@ -64,3 +85,15 @@ def test_edges(spark):
     assert fingerprints(df.limit(0)).count() == 0
     one = fingerprints(df.filter("text = 'a b'")).first()
     assert one.near_next == 1.0 and one.n_chars == 3
+
+
+def test_anchors_hang_on_nothing_outside_them(spark):
+    """One character put in front moves no other anchor, with or without spaces."""
+    rng = random.Random(5)
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1200))
+    code = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=3000))
+    spaced = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 20))) for _ in range(300))
+    texts = [x for t in (chinese, code, spaced) for x in (t, "q" + t)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = {r.doc_id: r.near_next for r in fingerprints(df).collect()}
+    assert min(near[0], near[2], near[4]) > 0.9 and max(near[1], near[3]) < 0.1
