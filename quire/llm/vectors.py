@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import checkpoint
 from quire.llm.components import connected_components, spanning_links
 
-#: Vectors that the codebooks are fitted on, at the most; codes a half, at the least and most; vectors of a cell, about.
-SAMPLE, CODES, IN_CELL = 20_000, (4, 256), 50
-#: Share of pairs at the threshold that visits must meet on the sample; cells that a vector may visit.
-RECALL, MOST_CELLS = 0.995, 512
+#: Vectors that the codebooks are fitted on, at the most; codes a half, at the least; vectors of a cell, about; sampled vectors of a code, at the least.
+SAMPLE, LEAST_CODES, IN_CELL, IN_CODE = 20_000, 4, 50, 8
+#: Share of pairs at the threshold that visits must meet on the sample; cells that are tried first.
+RECALL, FIRST_CELLS = 0.995, 64
 #: Members of a block.
 BLOCK = 4096
 
@@ -47,7 +47,8 @@ class Grid:
     def cells(self, data: np.ndarray, visits: int | None = None) -> np.ndarray:
         """Nearest cells of each vector, a bounded number of vectors at a time."""
         most = min(visits or self.visits, len(self.first) * len(self.second))
-        return np.concatenate([self.traverse(data[s : s + 512], most) for s in range(0, len(data), 512)]) if len(data) else np.zeros((0, most), int)
+        step = max(1, (1 << 22) // (most * (1 + most.bit_length())))
+        return np.concatenate([self.traverse(data[s : s + step], most) for s in range(0, len(data), step)]) if len(data) else np.zeros((0, most), int)
 
     def traverse(self, data: np.ndarray, most: int) -> np.ndarray:
         """The nearest cells of each vector in the order in which a multi-sequence traversal pops them: by the sum of the two halves' distances. Of pairs of ranks (i, j) only those with (i + 1)(j + 1) <= visits can be among the first, as all smaller pairs come before."""
@@ -55,7 +56,7 @@ class Grid:
         a, b = distances(data[:, :half], self.first), distances(data[:, half:], self.second)
         ra, rb = np.argsort(a, axis=1, kind="stable")[:, :most], np.argsort(b, axis=1, kind="stable")[:, :most]
         da, db = np.take_along_axis(a, ra, 1), np.take_along_axis(b, rb, 1)
-        pairs = np.array([(i, j) for i in range(ra.shape[1]) for j in range(rb.shape[1]) if (i + 1) * (j + 1) <= most])
+        pairs = np.array([(i, j) for i in range(ra.shape[1]) for j in range(min(rb.shape[1], most // (i + 1)))])
         sums = da[:, pairs[:, 0]] + db[:, pairs[:, 1]]
         first = np.argsort(sums, axis=1, kind="stable")[:, :most]
         i, j = pairs[first, 0], pairs[first, 1]
@@ -63,8 +64,8 @@ class Grid:
 
 
 def fit(sample: np.ndarray, n: int, threshold: float) -> Grid:
-    """Codebooks for n vectors, and the fewest visits that meet the target recall for partners set at exactly the threshold from sampled vectors, in random directions: the hardest links there are."""
-    k = int(np.clip(round((n / IN_CELL) ** 0.5), *CODES))
+    """Codebooks for n vectors, and the fewest visits that meet the target recall for partners set at exactly the threshold from sampled vectors, in random directions: the hardest links there are. Visits grow until the recall holds, to all cells if need be, which compares all with all. Codes grow with the root of n as far as the sample can tell them apart."""
+    k = int(np.clip(round((n / IN_CELL) ** 0.5), LEAST_CODES, max(LEAST_CODES, len(sample) // IN_CODE)))
     half = (sample.shape[1] + 1) // 2
     grid = Grid(fit_codes(sample[:, :half], min(k, len(sample))), fit_codes(sample[:, half:], min(k, len(sample)), seed=6))
     rng = np.random.default_rng(7)
@@ -73,12 +74,16 @@ def fit(sample: np.ndarray, n: int, threshold: float) -> Grid:
     away -= (away * x).sum(axis=1, keepdims=True) * x
     away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
     y = threshold * x + (1 - threshold * threshold) ** 0.5 * away
-    most = min(MOST_CELLS, len(grid.first) * len(grid.second))
-    cx, cy = grid.cells(x, most), grid.cells(y, most)
-    found = lambda cells, home: np.where((cells == home[:, None]).any(axis=1), (cells == home[:, None]).argmax(axis=1), most)
-    rank = np.minimum(found(cx, cy[:, 0]), found(cy, cx[:, 0]))
-    grid.visits = int(min(most, np.sort(rank)[min(len(rank) - 1, int(np.ceil(RECALL * len(rank))))] + 1))
-    return grid
+    every, tried = len(grid.first) * len(grid.second), FIRST_CELLS
+    while True:
+        most = min(tried, every)
+        cx, cy = grid.cells(x, most), grid.cells(y, most)
+        found = lambda cells, home: np.where((cells == home[:, None]).any(axis=1), (cells == home[:, None]).argmax(axis=1), every)  # noqa: B023, E731
+        rank = np.sort(np.minimum(found(cx, cy[:, 0]), found(cy, cx[:, 0])))[min(len(x) - 1, int(np.ceil(RECALL * len(x))))]
+        if rank < every or most == every:
+            grid.visits = int(min(rank + 1, every))
+            return grid
+        tried *= 4
 
 
 def unit(column: pd.Series) -> np.ndarray:
