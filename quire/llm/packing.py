@@ -37,69 +37,61 @@ class Bins:
 def reduce_by_dominance(counts: Counter, capacity: int, bins: Bins) -> None:
     """Fix bins that some best packing holds; counts keeps what is left.
 
-    A bin with an item of length L dominates if whatever else may stand beside L in any packing could be put where the chosen partner stands instead:
-    - a partner that fills the bin to the brim (what stood beside L fits into the partner's old place);
-    - nothing, if not even the shortest item fits beside L;
-    - the longest item that fits, if no two items fit beside L together, or if it is as long as any pair that fits and no three do.
-    It repeats until nothing more can be fixed.
+    A set of an item and at most two others dominates if whatever else may stand beside the item, in any packing, could be put where the chosen ones stand instead:
+    - nothing, if not even the shortest item fits beside it;
+    - the longest item that fits, if it fills the bin, if no two items fit, or if no three do and it is as long as any pair that fits;
+    - the longest pair that fits, if no three items do, the longest item is one of the pair, and no two items that are both longer than the other one would fit instead.
+    Equal items are fixed together: while some of each are left, nothing that was decided on changes. It repeats until nothing more can be fixed.
     """
-    def take(content: list[tuple[int, int]], n: int) -> None:
-        bins.add(content, n)
-        for length, copies in content:
-            counts[length] -= copies * n
-            if not counts[length]:
-                del counts[length]
-
-    for length in sorted(counts, reverse=True):
-        rest = capacity - length
-        if rest == 0:
-            take([(length, 1)], counts[length])
-        elif rest == length:
-            take([(length, 2)], counts[length] // 2)
-        elif rest < length and counts[rest] and counts[length]:
-            take([(length, 1), (rest, 1)], min(counts[length], counts[rest]))
-        if not counts[rest]:
-            del counts[rest]
-        if not counts[length]:
-            del counts[length]
-    changed = True
-    while changed and counts:
+    order, changed = sorted(counts), True
+    while changed:
         changed = False
-        order = sorted(counts)
-        for length in reversed(order):
-            if 2 * length <= capacity:
-                break
+        for length in order[::-1]:
             while counts[length]:
-                order = [x for x in order if counts[x]]
-                room = capacity - length
-                fits = order[: bisect.bisect_right(order, room)]
-                low = [x for x in fits[:3] for _ in range(min(3, counts[x]))][:3]
-                if not low:
-                    take([(length, 1)], counts[length])
-                    changed = True
-                    break
-                best = fits[-1]
-                alone = len(low) < 2 or low[0] + low[1] > room
-                three = len(low) > 2 and sum(low) <= room
-                if not alone and (three or best < longest_pair(fits, counts, room)):
+                found = dominating(length, counts, order, capacity - length)
+                if not found:
                     break
-                take([(length, 1), (best, 1)], min(counts[length], counts[best]))
+                content = Counter(found)
+                n = min(counts[x] // copies for x, copies in content.items())
+                bins.add(sorted(content.items(), reverse=True), n)
+                for x, copies in content.items():
+                    counts[x] -= copies * n
+                    if not counts[x]:
+                        del order[bisect.bisect_left(order, x)], counts[x]
                 changed = True
-            if not counts[length]:
-                del counts[length]
-    for x in [x for x in counts if not counts[x]]:
-        del counts[x]
 
 
-def longest_pair(lengths: list[int], counts: Counter, room: int) -> int:
-    """The largest sum of two items that is at most room; lengths ascend."""
-    most, i, j = 0, 0, len(lengths) - 1
+def dominating(length: int, counts: Counter, order: list[int], room: int) -> tuple[int, ...] | None:
+    """The dominating set that an item of this length begins, if there is one; order: the lengths that are left, ascending."""
+    left = lambda x: counts[x] - (x == length)
+    low = [x for x in order[:4] if x <= room for _ in range(min(3, left(x)))][:3]
+    if not low:
+        return (length,)
+    end = bisect.bisect_right(order, room)
+    best = order[end - 1] if left(order[end - 1]) else order[end - 2]
+    if best == room or len(low) < 2 or low[0] + low[1] > room:
+        return length, best
+    if len(low) > 2 and sum(low) <= room:
+        return None
+    fits = {x: left(x) for x in order[:end] if left(x)}
+    a, b = longest_pair(list(fits), fits, room)
+    if best >= a + b:
+        return length, best
+    between = [x for x in fits if b < x < a for _ in range(min(2, fits[x]))][:2]
+    if a == best and (len(between) < 2 or sum(between) > room):
+        return length, a, b
+    return None
+
+
+def longest_pair(lengths: list[int], counts: dict[int, int], room: int) -> tuple[int, int]:
+    """The two items, the longer first, of the largest sum that is at most room; lengths ascend and some pair fits."""
+    most, i, j = (0, 0), 0, len(lengths) - 1
     while i <= j:
         both = lengths[i] + lengths[j]
         if both > room or (i == j and counts[lengths[i]] < 2):
             j -= 1
         else:
-            most = max(most, both)
+            most = max(most, (lengths[j], lengths[i]), key=sum)
             i += 1
     return most
 

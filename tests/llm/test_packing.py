@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quire.llm.bpe import merger, token_counts
-from quire.llm.packing import encoder, pack_counts, pack_documents
+from quire.llm.packing import Bins, encoder, pack_counts, pack_documents, reduce_by_dominance
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["", None, " ", "a<|endoftext|>b <|x", "ΑΣ ß é", "a\x1cb", "it's we'll", "word " * 9000, "word " * 9000, "日本語😀", "x" * 3000]
@@ -51,16 +52,23 @@ def test_packs_whole_and_near_the_optimum(lengths):
     assert sum(n for _, n in bins.groups) <= optimum(sorted(lengths, reverse=True), 12) + 1
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 12), max_size=8))
-def test_reduction_keeps_the_optimum(lengths):
-    from collections import Counter
-
-    from quire.llm.packing import Bins, reduce_by_dominance
-
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=9), st.sampled_from([12, 20, 30]))
+def test_reduction_keeps_the_optimum(lengths, capacity):
+    lengths = [x for x in lengths if x <= capacity]
     left, bins = Counter(lengths), Bins()
-    reduce_by_dominance(left, 12, bins)
-    assert sum(n for _, n in bins.groups) + optimum(sorted(left.elements(), reverse=True), 12) == optimum(sorted(lengths, reverse=True), 12)
+    reduce_by_dominance(left, capacity, bins)
+    assert sum(n for _, n in bins.groups) + optimum(sorted(left.elements(), reverse=True), capacity) == optimum(sorted(lengths, reverse=True), capacity)
+    assert Counter(x for content, n in bins.groups for x, copies in content for _ in range(copies * n)) + left == Counter(lengths)
+
+
+def test_sets_of_three_and_of_small_items_are_fixed():
+    left, bins = Counter([14, 9, 7]), Bins()
+    reduce_by_dominance(left, 30, bins)
+    assert not left and bins.groups == [([(14, 1), (9, 1), (7, 1)], 1)]
+    left, bins = Counter({10: 400, 20: 100, 15: 7}), Bins()
+    reduce_by_dominance(left, 30, bins)
+    assert sum(n for _, n in bins.groups) + optimum(list(left.elements()), 30) == 100 + 100 + 4
 
 
 def test_pieces_against_library(spark):
