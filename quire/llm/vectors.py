@@ -17,8 +17,8 @@ from quire.llm.components import connected_components, spanning_links
 
 #: Vectors that the codebooks are fitted on, at the most; codes a half, at the least; vectors of a cell, about; sampled vectors of a code, at the least.
 SAMPLE, LEAST_CODES, IN_CELL, IN_CODE = 20_000, 4, 50, 8
-#: Share of pairs at the threshold that visits must meet on the sample; cells that are tried first.
-RECALL, FIRST_CELLS = 0.995, 64
+#: Share of pairs at the threshold that visits must meet on the sample; cells that are visited at the least, as a small sample tells little; cells that are tried first.
+RECALL, LEAST_CELLS, FIRST_CELLS = 0.995, 16, 64
 #: Members of a block.
 BLOCK = 4096
 
@@ -81,7 +81,7 @@ def fit(sample: np.ndarray, n: int, threshold: float) -> Grid:
         found = lambda cells, home: np.where((cells == home[:, None]).any(axis=1), (cells == home[:, None]).argmax(axis=1), every)  # noqa: B023, E731
         rank = np.sort(np.minimum(found(cx, cy[:, 0]), found(cy, cx[:, 0])))[min(len(x) - 1, int(np.ceil(RECALL * len(x))))]
         if rank < every or most == every:
-            grid.visits = int(min(rank + 1, every))
+            grid.visits = int(min(max(rank + 1, LEAST_CELLS), every))
             return grid
         tried *= 4
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from quire.llm.secrets import base_spans, listed, looks_random, redact, secret_scan
+from quire.llm.secrets import base_spans, listed, looks_random, more_spans, redact, secret_scan
 
 HEX40 = "ffc3105535f423f352535e4ac53b5fefe076ac6d"
 OWN = "Zx9Qw8Er7Ty6Ui5Op4As3Df2"
@@ -83,3 +83,31 @@ def test_copies_over_one_owners_repositories_are_examples(spark):
     assert all(got[i] == (1, 0) for i in (40, 41, 50, 51))
     text = {r.doc_id: r.text for r in redact(df).collect()}
     assert text[0] == data[0][1] and text[20] == data[10][1] and text[40] == "[SECRET] end" and text[50] == "bare [SECRET] end"
+
+
+def test_ownership_against_brute_force(spark):
+    """Which spans are live, by counting owners and repositories of every value over all rows."""
+    rng = random.Random(12)
+    values = ["".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789", k=22)) + str(i) for i in range(25)]
+    rows = []
+    for i in range(400):
+        held = rng.sample(values[: 1 + i % 25], k=min(2, 1 + i % 25))
+        text = " ".join(["x", f"token={held[0]}", "and", held[-1]])
+        rows.append((i, text, rng.choice(["hot"] * 8 + ["s1", "s2", None]), rng.choice(["en", "fr", None])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    where = {}
+    found = {i: [(k, v) for k, _, _, v in [*base_spans(t), *more_spans(t, base_spans(t))]] for i, t, *_ in rows}
+    for i, _, source, lang in rows:
+        for _, v in found[i]:
+            owners, repositories = where.setdefault(v, (set(), set()))
+            owners.add(source)
+            repositories.add((source, lang))
+    few = 2
+    live = lambda v: len(where[v][0]) <= few and len(where[v][1]) <= few
+    got = {r.doc_id: r for r in secret_scan(df).collect()}
+    redacted = {r.doc_id: r.text for r in redact(df).collect()}
+    for i, text, *_ in rows:
+        stays = [(k, v) for k, v in found[i] if k < 3 or (live(v) and len(where[v][0]) == 1)]
+        assert got[i].n_live == sum(live(v) for _, v in stays) and got[i].n_example == len(stays) - got[i].n_live
+        assert (redacted[i] == text) == (not any(live(v) for _, v in stays))
+    assert any(r.n_live for r in got.values()) and any(r.n_example for r in got.values())

@@ -67,3 +67,25 @@ def test_traversal_order():
     sums = V.distances(x[:, :4], grid.first)[:, :, None] + V.distances(x[:, 4:], grid.second)[:, None, :]
     for row, all_sums in zip(cells, sums.reshape(9, -1)):
         assert np.allclose(all_sums[row], np.sort(all_sums)[:12])
+
+
+def test_null_and_repeated_ids(spark):
+    one, two, far = [1.0, 0.0], [0.99, 0.05], [0.0, 1.0]
+    rows = [(1, one, 1), (1, one, 1), (None, one, 1), (None, far, 2), (2, two, 1), (None, two, 3), (3, None, 1)]
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()), key=str)
+    assert len(got) == len(rows)
+    assert [g for g in got if g[0] == 1] == [(1, 3, 1, True)] * 2 and (2, 3, 1, False) in got and (3, 0, 3, True) in got
+
+
+def test_visits_grow_until_the_recall_holds():
+    rng = np.random.default_rng(3)
+    flat = rng.normal(size=(4000, 48))
+    flat /= np.linalg.norm(flat, axis=1, keepdims=True)
+    grid = V.fit(flat, 500_000, 0.75)
+    assert grid.visits > V.FIRST_CELLS
+    x = flat[:500]
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    y = 0.75 * x + (1 - 0.75**2) ** 0.5 * away / np.linalg.norm(away, axis=1, keepdims=True)
+    cx, cy = grid.cells(x), grid.cells(y)
+    assert ((cx == cy[:, :1]).any(axis=1) | (cy == cx[:, :1]).any(axis=1)).mean() > 0.97
