@@ -40,6 +40,21 @@ def table_digest(df: DataFrame, group: list[str], row: str) -> DataFrame:
     return df.groupBy(*group).agg(F.count("*").alias("rows"), F.sum(bits).cast("string").alias("digest"))
 
 
+def replace_file(spark: SparkSession, path: str, content: str) -> None:
+    """Puts a small file in place in one step: readers see the old one or the new one, whatever happens between."""
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    target, fresh = hadoop.Path(path), hadoop.Path(f"{path}-{uuid.uuid4()}.new")
+    files = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = files.create(fresh, True)
+    out.write(bytearray(content.encode()))
+    out.close()
+    kind = getattr(hadoop, "Options$Rename")
+    options = sc._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    hadoop.FileContext.getFileContext(files.getUri(), sc._jsc.hadoopConfiguration()).rename(files.makeQualified(fresh), files.makeQualified(target), options)
+
+
 class Publications:
     """Snapshots of an edition in folders of their own, never written twice; one small pointer file, put in place last and in one step, names the active one. A crash before that step leaves what was active. One writer at a time."""
 
@@ -55,16 +70,7 @@ class Publications:
         return json.loads(self.spark.read.text(f"{self.root}/pointer.json", wholetext=True).first()[0])
 
     def _point(self, history: list[dict]) -> None:
-        sc = self.spark.sparkContext
-        hadoop = sc._jvm.org.apache.hadoop.fs
-        fresh = hadoop.Path(f"{self.root}/pointer-{uuid.uuid4()}.json.new")
-        out = self.files.create(fresh, True)
-        out.write(bytearray(json.dumps(history).encode()))
-        out.close()
-        kind = getattr(hadoop, "Options$Rename")
-        options = sc._gateway.new_array(kind, 1)
-        options[0] = kind.OVERWRITE
-        hadoop.FileContext.getFileContext(self.files.getUri(), sc._jsc.hadoopConfiguration()).rename(self.files.makeQualified(fresh), self.files.makeQualified(self.pointer), options)
+        replace_file(self.spark, f"{self.root}/pointer.json", json.dumps(history))
 
     def publish(self, rows: DataFrame, key: str, faults: DataFrame | None = None) -> int:
         """The active version afterwards. Nothing changes if the rows are those already active. Refused: no rows, repeated keys, or any fault of severity error."""

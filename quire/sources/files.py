@@ -38,12 +38,20 @@ def unsafe(archive: zipfile.ZipFile) -> str | None:
 
 
 def archive_members(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
-    """(path, sha256, member, body, fault): text members of ZIP files, one archive a row of the scan; an unsafe or broken archive is one row with its fault."""
+    """The text members of the ZIP files of a folder."""
+    return unzipped(spark.read.format("binaryFile").load(path).select("path", "content"), suffix)
+
+
+def unzipped(files: DataFrame, suffix: str = ".json", declared: DataFrame | None = None) -> DataFrame:
+    """(path, sha256, member, body, fault) of archives (path, content), one archive a row of the scan. One that is unsafe or broken, or whose digest isn't the one declared (path, sha256), is one row with its fault."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, data, digest in zip(batch["path"], batch["content"], batch["sha256"], strict=True):
+            for name, data, digest, wanted in zip(batch["path"], batch["content"], batch["sha256"], batch["wanted"], strict=True):
                 rows = []
+                if wanted is not None and wanted != digest:
+                    yield pd.DataFrame([(name, digest, None, None, "another digest")], columns=["path", "sha256", "member", "body", "fault"])
+                    continue
                 try:
                     with zipfile.ZipFile(io.BytesIO(data)) as archive:
                         fault = unsafe(archive)
@@ -55,8 +63,27 @@ def archive_members(spark: SparkSession, path: str, suffix: str = ".json") -> Da
                     rows = [(name, digest, None, None, type(e).__name__)]
                 yield pd.DataFrame(rows, columns=["path", "sha256", "member", "body", "fault"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("sha256"))
-    return files.mapInPandas(unzip, "path string, sha256 string, member string, body string, fault string")
+    summed = files.withColumn("sha256", F.sha2("content", 256))
+    if declared is None:
+        summed = summed.withColumn("wanted", F.lit(None).cast("string"))
+    else:
+        summed = summed.join(declared.select("path", F.coalesce("sha256", F.lit("")).alias("wanted")), "path", "left").withColumn("wanted", F.coalesce("wanted", F.lit("")))
+    return summed.select("path", "content", "sha256", "wanted").mapInPandas(unzip, "path string, sha256 string, member string, body string, fault string")
+
+
+def zipped(members: DataFrame, archive: str, member: str, body: str) -> DataFrame:
+    """(path, content): one ZIP for each archive, its members in order and with one fixed time, so that the same members give the same bytes. An archive holds at most MEMBERS members."""
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as out:
+            for name, text in sorted(zip(group[member], group[body], strict=True)):
+                info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+                info.compress_type = zipfile.ZIP_DEFLATED
+                out.writestr(info, text)
+        return pd.DataFrame({"path": [group[archive].iloc[0]], "content": [data.getvalue()]})
+
+    return members.groupBy(archive).applyInPandas(pack, "path string, content binary")
 
 
 def array_bundle(members: DataFrame) -> DataFrame:
@@ -83,11 +110,15 @@ def contiguous(passages: DataFrame, keys: list[str], declared: DataFrame | None
 
 
 def verse_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(book, chapter, verse, text, blank) of lines `BOOK 1:2 text`; other lines are left out."""
+    return parsed_lines(spark.read.text(path))
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """(book, chapter, verse, text, blank) of lines (value) `BOOK 1:2 text`; other lines are left out."""
     line = r"^(\S+)\s+(\d+):(\d+)(?:\s+(.*))?$"
     part = lambda i: F.regexp_extract("value", line, i)
     text = F.trim(F.coalesce(part(4), F.lit("")))
-    return spark.read.text(path).filter(F.col("value").rlike(line)).select(part(1).alias("book"), part(2).cast("int").alias("chapter"), part(3).cast("int").alias("verse"), text.alias("text"), (text == "").alias("blank"))
+    return lines.filter(F.col("value").rlike(line)).select(part(1).alias("book"), part(2).cast("int").alias("chapter"), part(3).cast("int").alias("verse"), text.alias("text"), (text == "").alias("blank"))
 
 
 def prose(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -114,6 +145,60 @@ def xml_entries(spark: SparkSession, path: str, tag: str, schema: str) -> DataFr
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
 
+#: Dialects of lexicon files: the tag of an entry, its schema, and where number, word and meaning stand.
+DIALECTS = {
+    "attributes": ("entry", "_id string, w string, meaning string", ("_id", "w", "meaning")),
+    "nested": ("item", "head struct<number: string, form: string>, gloss string", ("head.number", "head.form", "gloss")),
+    "strings": ("word", "_strongs string, _lemma string, _VALUE string", ("_strongs", "_lemma", "_VALUE")),
+}
+
+
+def lexicon(spark: SparkSession, path: str, dialect: str, prefix: str) -> DataFrame:
+    """(number, word, meaning) of a lexicon in one of three dialects; entries without a number are left out."""
+    tag, schema, (number, word, meaning) = DIALECTS[dialect]
+    rows = xml_entries(spark, path, tag, schema)
+    return rows.select(lexicon_number(F.col(number), prefix).alias("number"), F.col(word).alias("word"), F.col(meaning).alias("meaning")).filter("number IS NOT NULL")
+
+
+def catalogue_faults(books: DataFrame) -> DataFrame:
+    """(id, code) of a catalogue's books (id, name, order, chapters, verses array of counts) that contradict themselves or each other."""
+    own = F.array_compact(F.array(
+        F.when(F.coalesce(F.trim("name"), F.lit("")) == "", "name_missing"), F.when(F.coalesce(F.col("chapters"), F.lit(0)) < 1, "no_chapters"),
+        F.when(F.size("verses") != F.col("chapters"), "chapters_differ"), F.when(F.exists("verses", lambda n: n < 1), "empty_chapter"),
+    ))
+    single = books.select("id", F.explode(own).alias("code"))
+    repeated = lambda column, code: books.groupBy(column).agg(F.collect_set("id").alias("ids"), F.count("*").alias("n")).filter("n > 1").select(F.explode("ids").alias("id"), F.lit(code).alias("code"))
+    return single.unionByName(repeated("id", "id_repeated")).unionByName(repeated("order", "order_repeated"))
+
+
+def chapter_notes(chapters: DataFrame, excluded: list[int]) -> DataFrame:
+    """(work, chapter, anchor, locator, body) of chapters (work, chapter, content array of struct anchor, body): entries at the excluded places of the list are left out; locators number what stands at one anchor."""
+    each = chapters.select("work", "chapter", F.posexplode("content").alias("at", "n")).filter(~F.array_contains(F.array(*map(F.lit, excluded or [-1])), F.col("at")))
+    place = Window.partitionBy("work", "chapter", "n.anchor").orderBy("at")
+    nth, several = F.row_number().over(place), F.count("*").over(Window.partitionBy("work", "chapter", "n.anchor")) > 1
+    locator = F.concat_ws("#", F.concat_ws(":", "work", "chapter", "n.anchor"), F.when(several, nth))
+    return each.select("work", "chapter", F.col("n.anchor").alias("anchor"), locator.alias("locator"), F.col("n.body").alias("body"))
+
+
+def table(spark: SparkSession, url: str, name: str, fetch: int = 5000, by: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """A table of another database, fetched in batches; by (column, low, high, parts) it is read in parallel."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, fetchsize=str(fetch), **options)
+    if by:
+        reader = reader.options(partitionColumn=by[0], lowerBound=str(by[1]), upperBound=str(by[2]), numPartitions=str(by[3]))
+    return reader.load()
+
+
+def tables_there(spark: SparkSession, url: str, names: dict[str, str], listing: str, **options: str) -> dict[str, DataFrame]:
+    """The tables of an older database, by name with the schema each has there; one that is absent is empty. `listing` is a query of the names there are (column NAME)."""
+    there = {str(r[0]).lower() for r in spark.read.format("jdbc").options(url=url, query=listing, **options).load().collect()}
+    return {n: table(spark, url, n, **options) if n.lower() in there else spark.createDataFrame([], schema) for n, schema in names.items()}
+
+
+def reload(rows: DataFrame, path: str, parts: int | None = None) -> None:
+    """Deletes what was there and writes rows anew."""
+    (rows.coalesce(parts) if parts else rows).write.mode("overwrite").parquet(path)
+
+
 def lexicon_number(raw: Column, prefix: str) -> Column:
     """Its number in the form H12: as it is, or the first digits after the prefix; null without digits."""
     digits = F.regexp_extract(raw, r"(\d+)", 1)

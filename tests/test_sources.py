@@ -85,3 +85,43 @@ def test_publications(spark, tmp_path):
         with pytest.raises(ValueError):
             store.publish(rows, "k", faults)
     assert store.active().first().t == "a" and len(store.history()) == 5
+
+
+def test_crash_before_the_pointer_moves_loses_nothing(spark, tmp_path, monkeypatch):
+    store = Publications(spark, str(tmp_path / "pub"))
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k int, t string")
+    store.publish(frame((1, "a")), "k")
+
+    def crash(history):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_point", crash)
+        with pytest.raises(OSError):
+            store.publish(frame((1, "b")), "k")
+    assert [h["version"] for h in store.history()] == [1] and store.active().first().t == "a"
+    assert store.publish(frame((1, "c")), "k") == 2 and store.active().first().t == "c"
+    assert store.rollback() == 3 and store.active().first().t == "a"
+
+
+def test_archives_by_digest(spark):
+    members = spark.createDataFrame([("a", "x.json", "[1]"), ("a", "y.json", "[2]"), ("b", "x.json", "[3]")], "book string, member string, body string")
+    one, two = (S.zipped(m, "book", "member", "body").orderBy("path").collect() for m in (members, members.orderBy("body", ascending=False)))
+    assert [bytes(r.content) for r in one] == [bytes(r.content) for r in two]
+    archives = S.zipped(members, "book", "member", "body")
+    declared = archives.filter("path = 'a'").select("path", F.sha2("content", 256).alias("sha256"))
+    got = sorted(((r.path, r.body or "", r.fault or "") for r in S.unzipped(archives, declared=declared).collect()))
+    assert got == [("a", "[1]", ""), ("a", "[2]", ""), ("b", "", "another digest")]
+
+
+def test_other_databases(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(40)], "k int, t string")
+    rows.write.format("jdbc").options(url=url, dbtable="posts", **driver).save()
+    assert S.table(spark, url, "posts", 7, ("k", 0, 40, 4), **driver).count() == 40
+    found = S.tables_there(spark, url, {"posts": "k int, t string", "votes": "k int"}, "SELECT TABLENAME AS NAME FROM SYS.SYSTABLES WHERE TABLETYPE = 'T'", **driver)
+    assert found["posts"].count() == 40 and found["votes"].count() == 0
+    S.reload(rows, str(tmp_path / "r"), 2)
+    S.reload(rows.limit(3), str(tmp_path / "r"), 2)
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 3
