@@ -1,6 +1,6 @@
 """Language identification: scripts narrow the candidates, then Viterbi over per-word scores labels spans of mixed text.
 
-A word's score for a language is the mean log-likelihood of its letter trigrams there, as a difference from the best language. Changing the language from one word to the next costs a penalty. Texts are handled as arrays of code points, a bounded slice at a time.
+A word's score for a language is the mean log-likelihood of its letter trigrams there, as a difference from the best language, -6 at the least. Changing the language from one word to the next costs a penalty of 14, so a span of another language has three words at the least where it begins or ends a text, five inside one; shorter ones go to their neighbours. Texts are handled as arrays of code points, a bounded slice at a time.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ ROWS = 800
 ALPHABET = 94
 CLASSES = ALPHABET + 3
 OTHER, FOREIGN = CLASSES - 2, CLASSES - 1
-PLANE = 1 << 16
+POINTS = 0x110000
 WEIGHT, PENALTY, FLOOR = 2.0, 14.0, -6.0
 #: A script counts as a language's own from this share of its letters.
 SCRIPT_SHARE = 0.01
@@ -35,13 +35,14 @@ def script(letter: str) -> str:
 
 
 def points(text: str) -> np.ndarray:
-    """Code points of the text in lower case; those beyond the first plane as its last one, which is no letter."""
-    data = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return np.minimum(data, PLANE - 1)
+    """Code points of the text in lower case."""
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
 def spaces() -> np.ndarray:
-    return np.array([chr(i).isspace() for i in range(PLANE)])
+    found = np.zeros(POINTS, dtype=bool)
+    found[[i for i in range(0x3001) if chr(i).isspace()]] = True
+    return found
 
 
 def trigrams(classes: np.ndarray) -> np.ndarray:
@@ -62,9 +63,9 @@ class Model:
 
     def __post_init__(self) -> None:
         self.space = spaces()
-        self.classes = np.zeros(PLANE, dtype=np.int16)
+        self.classes = np.zeros(POINTS, dtype=np.int16)
         allowed = np.zeros((CLASSES, len(self.languages)), dtype=bool)
-        for i in range(PLANE - 1):
+        for i in range(POINTS):
             c = chr(i)
             if c.isalpha():
                 known = self.scripts.get(script(c))
@@ -157,7 +158,7 @@ def label(model: Model, text: str) -> tuple[str, float, str]:
 def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", most: int = ROWS) -> Model:
     """A model from labelled rows, at most about `most` of each language, chosen by a hash of the id.
 
-    Letters and trigrams are counted on the executors, each as the root of its count in a text, lest a text that repeats itself outweigh the others; what comes to the driver is bounded by the letters of Unicode's first plane and the trigrams of the alphabet, for each language. Rows with null text or language are left out; no rows give a model without languages.
+    Letters and trigrams are counted on the executors, each as the root of its count in a text, lest a text that repeats itself outweigh the others; what comes to the driver is bounded by Unicode's letters and the trigrams of the alphabet, for each language. Rows with null text or language are left out; no rows give a model without languages.
     """
     named = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).filter("lang IS NOT NULL AND text IS NOT NULL")
     sample = checkpoint(bounded_rows(named, "lang", most, "id").select("lang", "text"))

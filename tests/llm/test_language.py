@@ -41,3 +41,31 @@ def test_languages(spark):
     assert by[903].lang_pred == "en" and "ru" in by[903].spans and by[904].lang_pred in WORDS and 0 <= by[904].score <= 1
     assert identify(df.limit(0), F.lit(True)).count() == 0
     assert {r.lang_pred for r in identify(df, F.lit(False)).collect()} == {"und"}
+
+
+def test_spans_of_mixed_texts_and_letters_beyond_the_first_plane(spark):
+    """Spans of six to twenty words of one language after another: nine of ten words get theirs; letters of any plane count."""
+    deseret = "".join(chr(c) for c in range(0x10428, 0x10450))
+    rng = random.Random(4)
+    words = {k: v.split() for k, v in WORDS.items()} | {"xx": ["".join(rng.choices(deseret, k=rng.randint(2, 7))) for _ in range(12)]}
+    learned = [(i, " ".join(rng.choices(words[lang], k=20)), lang) for i in range(200) for lang in [list(words)[i % 4]]]
+    mixed, truth = [], {}
+    for i in range(60):
+        said, langs = [], []
+        for lang in rng.sample(list(words), 3):
+            part = rng.choices(words[lang], k=rng.randint(6, 20))
+            said += part
+            langs += [lang] * len(part)
+        mixed.append((1000 + i, " ".join(said), None))
+        truth[1000 + i] = langs
+    df = spark.createDataFrame(learned + mixed, "doc_id long, text string, lang string")
+    right = total = 0
+    for r in identify(df, F.col("doc_id") < 1000).collect():
+        if r.doc_id < 1000:
+            assert r.lang_pred == learned[r.doc_id][2]
+            continue
+        for span in r.spans.split(","):
+            lang, begin, end = span.split(":")
+            right += sum(x == lang for x in truth[r.doc_id][int(begin) : int(end)])
+        total += len(truth[r.doc_id])
+    assert right / total > 0.9, right / total
