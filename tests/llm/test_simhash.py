@@ -73,3 +73,10 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame([*links, (None, 3)], "u long, v long")).collect()}
     ids = {x for l in links if l[0] != l[1] for x in l}
     assert got == roots(ids, [l for l in links if l[0] != l[1]])
+
+
+def test_null_ids(spark):
+    """A null id names a component only where all its ids are null."""
+    df = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (None, "other words stand here now"), (None, "other words stand here now"), (9, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id or 0) for r in S.simhash_groups(df).collect()))
+    assert got == [(0, 0), (0, 0), (0, 4), (4, 4), (9, 9)]
