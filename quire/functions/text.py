@@ -71,13 +71,21 @@ def reference(book: Column, chapter: Column, verse: Column) -> Column:
 
 
 def parsed_reference(text: Column) -> Column:
-    """Struct of book, chapter, first and last verse of `Book 3:16-18`; nulls where there is none. A lone verse ends where it starts."""
-    pattern = r"^\s*([1-3]?\s?[A-Za-z][A-Za-z ]*?)\s+(\d{1,3})[:.](\d{1,3})(?:-(\d{1,3}))?\s*$"
+    """Struct of book, chapter, first and last verse of `Book 3:16-18` or `Bk. 3.16`; nulls where there is none. A lone verse ends where it starts."""
+    pattern = r"^\s*([1-3]?\s?[A-Za-z][A-Za-z ]*?)\.?\s+(\d{1,3})[:.](\d{1,3})(?:-(\d{1,3}))?\s*$"
     part = lambda i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
     first = part(3).cast("int")
     return F.struct(part(1).alias("book"), part(2).cast("int").alias("chapter"), first.alias("first"), F.coalesce(part(4).cast("int"), first).alias("last"))
 
 
+def canonical_key(label: Column, chapter: Column, verse: Column) -> Column:
+    """A key such as first_samuel.1.1: a number before the name in words, spaces as underscores."""
+    plain = F.lower(squeeze(label))
+    for digit, name in (("1", "first"), ("2", "second"), ("3", "third")):
+        plain = F.regexp_replace(plain, rf"^{digit}\s?(?=\p{{L}})", f"{name} ")
+    return F.concat_ws(".", F.replace(plain, F.lit(" "), F.lit("_")), chapter.cast("string"), verse.cast("string"))
+
+
 def mentions(text: Column) -> Column:
     """Distinct names after an @ that no word character precedes."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|[^A-Za-z0-9_])@([A-Za-z0-9_-]{3,50})"), F.lit(1)))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.lineage import Publications, replace_file
 
 
 def normalised(rows: DataFrame, edition: str, work: str, chapter: str, verse: str, text: str) -> DataFrame:
@@ -102,3 +104,41 @@ def verified(source: DataFrame, copy: DataFrame, group: list[str]) -> DataFrame:
     """(group, source, copy) of counts that differ between a table and its copy."""
     a, b = (df.groupBy(*group).agg(F.count("*").alias(name)) for df, name in ((source, "source"), (copy, "copy")))
     return a.join(b, group, "full").filter(~F.col("source").eqNullSafe(F.col("copy")))
+
+
+class Runs:
+    """Runs of an ingest: staged rows in partitions of a table, findings in another, and a small header for each, replaced in one step as its status moves."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def header(self, run: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/headers/{run}.json", wholetext=True).first()[0])
+
+    def _head(self, run: str, **facts: object) -> dict:
+        head = {"run": run, **facts}
+        replace_file(self.spark, f"{self.root}/headers/{run}.json", json.dumps(head, sort_keys=True))
+        return head
+
+    def stage(self, run: str, rows: DataFrame) -> dict:
+        """Writes a run's rows; staged again, they take the place of what was there."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/rows/{run}")
+        return self._head(run, status="staged", rows=self.rows(run).count(), errors=0, warnings=0)
+
+    def rows(self, run: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/rows/{run}")
+
+    def validate(self, run: str, findings: DataFrame) -> dict:
+        """Replaces a run's findings (code, severity, ...); without an error among them, and with rows, it is verified."""
+        findings.write.mode("overwrite").parquet(f"{self.root}/findings/{run}")
+        found = self.spark.read.parquet(f"{self.root}/findings/{run}").groupBy("severity").agg(F.count("*").alias("n")).collect()
+        counts = {r["severity"]: r["n"] for r in found}
+        head = self.header(run)
+        errors = counts.get("error", 0) + (head["rows"] == 0)
+        return self._head(run, status="validated" if errors else "verified", rows=head["rows"], errors=errors, warnings=counts.get("warning", 0))
+
+    def publish(self, run: str, key: str, store: Publications) -> int:
+        """Publishes a verified run; others are refused."""
+        if self.header(run)["status"] != "verified":
+            raise ValueError("only verified runs are published")
+        return store.publish(self.rows(run), key)

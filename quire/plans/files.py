@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import ingest as I
 from quire.operators.lineage import Publications
+from quire.operators.scope import resolve
 from quire.plans.registry import Tables, query
 from quire.sources import files as S
 
@@ -201,3 +203,41 @@ _sha = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('nation:' || n_
 def named_ids(t: Tables) -> DataFrame:
     """Ids that follow from names."""
     return t.nation.select("n_name", T.name_id("nation", F.col("n_name")).alias("id"))
+
+
+@query("SELECT run, 'verified' AS status, n AS rows, 0::BIGINT AS errors, n // 5 AS warnings FROM (SELECT 'a' AS run, count(*) AS n FROM supplier) UNION ALL SELECT 'b', 'validated', count(*), count(*) FILTER (s_acctbal < 0), 0 FROM supplier UNION ALL SELECT 'c', 'validated', 0, 1, 0")
+def ingest_runs(t: Tables) -> DataFrame:
+    """Three runs staged and validated: one sound but for warnings, one with errors, one without rows."""
+    runs = I.Runs(t.spark, scratch(t.spark))
+    rows = t.supplier.select("s_suppkey", "s_name", "s_acctbal")
+    finding = lambda df, severity: df.select(F.lit("code").alias("code"), F.lit(severity).alias("severity"))
+    heads = []
+    for run, staged, found in (("a", rows, finding(rows.filter("s_suppkey % 5 = 0"), "warning")), ("b", rows, finding(rows.filter("s_acctbal < 0"), "error")), ("c", rows.limit(0), finding(rows.limit(0), "error"))):
+        runs.stage(run, staged)
+        heads.append(runs.validate(run, found))
+    return t.spark.createDataFrame([(h["run"], h["status"], h["rows"], h["errors"], h["warnings"]) for h in heads], "run string, status string, rows long, errors long, warnings long")
+
+
+@query("SELECT doc_id, source AS book, CASE WHEN doc_id % 3 = 0 THEN 'first_' WHEN doc_id % 3 = 1 THEN 'second_' ELSE '' END || source || '.' || doc_id // 100 || '.' || doc_id % 100 AS key FROM documents")
+def canonical_keys(t: Tables) -> DataFrame:
+    label = F.concat(F.when(F.col("doc_id") % 3 == 0, "1 ").when(F.col("doc_id") % 3 == 1, "2").otherwise(" "), F.upper("source"))
+    return t.documents.select("doc_id", F.col("source").alias("book"), T.canonical_key(label, F.floor(F.col("doc_id") / 100), F.col("doc_id") % 100).alias("key"))
+
+
+@query("SELECT doc_id, source AS work, CAST(doc_id // 100 + 1 AS INT) AS chapter, CAST(doc_id % 100 AS INT) AS first FROM documents")
+def abbreviated_references(t: Tables) -> DataFrame:
+    """References by short names, with a full stop or a colon before the verse, resolved by a dictionary."""
+    letters = F.translate("source", "0123456789", "abcdefghij")
+    short = F.concat(F.upper(F.substring(letters, 1, 1)), F.substring(letters, 4, 9))
+    names = t.documents.select(short.alias("alias"), F.col("source").alias("work")).distinct()
+    said = F.concat(short, F.when(F.col("doc_id") % 2 == 0, ". ").otherwise(" "), F.floor(F.col("doc_id") / 100) + 1, F.when(F.col("doc_id") % 3 == 0, ".").otherwise(":"), F.col("doc_id") % 100)
+    read = t.documents.select("doc_id", T.parsed_reference(said).alias("r")).select("doc_id", "r.*")
+    return resolve(read, "book", names).select("doc_id", "work", "chapter", "first")
+
+
+@query("SELECT page_id, 1 AS chapter, n AS verse, CASE n WHEN 1 THEN 'begins ' || page_id || ' goes on' ELSE 'second of ' || page_id || ' E more' END AS text FROM pages, (SELECT unnest([1, 2]) AS n) UNION ALL SELECT page_id, 2, 1, 'next ' || page_id FROM pages")
+def recension_prose(t: Tables) -> DataFrame:
+    """Prose of two chapters and three recensions, of which one is kept, one verse number in its midst."""
+    id_ = F.col("page_id").cast("string")
+    text = F.concat(F.lit("Preface 1. none.\n\nI. 1. begins "), id_, F.lit("\n\nG^g\n\n  1. other words\n\nE\n\n  goes on 2. second of "), id_, F.lit(" E more\n\nII. next "), id_)
+    return S.recension_verses(t.pages.select("page_id", text.alias("text")), "page_id", "text")

@@ -213,3 +213,25 @@ def difference_both_ways(t: Tables) -> DataFrame:
     """What one set has and the other lacks, each way; equal sets give nothing."""
     of = lambda lang, size: t.documents.filter((F.col("lang") == lang) & (F.col("n_chars") > size)).select("source").distinct()
     return Q.only_in(of("fr", -1), of("es", 5000), "declared").unionByName(Q.only_in(of("es", 5000), of("fr", 3000), "observed"))
+
+
+#: Frozen totals of a release, by group.
+RELEASE = {0: (5, 300), 1: (4, 250), 2: (5, 10)}
+
+
+@query("SELECT n_regionkey AS part, works, customers, CASE WHEN n_regionkey > 2 THEN 'unexpected_group' WHEN works <> CASE n_regionkey WHEN 1 THEN 4 ELSE 5 END THEN 'works_differ' WHEN customers < CASE n_regionkey WHEN 0 THEN 300 WHEN 1 THEN 250 ELSE 10 END THEN 'customers_short' ELSE 'as_frozen' END AS verdict FROM (SELECT n_regionkey, count(DISTINCT n_nationkey) AS works, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)")
+def release_audit(t: Tables) -> DataFrame:
+    """Totals of each group beside the frozen ones; a handful of constants, so they are literals."""
+    totals = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_regionkey").alias("part")).agg(F.countDistinct("n_nationkey").alias("works"), F.count("c_custkey").alias("customers"))
+    frozen = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for k, v in RELEASE.items() for x in (k, v[i])]), F.col("part"))
+    verdict = F.when(frozen(0).isNull(), "unexpected_group").when(F.col("works") != frozen(0), "works_differ").when(F.col("customers") < frozen(1), "customers_short").otherwise("as_frozen")
+    return totals.withColumn("verdict", verdict)
+
+
+@query("WITH k AS (SELECT l_partkey AS name FROM lineitem UNION SELECT p_partkey FROM part), n AS (SELECT name, row_number() OVER (ORDER BY name) AS number FROM k) SELECT l_suppkey, count(DISTINCT number) AS linked, min(number) AS first FROM lineitem JOIN n ON l_partkey = name GROUP BY 1")
+def backfilled_links(t: Tables) -> DataFrame:
+    """Dense numbers for all names, then carried back to the edges that named them."""
+    names = t.lineitem.select(F.col("l_partkey").alias("name")).union(t.part.select("p_partkey"))
+    none = t.part.limit(0).select(F.col("p_partkey").alias("name"), F.lit(0).cast("long").alias("number"))
+    numbers = I.find_or_create(none, names, "name", "number")
+    return t.lineitem.join(numbers, F.col("l_partkey") == F.col("name")).groupBy("l_suppkey").agg(F.countDistinct("number").alias("linked"), F.min("number").alias("first"))

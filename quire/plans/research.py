@@ -169,3 +169,14 @@ def fanout_without_self(t: Tables) -> DataFrame:
 def edition_steps(t: Tables) -> DataFrame:
     before = F.lag("n_chars").over(Window.partitionBy("source", "lang").orderBy("doc_id"))
     return t.documents.select("doc_id", before.alias("before"), (F.col("n_chars") - before).alias("step"))
+
+
+@query(f"WITH e AS (SELECT vec_id, embedding, source, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id IN (SELECT doc_id FROM labels WHERE toxic = 0)), a AS (SELECT vec_id, row_number() OVER (ORDER BY round({_cos.format(v=V)}, 6) DESC, vec_id) AS p FROM e), b AS (SELECT vec_id, row_number() OVER (ORDER BY s DESC, vec_id) AS p FROM (SELECT vec_id, CASE WHEN lower(source) = 'src1' THEN 100 WHEN contains(lower(source), 'src1') THEN 50 WHEN contains(lower(text), 'src1') THEN 1 ELSE 0 END + CASE WHEN lower(source) = 'the' THEN 100 WHEN contains(lower(source), 'the') THEN 50 WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END AS s FROM e) WHERE s > 0) SELECT vec_id, fused FROM (SELECT vec_id, round(sum(1.0 / (60 + p)), 9)::DOUBLE AS fused FROM (SELECT * FROM a WHERE p <= 40 UNION ALL SELECT * FROM b WHERE p <= 40) GROUP BY 1) ORDER BY fused DESC, vec_id LIMIT 24")
+def hybrid_retrieval(t: Tables) -> DataFrame:
+    """What is eligible first; then a vector and a word ranking of it, fused by reciprocal ranks, ties by id."""
+    scope = t.labels.filter("toxic = 0").select(F.col("doc_id").alias("vec_id"))
+    rows = t.embeddings.join(scope, "vec_id", "left_semi").join(t.documents.select(F.col("doc_id").alias("vec_id"), "source", "text"), "vec_id")
+    near = rows.select("vec_id", F.round(R.cosine(F.col("embedding"), R.literal_vector(VECTOR)), 6).alias("score")).filter("score IS NOT NULL")
+    said = rows.select("vec_id", R.lexical_score(F.col("source"), F.col("text"), ["src1", "the"]).alias("score")).filter("score > 0")
+    ranked = [E.ranked(df, [F.col("score").desc(), F.col("vec_id")], 40) for df in (near, said)]
+    return R.reciprocal_ranks(ranked, "vec_id").orderBy(F.col("fused").desc(), "vec_id").limit(24)

@@ -136,6 +136,57 @@ def prose(docs: DataFrame, key: str, text: str) -> DataFrame:
     return marked.select(key, "chapter", F.when(number == "", 0).otherwise(F.try_to_number(number, F.lit("999999"))).cast("int").alias("verse"), F.trim(F.regexp_replace("p", r"^\s*\d+[.)]?\s", "")).alias("text"))
 
 
+#: Marks of recensions in prose, and which of them is the one to keep.
+MAIN, OTHERS = "E", ("G^g", "G^s", "G^{s1}", "G^{s2}")
+HEADING = re.compile(r"^([IVXLC]+)\.\s*(.*)$", re.DOTALL)
+MARKER = re.compile(r"(?:^|(?<=\s))(\d{1,3})\.\s+")
+DIGITS = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100}
+
+
+def verses_of(text: str | None, chapters: int) -> list[tuple[int, int, str]]:
+    """(chapter, verse, text) of prose in several recensions: blocks between empty lines follow each other through three states.
+
+    A block that is a recension's mark opens it and the next block that isn't indented closes it; what stands in another recension than MAIN is left out. A Roman numeral of 1 to `chapters` opens a chapter. A number and a full stop opens a verse; text before a chapter's first number is its verse 1.
+    """
+    out: dict[tuple[int, int], list[str]] = {}
+    chapter, verse, recension = 0, 0, None
+    for raw in re.split(r"\r?\n(?:[ \t]*\r?\n)+", text or ""):
+        block = " ".join(raw.split())
+        if not block:
+            continue
+        if block == MAIN or block in OTHERS:
+            recension = block
+            continue
+        if recension and not raw.startswith((" ", "\t")):
+            recension = None
+        if recension in OTHERS:
+            continue
+        m = HEADING.match(block)
+        number = sum(-DIGITS[a] if DIGITS[a] < DIGITS.get(b, 0) else DIGITS[a] for a, b in zip(m[1], m[1][1:] + " ", strict=True)) if m else 0
+        if m and 1 <= number <= chapters:
+            chapter, verse, block = number, 0, m[2]
+        if not chapter:
+            continue
+        parts = MARKER.split(block)
+        if parts[0].strip():
+            verse = verse or 1
+            out.setdefault((chapter, verse), []).append(parts[0].strip())
+        for n, said in zip(parts[1::2], parts[2::2], strict=True):
+            verse = int(n)
+            out.setdefault((chapter, verse), []).append(said.strip())
+    return [(c, v, " ".join(x for x in said if x)) for (c, v), said in sorted(out.items()) if any(said)]
+
+
+def recension_verses(docs: DataFrame, key: str, text: str, chapters: int = 150) -> DataFrame:
+    """(key, chapter, verse, text) of documents in prose with recensions; each document is one sequence by its meaning."""
+
+    @F.pandas_udf("array<struct<chapter: int, verse: int, text: string>>")
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"chapter": c, "verse": v, "text": t} for c, v, t in verses_of(x, chapters)] for x in texts])
+
+    return docs.select(key, F.explode(read(text)).alias("v")).select(key, "v.*")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines of JSON; those that aren't are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
