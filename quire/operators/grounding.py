@@ -60,7 +60,7 @@ def supported(statements: DataFrame, sources: DataFrame, statement: str, text: s
         parts.append(said.select(source, F.explode(F.filter(block, lambda s: F.contains(F.col("_t"), s))).alias("_s")))
     if not parts:
         return asked.select(key).limit(0).join(said.select(source).limit(0), F.lit(False), "left").select(key, source)
-    return reduce(DataFrame.unionByName, parts).join(F.broadcast(asked), "_s").select(key, source).distinct()
+    return reduce(DataFrame.unionByName, parts).join(asked, "_s").select(key, source).distinct()
 
 
 def by_shuffle(asked: DataFrame, said: DataFrame, key: str, source: str) -> DataFrame:

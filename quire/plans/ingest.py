@@ -88,8 +88,8 @@ def duplicate_rows_and_locators(t: Tables) -> DataFrame:
 def commentary_coverage(t: Tables) -> DataFrame:
     """Chapters and entries of each book, beside the totals of all, which are made of the books' own."""
     each = notes(t).groupBy("work").agg(F.array_sort(F.collect_set("chapter")).alias("chapters"), F.count("*").alias("entries"))
-    totals = each.agg(F.count("*").alias("books"), F.sum(F.size("chapters")).alias("all_chapters"))
-    return each.join(F.broadcast(totals)).select("work", F.array_join("chapters", ",").alias("chapters"), "entries", "books", "all_chapters")
+    books, chapters = each.agg(F.count("*"), F.coalesce(F.sum(F.size("chapters")), F.lit(0))).first()
+    return each.select("work", F.array_join("chapters", ",").alias("chapters"), "entries", F.lit(books).alias("books"), F.lit(chapters).alias("all_chapters"))
 
 
 @query("SELECT source, string_agg(lang || '=' || last, ',' ORDER BY lang) AS texts FROM (SELECT source, lang, arg_max(n_chars, doc_id) AS last FROM documents GROUP BY ALL) GROUP BY source")
