@@ -195,8 +195,9 @@ class Reader:
             new = set(words)
         plain = {w: letters(w) for w in new}
         distinct = sorted(set(plain.values()))
-        values = dict(zip(distinct, self.kernel.of(distinct), strict=True))
-        self.rows |= {w: values[p] if values[p].any() else None for w, p in plain.items()}
+        rows = self.kernel.of(distinct)
+        values = {p: row.astype(np.float32) if near else None for p, row, near in zip(distinct, rows, rows.any(axis=1), strict=True)}  # copies, so the whole matrix isn't kept
+        self.rows |= {w: values[p] for w, p in plain.items()}
 
 
 def slices(text: str) -> Iterator[str]:
