@@ -124,7 +124,8 @@ def fingerprint_links(fingerprints: DataFrame, most: int = 4) -> DataFrame:
         raise ValueError("three segments with one wildcard find at most five differing bits")
     spark = fingerprints.sparkSession
     found_schema = "key long, a long, b long"
-    variants = fingerprints.select("fp", F.explode(F.array(*[variant_key(b) for b in range(64)])).alias("key"))
+    spread = fingerprints.select("fp").repartition(partitions(spark), "fp")  # each row becomes 64
+    variants = spread.select("fp", F.explode(F.array(*[variant_key(b) for b in range(64)])).alias("key"))
     ordered = variants.repartition(partitions(spark), "key").sortWithinPartitions("key", "fp")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
