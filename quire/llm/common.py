@@ -72,6 +72,25 @@ def bounded_rows(df: DataFrame, group: str, most: int, key: str) -> DataFrame:
     return df.join(F.broadcast(share) if few else share, group).filter(u < F.col("_share")).drop("_share")
 
 
+#: A key is hot if it holds more than one of so many rows; so there are fewer hot keys than this, however large the table.
+HOT = 1000
+
+
+def joined_by_hot_key(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows with the columns of table, null where it has no such key (or the key is null). table: one row per key, with how many rows have it in the column weight.
+
+    Fewer than HOT keys can hold more than one of HOT rows each: those are broadcast, so no task gets all rows of one; what is left is shuffled by key, at most one of HOT rows a key. table is read three times: give a table that is computed already.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(table.filter(F.col(weight) * HOT > total))
+    wide = [c for c in table.columns if c not in (key, weight)]
+    # rows of hot keys, and those without a key, have nothing to look for: a number of their own spreads them over all tasks
+    light = table.filter(F.col(weight) * HOT <= total).select(key, (F.col(weight) - F.col(weight)).cast("long").alias("_apart"), *[F.col(c).alias(f"_{c}") for c in wide])
+    met = rows.join(hot, key, "left").withColumn("_apart", F.when(F.col(weight).isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1))
+    found = met.join(light, [key, "_apart"], "left")
+    return found.select(*rows.columns, *[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) for c in wide])
+
+
 _MADE: dict[str, object] = {}
 
 
