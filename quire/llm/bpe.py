@@ -10,7 +10,8 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -86,19 +87,18 @@ class Reader:
         self.words = Remembered(lambda word: of(spelt(word)))
         self.odd = Remembered(lambda chunk: [of(word) for word, _ in cut(normal(chunk))])
 
-    def read(self, text: str) -> Iterator:
+    def read(self, text: str) -> Iterable:
         if "<|" in text and self.specials is not None and self.specials.search(text):
-            for part in self.specials.split(text):
-                yield from [self.special(self.ids[part])] if part in self.ids else self.plain(part)
-        else:
-            yield from self.plain(text)
+            return chain.from_iterable([self.special(self.ids[part])] if part in self.ids else self.plain(part) for part in self.specials.split(text))
+        return self.plain(text)
 
-    def plain(self, text: str) -> Iterator:
+    def plain(self, text: str) -> Iterable:
         if text.isascii() or not BEYOND.search(text):
-            yield from map(self.words.__getitem__, WORD.findall(text.lower()))
-        else:
-            for chunk in SPACES.split(text):
-                yield from self.odd[chunk] if BEYOND.search(chunk) else map(self.words.__getitem__, WORD.findall(chunk.lower()))
+            return self.old_latin(text)
+        return chain.from_iterable(self.odd[chunk] if BEYOND.search(chunk) else self.old_latin(chunk) for chunk in SPACES.split(text))
+
+    def old_latin(self, text: str) -> Iterable:
+        return map(self.words.__getitem__, WORD.findall(text.lower()))
 
 
 class Merger:

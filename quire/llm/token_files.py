@@ -72,10 +72,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, layout: Layout = L
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "nth", "start_in_part", "n_tokens", "ids"])
 
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
             found, size, first = [], 0, 0
             for at, text in enumerate(texts):
-                found.append(ids_of(text.as_py()) + last)
+                found.append(ids_of(text) + last)
                 size += len(found[-1])
                 if size >= 4 * BATCH or at == len(texts) - 1:
                     yield made(keys.slice(first, len(found)), found)
