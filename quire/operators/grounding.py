@@ -2,81 +2,121 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import folded
 
-#: Words of a statement by which its sources are found, at the most.
-ANCHOR = 3
-#: Statements that are held as literals at once; beyond LITERAL they meet their sources by a shuffle of anchors.
-BLOCK, LITERAL = 500, 10_000
+#: Characters of distinct statements that one automaton holds, at the most (some 50 bytes each in every Python worker); more statements meet the texts by rolling hashes.
+AUTOMATON = 2_000_000
+#: Bits of the filter that hashes of texts pass before they are shuffled, as a power of two: its size does not grow with the statements. Parts of one hash's join.
+FILTER_BITS, PARTS = 26, 16
+#: The rolling hash's base, odd and so with an inverse modulo 2^64, and the longest window, a power of two.
+BASE, LONGEST = 0x9E3779B97F4A7C15, 1024
 
 
-def anchor_of(words: list[str]) -> str:
-    """The longest run of up to ANCHOR words that are whole wherever the statement stands: all but the first and the last may be parts of longer words."""
-    inner = words[1:-1]
-    size = min(ANCHOR, len(inner))
-    return max((" ".join(inner[i : i + size]) for i in range(len(inner) - size + 1)), key=lambda x: (len(x), x))
+def supported(statements: DataFrame, sources: DataFrame, statement: str, text: str, key: str, source: str, automaton: int = AUTOMATON) -> DataFrame:
+    """(key, source), each pair once, of statements that stand, as normalised (compatible forms, case folded, single spaces between letters and digits), in a source. Empty and null statements stand nowhere; null texts hold none.
 
-
-def runs(text: Column, size: int) -> Column:
-    """All runs of `size` words of a normalised text."""
-    words = F.split(text, " ")
-    at = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
-
-
-def held_runs(text: Column, size: int, wanted: list[str]) -> Column:
-    return F.filter(runs(text, size), lambda run: run.isin(wanted))
-
-
-def supported(statements: DataFrame, sources: DataFrame, statement: str, text: str, key: str, source: str) -> DataFrame:
-    """(key, source) of statements that stand, as normalised (compatible forms, case folded, single spaces between letters and digits), in a source. Empty statements stand nowhere.
-
-    Statements are asked: up to LITERAL distinct ones are looked up by literals in one pass over the sources, without a shuffle of texts, a run of whole words by which a source must hold them first; those of one or two words are tested in blocks. More statements meet the sources' runs by equality. Either way each pair found is verified.
+    Every text is read once, in time linear in its length, whatever the number of statements. As long as the distinct statements have at most `automaton` characters, one Aho-Corasick automaton of them all runs over the texts, and no text is shuffled. More statements are looked for by the hash of one window each; what a hash finds is verified.
     """
     asked = statements.select(key, folded(F.col(statement)).alias("_s")).filter("_s <> ''")
-    said = sources.select(source, folded(F.col(text)).alias("_t"))
-    distinct = [r["_s"] for r in asked.select("_s").distinct().limit(LITERAL + 1).collect()]
-    if len(distinct) > LITERAL:
-        return by_shuffle(asked, said, key, source)
-    anchors: dict[str, list[str]] = {}
-    for s in distinct:
-        words = s.split(" ")
-        anchors.setdefault(anchor_of(words) if len(words) > 2 else "", []).append(s)
-    short, sizes = anchors.pop("", []), sorted({a.count(" ") + 1 for a in anchors})
-    parts = []
-    if anchors:
-        known = sources.sparkSession.createDataFrame([(a, s) for a, ss in anchors.items() for s in ss], "_a string, _s string")
-        asked_runs = {n: [a for a in anchors if a.count(" ") + 1 == n] for n in sizes}
-        hits = F.array_distinct(F.concat(*[held_runs(F.col("_t"), n, wanted) for n, wanted in asked_runs.items()]))
-        held = said.withColumn("_a", F.explode(hits)).join(F.broadcast(known), "_a").filter(F.contains("_t", "_s"))
-        parts.append(held.select(source, "_s"))
-    for at in range(0, len(short), BLOCK):
-        block = F.array(*map(F.lit, short[at : at + BLOCK]))
-        parts.append(said.select(source, F.explode(F.filter(block, lambda s: F.contains(F.col("_t"), s))).alias("_s")))
-    if not parts:
-        return asked.select(key).limit(0).join(said.select(source).limit(0), F.lit(False), "left").select(key, source)
-    return reduce(DataFrame.unionByName, parts).join(asked, "_s").select(key, source).distinct()
-
-
-def by_shuffle(asked: DataFrame, said: DataFrame, key: str, source: str) -> DataFrame:
-    """The same for any number of statements: sources' runs of words meet the statements' anchors, texts follow the pairs found. Statements of one or two words become anchors of parts of words, all substrings of a source's words of their length."""
-    w = F.split("_s", " ")
-    inner = F.slice(w, 2, F.least(F.lit(ANCHOR), F.size(w) - 2))
-    long = asked.filter(F.size(w) > 2).withColumn("_a", F.array_join(inner, " "))
-    grams = F.array_distinct(F.concat(*[runs(F.col("_t"), n) for n in range(1, ANCHOR + 1)]))
-    near = said.select(source, F.explode(grams).alias("_a")).join(long.select("_a").distinct(), "_a", "left_semi").join(long, "_a").select(source, key, "_s")
-    found = near.join(said, source).filter(F.contains("_t", "_s")).select(key, source)
-    brief = asked.filter(F.size(w) <= 2)
-    lengths = [r[0] for r in brief.select(F.length("_s")).distinct().collect()]
-    for n in lengths:
-        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("_t"), i, F.lit(n))))
-        found = found.unionByName(said.select(source, F.explode(pieces).alias("_s")).join(brief.filter(F.length("_s") == n), "_s").select(key, source))
-    return found.distinct()
+    said = sources.select(source, folded(F.col(text)).alias("_t")).filter("_t <> ''")
+    distinct = asked.select("_s").distinct()
+    if (distinct.agg(F.sum(F.length("_s"))).first()[0] or 0) > automaton:
+        return by_hashes(asked, said, key, source)
+    return by_automaton(asked, said, [r["_s"] for r in distinct.collect()], source).join(asked, "_s").select(key, source).distinct()
+
+
+@lru_cache(2)
+def automaton_of(statements: tuple[str, ...]) -> ahocorasick.Automaton:
+    made = ahocorasick.Automaton()
+    for s in statements:
+        made.add_word(s, s)
+    made.make_automaton()
+    return made
+
+
+def by_automaton(asked: DataFrame, said: DataFrame, distinct: list[str], source: str) -> DataFrame:
+    """(source, _s) of the distinct statements that each text holds."""
+    shared = said.sparkSession.sparkContext.broadcast(tuple(sorted(distinct)))
+
+    @F.pandas_udf("array<string>")
+    def held(texts: pd.Series) -> pd.Series:
+        find = automaton_of(shared.value).iter if shared.value else lambda _: ()
+        return pd.Series([sorted({s for _, s in find(t)}) for t in texts], dtype=object)
+
+    return said.select(source, F.explode(held("_t")).alias("_s"))
+
+
+@lru_cache(4)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^0 ... BASE^(n - 1) and their inverses, modulo 2^64; n a power of two, so few tables are made."""
+    up, down = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, np.uint64(b))]) for b in (BASE, pow(BASE, -1, 1 << 64)))
+    return up, down
+
+
+def window_hashes(text: str, widths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each width the hashes of all windows of that width: differences of one running sum, so a text costs its length for each width."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    up, down = powers(1 << max(10, len(codes).bit_length()))
+    sums = np.r_[np.uint64(0), np.cumsum(codes * up[: len(codes)], dtype=np.uint64)]
+    for w in widths:
+        if w <= len(codes):
+            h = (sums[w:] - sums[:-w]) * down[: len(codes) - w + 1]
+            h ^= h >> np.uint64(29)  # the low bits of such sums are weak
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+            yield w, h.view(np.int64)
+
+
+def width_of(text: str) -> int:
+    """The longest power of two that is no longer than the text: a window of at least half of it."""
+    return min(LONGEST, 1 << (len(text).bit_length() - 1))
+
+
+def by_hashes(asked: DataFrame, said: DataFrame, key: str, source: str) -> DataFrame:
+    """The same for any number of statements. A statement is sought by the hash of its first window; a filter of fixed size, built from all hashes, keeps what no statement has from the shuffle. Pairs found by equal hashes meet their text again and are verified."""
+
+    @F.pandas_udf("w int, h long")
+    def first_window(texts: pd.Series) -> pd.DataFrame:
+        found = [(w, int(next(window_hashes(t[:w], [w]))[1][0])) for t in texts for w in [width_of(t)]]
+        return pd.DataFrame(found, columns=["w", "h"])
+
+    asked = asked.withColumn("_a", first_window("_s")).select(key, "_s", F.col("_a.w").alias("_w"), F.col("_a.h").alias("_h"))
+    bit = lambda h: F.pmod(h, F.lit(1 << FILTER_BITS))
+    words = asked.select("_w", bit(F.col("_h")).alias("b")).groupBy("_w", F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("bits"))
+    filters: dict[int, np.ndarray] = {}
+    for r in words.collect():  # at most 2^(FILTER_BITS - 6) numbers for each of eleven widths
+        filters.setdefault(r["_w"], np.zeros(1 << (FILTER_BITS - 6), np.int64))[r["at"]] = r["bits"]
+    shared = said.sparkSession.sparkContext.broadcast(filters)
+
+    @F.pandas_udf("w array<int>, h array<long>")
+    def hits_of(texts: pd.Series) -> pd.DataFrame:
+        own, rows = shared.value, []
+        for t in texts:
+            found = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+            for w, h in window_hashes(t, sorted(own)):
+                b = h & np.int64((1 << FILTER_BITS) - 1)
+                h = np.unique(h[(own[w][b >> 6] >> (b & 63)) & 1 == 1])
+                found.append((np.full(len(h), w, np.int32), h))
+            rows.append([np.concatenate(x) for x in zip(*found, strict=True)])
+        return pd.DataFrame(rows, columns=["w", "h"])
+
+    named = said.withColumn("_k", F.xxhash64("_t"))
+    hits = named.select(source, "_k", hits_of("_t").alias("_f")).select(source, "_k", F.explode(F.arrays_zip("_f.w", "_f.h")).alias("_f"))
+    hits = hits.select(source, "_k", F.col("_f.w").alias("_w"), F.col("_f.h").alias("_h")).distinct()
+    # an anchor may stand in very many texts: its hits are dealt to PARTS, as are copies of the statements
+    hits = hits.withColumn("_part", F.pmod("_k", F.lit(PARTS)))
+    pairs = hits.join(asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>"))), ["_w", "_h", "_part"]).select(source, "_k", key, "_s")
+    met = pairs.withColumnRenamed(source, "_d").join(named, (F.col("_d").eqNullSafe(F.col(source))) & (pairs["_k"] == named["_k"]) & F.contains("_t", "_s"))
+    return met.select(key, source).distinct()
 
 
 def valid_citations(cited: Column, known: Column) -> Column:
