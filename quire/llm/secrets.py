@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpoint, stored, whole
+from quire.llm.common import checkpoint, joined_by_hot_key, stored, whole
 
 #: The base patterns and the shortest secret of each; the order of the kinds breaks ties of place.
 KINDS = ("assign", "access", "hex", "token")
@@ -110,14 +110,14 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, owner: Column, reposito
 
 
 def ownership(rows: DataFrame) -> DataFrame:
-    """(value, owners, repositories): each task reduces its candidates to distinct owners before they are shuffled, so a value that stands in a third of all rows is a row an owner. A null owner or repository counts as one of its own."""
-    each = rows.select("owner", "repository", F.explode("found.value").alias("value")).distinct()
-    return each.groupBy("value").agg(F.countDistinct(F.struct("owner")).alias("owners"), F.count("*").alias("repositories"))
+    """(value, owners, repositories, spans): each task reduces its candidates to distinct owners before they are shuffled, so a value that stands in a third of all rows is a row an owner. A null owner or repository counts as one of its own."""
+    each = rows.select("owner", "repository", F.explode("found.value").alias("value")).groupBy("owner", "repository", "value").agg(F.count("*").alias("n"))
+    return each.groupBy("value").agg(F.countDistinct(F.struct("owner")).alias("owners"), F.count("*").alias("repositories"), F.sum("n").alias("spans"))
 
 
 def judged(rows: DataFrame, few: int) -> DataFrame:
     """(row, spans, n_live, n_example) of the rows with candidates. Live-looking: held by at most `few` owners and at most `few` repositories, whatever a base value looks like; an added span, random by the scan, must also be its owner's alone."""
-    marked = rows.select("row", F.explode("found").alias("f")).select("row", "f.*").join(ownership(rows), "value")
+    marked = joined_by_hot_key(rows.select("row", F.explode("found").alias("f")).select("row", "f.*"), checkpoint(ownership(rows)), "value", "spans")
     live = (F.col("owners") <= few) & (F.col("repositories") <= few)
     stays = (F.col("kind") < 3) | (live & (F.col("owners") <= 1))
     span = F.struct("start", "kind", "stop", live.alias("live"))

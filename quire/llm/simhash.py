@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quire.llm.common import checkpoint, partitions, whole
+from quire.llm.common import checkpoint, joined_by_hot_key, partitions, whole
 from quire.llm.components import connected_components, spanning_links
 
 #: (first bit, bits) of the segments.
@@ -152,12 +152,14 @@ def fingerprint_links(fingerprints: DataFrame, most: int = 4) -> DataFrame:
 def simhash_groups(docs: DataFrame, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links at `most` or fewer differing bits, itself included.
 
-    Null texts count as empty; a text without words has fingerprint zero and links like any other. Repeated ids and rows share fingerprints and stay as rows. A null id is never smallest unless all ids of its component are null. Other columns are ignored; an empty table gives an empty result.
+    Null texts count as empty; a text without words has fingerprint zero and links like any other. Equal rows share a fingerprint and stay as rows; rows that share an id and differ in their texts are fingerprinted and linked each by its own. A null id is never smallest unless all ids of its component are null. Other columns are ignored; an empty table gives an empty result.
     """
     prints = checkpoint(docs.select(F.col(id_col).alias("_id"), simhash(whole(text_col)).alias("fp")))
-    nodes = checkpoint(prints.groupBy("fp").agg(F.min("_id").alias("rep")))
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min("_id").alias("rep"), F.count("*").alias("_n")))
     links = fingerprint_links(nodes.select("fp"), most)
-    ends = links.join(nodes.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
-    moved = connected_components(ends)
-    named = nodes.join(moved.select(F.col("id").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select(F.col("_id").alias(id_col), hex_digits("fp").alias("fingerprint"), "component_id")
+    # fingerprints are what is linked: rows that share an id may have unlike ones
+    moved = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "fp")
+    placed = checkpoint(nodes.join(moved, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    names = checkpoint(placed.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("_members")))
+    named = checkpoint(joined_by_hot_key(placed, names, "component", "_members").select("fp", "component_id", "_n"))
+    return joined_by_hot_key(prints, named, "fp", "_n").select(F.col("_id").alias(id_col), hex_digits("fp").alias("fingerprint"), "component_id")

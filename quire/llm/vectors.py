@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpoint
+from quire.llm.common import checkpoint, joined_by_hot_key
 from quire.llm.components import connected_components, spanning_links
 
 #: Vectors that the codebooks are fitted on, at the most; codes a half, at the least; vectors of a cell, about; sampled vectors of a code, at the least.
@@ -99,18 +99,19 @@ def shaped(data: np.ndarray, size: int) -> np.ndarray:
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of vectors: id, n_links (other rows linked directly), component_id (smallest id reachable) and kept.
 
-    Only rows of equal, non-null labels and equal lengths link. Null, empty and zero vectors, and those with null or non-finite components, link with nothing. Equal vectors are compared once and counted as often as they stand; every repeated row is a vector of its own. Other columns are ignored; an empty table gives an empty result. All rows are indexed; visits are set for a recall of RECALL.
+    Only rows of equal, non-null labels and equal lengths link. Null, empty and zero vectors, and those with null or non-finite components, link with nothing. Equal vectors of a label are compared once and counted as often as they stand; every row is a vector of its own, whatever its id: rows that share an id and differ in their vectors have links of their own, and rows without id link like others, but name no component unless all of it have none. Other columns are ignored; an empty table gives an empty result. All rows are indexed; visits are set for a recall of RECALL.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull(), F.lit(False))
     good = rows.filter(fine)
-    kinds = checkpoint(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("rep IS NOT NULL"))
+    # a kind, the rows of one label and vector, has a number of its own: ids may be repeated or null
+    kinds = checkpoint(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("kind", F.monotonically_increasing_id()))
     n = kinds.count()
-    zero = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    alone = lambda some: some.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     if not n:
-        return zero
-    u = F.xxhash64("rep").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+        return alone(rows)
+    u = F.xxhash64("label", "v").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     sampled = kinds.filter(u < min(1.0, SAMPLE / n)).select("v", F.size("v").alias("size")).toPandas()
     if not len(sampled):
         sampled = kinds.select("v", F.size("v").alias("size")).limit(1).toPandas()
@@ -127,24 +128,23 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
                 yield part.assign(cells=list(cells))
 
     label = vectors.schema[label_col].dataType.simpleString()
-    key = vectors.schema[id_col].dataType.simpleString()
     vector = vectors.schema[vector_col].dataType.simpleString()
-    placed = checkpoint(kinds.mapInPandas(visit, f"label {label}, v {vector}, rep {key}, copies long, cells array<int>"))
+    placed = checkpoint(kinds.drop("rep").mapInPandas(visit, f"label {label}, v {vector}, copies long, kind long, cells array<int>"))
     group = placed.withColumn("size", F.size("v")).withColumn("home", F.element_at("cells", 1))
     code = lambda c: F.floor(c / width).cast("int")
     codes = F.array_distinct(F.transform("cells", code))
     guests = group.withColumn("code", F.explode(codes)).withColumn("lives", code(F.col("home")) == F.col("code"))
     sizes = guests.groupBy("label", "size", "code").agg(F.ceil(F.count_if("lives") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     # members in blocks, visitors in parts, every block against every part in a task of its own
-    block, part_of = (F.pmod(F.xxhash64("rep", F.lit(name)), F.col(name)).cast("int") for name in ("blocks", "parts"))
+    block, part_of = (F.pmod(F.xxhash64("kind", F.lit(name)), F.col(name)).cast("int") for name in ("blocks", "parts"))
     role = lambda b, p, member: F.struct(b.alias("block"), p.alias("part"), F.lit(member).alias("member"))
     visits = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: role(b, part_of, False))
     lives = F.when(F.col("lives"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: role(block, p, True))).otherwise(F.array().cast("array<struct<block: int, part: int, member: boolean>>"))
     guests = guests.join(sizes.filter("blocks > 0"), ["label", "size", "code"]).withColumn("role", F.explode(F.concat(visits, lives)))
-    guests = guests.select("label", "size", "code", "role.*", "v", "rep", "copies", "cells", "home")
+    guests = guests.select("label", "size", "code", "role.*", "v", "kind", "copies", "cells", "home")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        data, ids = unit(part["v"]), part["rep"].to_numpy()
+        data, ids = unit(part["v"]), part["kind"].to_numpy()
         cells = np.array(part["cells"].tolist(), dtype=np.int32)
         home, copies = part["home"].to_numpy(), part["copies"].to_numpy(np.int64)
         links = np.zeros(len(part), dtype=np.int64)
@@ -176,12 +176,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         b = np.concatenate([ids[counted], *(t[1] for t in tied)])
         return pd.DataFrame({"a": a, "b": b, "n": np.r_[links[counted], np.zeros(len(a) - len(counted), np.int64)]})
 
-    found = checkpoint(guests.groupBy("label", "size", "code", "block", "part").applyInPandas(compare, f"a {key}, b {key}, n long"))
-    counts = found.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    moved = connected_components(found.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "rep")
-    joined = kinds.join(counts, "rep", "left").join(moved, "rep", "left")
-    known = joined.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = good.join(known, ["label", "v"]).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-    rest = rows.filter(~fine).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    lost = good.filter("id IS NULL").join(kinds.select("label", "v"), ["label", "v"], "left_anti").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    return linked.unionByName(rest).unionByName(lost)
+    found = checkpoint(guests.groupBy("label", "size", "code", "block", "part").applyInPandas(compare, "a long, b long, n long"))
+    counts = found.filter("a = b").groupBy(F.col("a").alias("kind")).agg(F.sum("n").alias("n"))
+    moved = connected_components(found.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "kind")
+    joined = checkpoint(kinds.join(counts, "kind", "left").join(moved, "kind", "left").withColumn("component", F.coalesce("component", "kind")))
+    names = checkpoint(joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("_n")))
+    known = joined_by_hot_key(joined, names, "component", "_n")
+    known = checkpoint(known.select(F.struct("label", "v").alias("_kind"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", "copies"))
+    linked = joined_by_hot_key(good.withColumn("_kind", F.struct("label", "v")), known, "_kind", "copies")
+    return linked.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")).unionByName(alone(rows.filter(~fine)))

@@ -80,3 +80,12 @@ def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (None, "other words stand here now"), (None, "other words stand here now"), (9, None)], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.component_id or 0) for r in S.simhash_groups(df).collect()))
     assert got == [(0, 0), (0, 0), (0, 4), (4, 4), (9, 9)]
+
+
+def test_repeated_ids_of_unlike_texts(spark):
+    one, other = ("alpha beta gamma delta " + "x1 x2 x3 " * 20), ("some wholly different words stand here " * 9)
+    rows = [(1, one), (1, other), (2, one), (3, other), (4, "nothing like these at all " * 7)]
+    got = {(r.doc_id, r.component_id) for r in S.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    rows = [(5, one), (5, other), (6, other)]
+    assert sorted((r.doc_id, r.component_id) for r in S.simhash_groups(spark.createDataFrame(rows[1:] + [(7, one), (5, one)], "doc_id long, text string")).collect()) == [(5, 5), (5, 5), (6, 5), (7, 5)]

@@ -50,7 +50,7 @@ def test_against_brute_force(spark, monkeypatch):
         want = brute(rows)
         assert sorted(got) == sorted(want)
         assert all(got[i][0] <= want[i][0] for i in want)
-        assert sum(g[0] for g in got.values()) >= 0.98 * sum(w[0] for w in want.values())
+        assert sum(g[0] for g in got.values()) >= 0.995 * sum(w[0] for w in want.values())
         assert sum(got[i][1] == want[i][1] for i in want) >= 0.99 * len(want)
 
 
@@ -77,6 +77,19 @@ def test_null_and_repeated_ids(spark):
     assert [g for g in got if g[0] == 1] == [(1, 3, 1, True)] * 2 and (2, 3, 1, False) in got and (3, 0, 3, True) in got
 
 
+def test_repeated_ids_of_different_vectors(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = lambda v, i: [x + 0.05 * (j == i) for j, x in enumerate(v)]
+    rows = [(1, a, 1), (1, b, 1), (2, near(a, 1), 1), (3, near(b, 2), 1), (4, near(b, 0), 1), (5, [0.0, 0.0, 1.0], 1), (5, [0.05, 0.0, 1.0], 1), (6, a, 2), (6, a, 3)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 1, 5, True), (5, 1, 5, True), (6, 0, 6, True), (6, 0, 6, True)]
+
+
+def test_many_rows_of_one_vector(spark):
+    df = spark.range(9000).selectExpr("id AS vec_id", "CASE WHEN id % 3 > 0 THEN array(1.0, 2.0) ELSE array(cos(id), sin(id)) END AS embedding", "1 AS label")
+    assert V.near_vectors(df).filter("vec_id % 3 > 0").selectExpr("min(n_links) AS a", "max(n_links) AS b", "count(*) AS n").first()["n"] == 6000
+
+
 def test_visits_grow_until_the_recall_holds():
     rng = np.random.default_rng(3)
     flat = rng.normal(size=(4000, 48))
