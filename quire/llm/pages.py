@@ -222,6 +222,18 @@ def bucket(share: float, bounds: tuple[float, ...]) -> int:
     return sum(share >= b for b in bounds)
 
 
+def class_words(attrs: str) -> dict[str, None]:
+    """Words of classes and ids, each once, in order."""
+    return dict.fromkeys(w for m in NAMED.finditer(attrs) for w in CLASS_WORD.findall(CAMEL.sub(" ", m[1]).lower())) if attrs else {}
+
+
+@functools.cache
+def beside_words() -> frozenset[str]:
+    """Class words by which the templates tell what goes with an article, and never the article."""
+    words = lambda specs: {w for x in specs for n in x.split(" ")[1:] for w in class_words(f' class="{n[1:] if n[0] in ".#" else n}"')}
+    return frozenset(words(ABOVE + BESIDE + BELOW) - words(HOLDS))
+
+
 def evidence(tree: Tree) -> list[list[tuple]]:
     """What each node shows."""
     n = len(tree.tag)
@@ -230,24 +242,29 @@ def evidence(tree: Tree) -> list[list[tuple]]:
         size[tree.parent[i]] += size[i]
         linked[tree.parent[i]] += linked[i]
     total = max(1, size[0])
-    within = [False] * n
+    within, aside = [False] * n, [False] * n  # of elements that are named as the article, or as what goes with it
+    for i in range(1, n):
+        within[i] = within[tree.parent[i]] or tree.tag[i] in ("article", "main")
+        aside[i] = aside[tree.parent[i]] or tree.tag[i] in ("nav", "footer", "aside", "form") or not beside_words().isdisjoint(class_words(tree.attrs[i]))
+    rest = max(1, sum(len(t) for t, a in zip(tree.text, aside, strict=True) if not a))
+    mixed = {p for p, tag in zip(tree.parent, tree.tag, strict=True) if tag != "#text"}
     out: list[list[tuple]] = [[]]
     met = 0
     for i in range(1, n):
         up = tree.parent[i]
         tag = tree.tag[i]
-        within[i] = within[up] or tag in ("article", "main")
         links = bucket(linked[i] / size[i], (0.01, 0.3, 0.7)) if size[i] else 4
         if tag == "#text":
             text = tree.text[i]
             out.append([("words", min(6, text.count(" ").bit_length())), ("of", tree.tag[up], links), ("stop", text[-1] in ".!?…\"'»”。"), ("mark", "©" in text), ("place", bucket(met / total, (0.05, 0.5, 0.9)))])
+            if not aside[i]:
+                out[-1].append(("share", bucket(size[i] / rest, (0.1, 0.4, 0.8))))
+            if tree.tag[up] == "tr" and up in mixed:  # a cell beside cells that hold blocks: a table for layout
+                out[-1].append(("cell", links))
             met += size[i]
             continue
         own = [("tag", tag, within[up]), ("part", kind_of(tag), bucket(size[i] / total, (0.01, 0.05, 0.2, 0.5))), ("full", kind_of(tag), links)]
-        if tree.attrs[i]:
-            words = dict.fromkeys(w for m in NAMED.finditer(tree.attrs[i]) for w in CLASS_WORD.findall(CAMEL.sub(" ", m[1]).lower()))
-            own += [("class", w) for w in words]
-        out.append(own)
+        out.append(own + [("class", w) for w in class_words(tree.attrs[i])])
     return out
 
 
@@ -316,7 +333,7 @@ def train(pages: list[tuple[Tree, list[int]]]) -> Model:
     odds: dict[tuple, float] = {}
     for f, (no, yes) in own.items():
         kind = f[-1]
-        weight = 1.0 if f[0] in ("class", "tag") else 0.4  # the others lean on each other
+        weight = 1.0 if f[0] in ("class", "tag", "share", "cell") or f[0] == "of" and f[2] == 3 else 0.4  # the others lean on each other
         odds[f[:-1]] = weight * math.log((yes + 0.5) / (totals[kind][1] + 1) * (totals[kind][0] + 1) / (no + 0.5))
     return Model(odds, {k: tuple(tuple(x / sum(row) for x in row) for row in t) for k, t in child.items()})
 
@@ -385,12 +402,19 @@ def page(rng: random.Random) -> str:
                 out.append("<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>")
             elif kind < 0.94:
                 out.append(f"<p>{prose(1, 3)} <a href='#'>{words(1, 3)}</a> {sentence()}</p>")
-            elif kind < 0.97:
+            elif kind < 0.96:
                 out.append(f"<p>{word()}.</p>")
+            elif kind < 0.98:
+                out.append(f"<details><summary>{words(1, 6)}</summary>{rng.choice([f'<p>{prose(1, 3)}</p>', prose(1, 2)])}</details>")
             else:
                 out.append(f"<div>{prose(1, 3)}</div>")
         return "".join(out)
 
+    bare = rng.random()
+    if bare < 0.15:  # little or nothing but the article
+        inner = rng.choice([prose(1, 2), words(1, 12), "<br>".join(words(1, 8) for _ in range(4)), f"<p>{word()}.</p>", f"<p>{words(1, 5)}</p>", f"<p>{prose(1, 2)}</p>", f"<h1>{words(1, 6)}</h1><p>{prose()}</p>", f"<h1>{words(1, 6)}</h1>"])
+        held = element(rng.choice([*HOLDS, "body", "div", "body"]), inner, 1)
+        return held + (clutter(rng.choice(["footer", "div .footer", "nav .menu"])) if rng.random() < 0.4 else "")
     title = f"<h1>{words(2, 9)}</h1>"
     head = rng.choice([title, title, f"<header>{title}</header>", f"<div class='title'>{title}</div>", ""])
     body = paragraphs()
@@ -405,7 +429,10 @@ def page(rng: random.Random) -> str:
     if rng.random() < 0.25:
         rng.shuffle(middle)
     held = "".join(middle)
-    if rng.random() < 0.4:
+    if rng.random() < 0.12:  # laid out by a table
+        cells = [f"<td>{links()}</td>", f"<td>{rng.choice([held, element('div', inner, 1)])}</td>"]
+        held = element("table", "<tr>" + "".join(cells[:: rng.choice([1, 1, -1])]) + "</tr>", 0)
+    elif rng.random() < 0.4:
         held = element(rng.choice(["div .container", "div .wrapper", "div #page", "div .row", "div", "main"]), held, None)
     parts += [held, *(clutter(x) for x in rng.sample(BELOW, rng.randint(1, 3)))]
     if rng.random() < 0.1:
@@ -442,7 +469,7 @@ def main_text(model: Model, source: str) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: id, url, text and n_chars; the blocks of content in page order, joined by an empty line.
 
-    Null and empty pages, and pages without content, give an empty text. Broken, unclosed and cut-off markup is read as far as it goes; pages of any length are read whole. A block as likely content as not is left out. Repeated rows stay; other columns are ignored; an empty table gives an empty result. The model, some hundred numbers, is trained on PAGES labelled pages and broadcast.
+    Null and empty pages, and pages whose text is all of what goes with an article, give an empty text; where nothing competes, a short block or bare text is the article. Broken, unclosed and cut-off markup is read as far as it goes; pages of any length are read whole. A block as likely content as not is left out. Repeated rows stay; other columns are ignored; an empty table gives an empty result. The model, some hundred numbers, is trained on PAGES labelled pages and broadcast.
     """
     model = trained()
     shared, key = pages.sparkSession.sparkContext.broadcast(model), digest(model)

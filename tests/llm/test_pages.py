@@ -52,6 +52,22 @@ def test_cases(spark):
     assert P.extract(df.limit(0)).count() == 0
 
 
+def test_short_plain_and_table_pages(spark):
+    cases = {
+        1: ("<article><p>Yes.</p></article><footer>Copyright 2020 Example Inc. All rights reserved.</footer>", "Yes."),
+        2: ("Just text, no markup at all, that goes on for a little while.", "Just text, no markup at all, that goes on for a little while."),
+        3: ("<nav><a href=1>Home</a></nav><article><h1>Title of it</h1><p>First paragraph, long enough.</p><details><summary>More on this</summary><p>Folded, but still a part of the article.</p></details><p>The end of it.</p></article>", "Title of it\n\nFirst paragraph, long enough.\n\nMore on this\n\nFolded, but still a part of the article.\n\nThe end of it."),
+        4: ("<table><tr><td><a href=1>Home</a> <a href=2>News</a></td><td><h1>The title</h1><p>The article stands in the second cell, and it is long enough.</p><p>There is another paragraph.</p></td></tr></table>", "The title\n\nThe article stands in the second cell, and it is long enough.\n\nThere is another paragraph."),
+        5: ("<body>Plain<br>lines<br>of a poem</body>", "Plain lines of a poem"),
+        6: ("<h1>Only a title</h1>", "Only a title"),
+        7: ("<nav><a href=1>Home</a><a href=2>News</a></nav>", ""),
+        8: ("<article><table><tr><td>One</td><td>1</td></tr><tr><td>Two</td><td>2</td></tr></table></article>", "One 1\n\nTwo 2"),
+    }
+    df = spark.createDataFrame([(k, "u", v[0]) for k, v in cases.items()] * 2, "page_id long, url string, html string")
+    got = P.extract(df).collect()
+    assert len(got) == 2 * len(cases) and {r.page_id: r.text for r in got} == {k: v[1] for k, v in cases.items()}
+
+
 def test_deep_tree():
     model = P.train(P.labelled_pages(50))
     P.main_text(model, "<div>" * 30000 + "<p>Deep down.")
