@@ -215,15 +215,6 @@ def restricted_text(t: Tables) -> DataFrame:
     return t.documents.join(wide, "source", "left_semi").select("doc_id", shown.alias("text"))
 
 
-@query("WITH d AS (SELECT user_id AS event, min(event_id) % 200 AS low FROM events GROUP BY 1) SELECT event, doc_id FROM d JOIN documents ON doc_id // 100 = low // 50 AND doc_id % 100 BETWEEN low % 50 AND low % 50 + 3")
-def event_ranges(t: Tables) -> DataFrame:
-    """Events and the passages they tell of: equal chapters, then verses in a range."""
-    events = t.events.groupBy(F.col("user_id").alias("event")).agg((F.min("event_id") % 200).alias("low"))
-    wanted = events.select("event", F.floor(F.col("low") / 50).alias("chapter"), (F.col("low") % 50).alias("first"), (F.col("low") % 50 + 3).alias("last"))
-    placed = t.documents.select("doc_id", F.floor(F.col("doc_id") / 100).alias("chapter"), (F.col("doc_id") % 100).alias("verse"))
-    return wanted.join(placed, "chapter").filter("verse BETWEEN first AND last").select("event", "doc_id")
-
-
 @query("WITH e AS (SELECT DISTINCT l_partkey % 500 AS a, l_suppkey AS b FROM lineitem WHERE l_quantity > 40) SELECT d.doc_id, r.doc_id AS related FROM documents d JOIN e ON d.doc_id IN (e.a, e.b) AND e.a <> e.b JOIN documents r ON r.doc_id = CASE WHEN e.a = d.doc_id THEN e.b ELSE e.a END WHERE d.source = 'src1'")
 def related_passages(t: Tables) -> DataFrame:
     """Both ends of cross-references in one join: the passages at the other end."""

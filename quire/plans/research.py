@@ -95,13 +95,6 @@ def demo_embedding(t: Tables) -> DataFrame:
     return t.nation.select(F.col("n_nationkey").alias("vec_id"), F.round(F.aggregate(E.demo_vector(F.col("n_name")), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query("SELECT source, digest, min(doc_id) AS first, count(*) AS copies FROM (SELECT source, doc_id, md5(substring(text, 1, 40)) AS digest FROM documents) GROUP BY source, digest")
-def chunk_keys(t: Tables) -> DataFrame:
-    """Chunks of one division with one digest are one."""
-    keyed = t.documents.select("source", "doc_id", F.md5(F.substring("text", 1, 40)).alias("digest"))
-    return keyed.groupBy("source", "digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-
-
 _types = [("LOCATION", "n_name", 2, 5, 0.9), ("PERSON", "s_name", 3, 6, 0.8), ("HISTORICAL", "p_name", 1, 4, 0.7)]
 
 
