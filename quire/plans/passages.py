@@ -66,11 +66,11 @@ def ordered_lookup(t: Tables) -> DataFrame:
     return asked.join(t.documents.select("doc_id", "source"), "doc_id").select("conv_id", F.col("position").cast("long").alias("position"), "doc_id", "source")
 
 
-@query("WITH a AS (SELECT conv_id % 40 AS thread, conv_id * 100 + turn AS place, role || ' ' || CASE WHEN turn % 2 = 0 THEN upper(substring(text, 1, 90)) ELSE '  ' || substring(text, 1, 90) END AS said FROM conversations WHERE turn < 3 UNION ALL SELECT conv_id % 40, conv_id * 100 + turn + 50, upper(role || ' ' || substring(text, 1, 90)) FROM conversations WHERE turn < 3), f AS (SELECT thread, replace(lower(trim(said)), 'ß', 'ss') AS k, min(place) AS place FROM a WHERE length(trim(said)) BETWEEN 1 AND 300 GROUP BY ALL) SELECT thread, place, length(k) AS size FROM (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY place) AS n FROM f) WHERE n <= 5")
+@query("WITH a AS (SELECT conv_id % 40 AS thread, conv_id * 100 + turn AS place, role || ' ' || CASE WHEN turn % 2 = 0 THEN upper(text) ELSE '  ' || text END AS said FROM conversations UNION ALL SELECT conv_id % 40, conv_id * 100 + turn + 50, upper(role || ' ' || text) FROM conversations), f AS (SELECT thread, replace(lower(trim(said)), 'ß', 'ss') AS k, min(place) AS place FROM a WHERE length(trim(said)) BETWEEN 1 AND 300 GROUP BY ALL) SELECT thread, place, length(k) AS size FROM (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY place) AS n FROM f) WHERE n <= 5")
 def related_once(t: Tables) -> DataFrame:
     """The first five of each thread that differ by more than case and outer white space, whole; empty ones and those beyond 300 characters are left out."""
-    place, start = F.col("conv_id") * 100 + F.col("turn"), F.substring("text", 1, 90)
-    rows = t.conversations.filter("turn < 3").withColumn("thread", F.col("conv_id") % 40)
+    place, start = F.col("conv_id") * 100 + F.col("turn"), F.col("text")
+    rows = t.conversations.withColumn("thread", F.col("conv_id") % 40)
     once = rows.select("thread", place.alias("place"), F.concat("role", F.lit(" "), F.when(F.col("turn") % 2 == 0, F.upper(start)).otherwise(F.concat(F.lit("  "), start))).alias("said"))
     again = rows.select("thread", (place + 50).alias("place"), F.upper(F.concat("role", F.lit(" "), start)).alias("said"))
     return R.first_distinct(once.unionByName(again), "thread", "place", "said", 5, 300).select("thread", "place", F.length("k").cast("long").alias("size"))

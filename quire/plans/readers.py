@@ -111,12 +111,12 @@ def category_filter(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", category.alias("category")).filter("category <> 'other'")
 
 
-@query("SELECT source, CASE WHEN CAST(substring(source, 4) AS INT) < 12 THEN 'old' ELSE 'new' END AS testament, bool_or(lang = 'de') AS de, bool_or(lang = 'en') AS en, bool_or(lang = 'de') AND NOT bool_or(lang = 'en') AS only_de FROM documents WHERE n_chars > 8000 GROUP BY source")
+@query("SELECT source, CASE WHEN CAST(substring(source, 4) AS INT) < 12 THEN 'old' ELSE 'new' END AS testament, bool_or(lang = 'de') AS de, bool_or(lang = 'en') AS en, bool_or(lang = 'de') AND NOT bool_or(lang = 'en') AS only_de FROM documents GROUP BY source")
 def canon_labels(t: Tables) -> DataFrame:
     """Labels of a book, and in which canons it stands."""
     has = lambda x: F.bool_or(F.col("lang") == x)
     age = F.when(F.substring("source", 4, 9).cast("int") < 12, "old").otherwise("new")
-    return t.documents.filter("n_chars > 8000").groupBy("source").agg(F.first(age).alias("testament"), has("de").alias("de"), has("en").alias("en"), (has("de") & ~has("en")).alias("only_de"))
+    return t.documents.groupBy("source").agg(F.first(age).alias("testament"), has("de").alias("de"), has("en").alias("en"), (has("de") & ~has("en")).alias("only_de"))
 
 
 @query("WITH r AS (SELECT s_suppkey, ' ' || upper(n_name) || '  x' AS a, n_name AS b, r_name AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT s_suppkey, contains(trim(regexp_replace(upper(a), '\\s+', ' ', 'g')), upper(b)) OR contains(upper(b), trim(regexp_replace(upper(a), '\\s+', ' ', 'g'))) AS same, contains(upper(b), upper(c)) OR contains(upper(c), upper(b)) AS wider FROM r")
@@ -149,9 +149,9 @@ def title_or_alias(t: Tables) -> DataFrame:
     return t.part.filter(S.named_like(F.col("p_name"), F.array("p_brand", "p_type"), "  RI ")).select("p_partkey")
 
 
-@query("SELECT source, list_contains(list_transform(list(DISTINCT upper(lang)), lambda x: lower(x)), 'es') AS tagged FROM documents WHERE n_chars > 9000 GROUP BY source")
+@query("SELECT source, list_contains(list_transform(list(DISTINCT upper(lang)), lambda x: lower(x)), 'es') AS tagged FROM documents GROUP BY source")
 def tag_membership(t: Tables) -> DataFrame:
-    tags = t.documents.filter("n_chars > 9000").groupBy("source").agg(F.collect_set(F.upper("lang")).alias("tags"))
+    tags = t.documents.groupBy("source").agg(F.collect_set(F.upper("lang")).alias("tags"))
     return tags.select("source", F.array_contains(F.transform("tags", F.lower), "es").alias("tagged"))
 
 
@@ -207,11 +207,11 @@ def active_publication(t: Tables) -> DataFrame:
     return t.orders.filter("o_orderstatus = 'F'").join(active, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber")
 
 
-@query("SELECT doc_id, CASE WHEN lang IN ('de', 'fr') THEN NULL ELSE substring(text, 1, 40) END AS text FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(DISTINCT lang) >= 3)")
+@query("SELECT doc_id, CASE WHEN lang IN ('de', 'fr') THEN NULL ELSE text END AS text FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(DISTINCT lang) >= 3)")
 def restricted_text(t: Tables) -> DataFrame:
     """Passages of an edition's books, those of restricted codes without their text."""
     wide = t.documents.groupBy("source").agg(F.countDistinct("lang").alias("n")).filter("n >= 3")
-    shown = F.when(~F.col("lang").isin("de", "fr"), F.substring("text", 1, 40))
+    shown = F.when(~F.col("lang").isin("de", "fr"), F.col("text"))
     return t.documents.join(wide, "source", "left_semi").select("doc_id", shown.alias("text"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import evidence as E
 from quire.operators import grounding as N
+from quire.operators import notices as W
 from quire.operators import retrieval as R
 from quire.plans.readers import aliases
 from quire.plans.registry import Tables, query
@@ -56,11 +57,11 @@ def empty_scope(t: Tables) -> DataFrame:
     return E.in_scope(passages(t), E.scope({}, ())).agg(F.count("*").alias("n")).select(F.lit("none").alias("scopes"), "n")
 
 
-@query("WITH i AS (SELECT user_id AS event, list('scripture:' || event_id // 3 ORDER BY ts, event_id)[1:40] AS ids FROM events WHERE user_id < 5 GROUP BY 1), u AS (SELECT event, CAST(substring(x, 11) AS BIGINT) AS id, p FROM (SELECT event, unnest(ids) AS x, generate_subscripts(ids, 1) AS p FROM i)), f AS (SELECT event, id, min(p) AS p FROM u GROUP BY ALL), o AS (SELECT event, id, row_number() OVER (PARTITION BY event ORDER BY p) AS n FROM f) SELECT event, id, 33 - n AS score FROM o JOIN documents ON doc_id = id WHERE n <= 32")
+@query("WITH i AS (SELECT user_id AS event, list('scripture:' || event_id // 3 ORDER BY ts, event_id)[1:40] AS ids FROM events GROUP BY 1), u AS (SELECT event, CAST(substring(x, 11) AS BIGINT) AS id, p FROM (SELECT event, unnest(ids) AS x, generate_subscripts(ids, 1) AS p FROM i)), f AS (SELECT event, id, min(p) AS p FROM u GROUP BY ALL), o AS (SELECT event, id, row_number() OVER (PARTITION BY event ORDER BY p) AS n FROM f) SELECT event, id, 33 - n AS score FROM o JOIN documents ON doc_id = id WHERE n <= 32")
 def event_evidence(t: Tables) -> DataFrame:
     """Passages that events name by typed ids, in their order, each once: the first scores 32, the next one less."""
     ids = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: F.concat(F.lit("scripture:"), F.floor(x["event_id"] / 3))), 1, 40)
-    events = t.events.filter("user_id < 5").groupBy(F.col("user_id").alias("event")).agg(ids.alias("ids"))
+    events = t.events.groupBy(F.col("user_id").alias("event")).agg(ids.alias("ids"))
     return E.named_evidence(events, "event", "ids", "scripture", t.documents.select(F.col("doc_id").alias("id")))
 
 
@@ -98,20 +99,20 @@ def demo_embedding(t: Tables) -> DataFrame:
 _types = [("LOCATION", "n_name", 2, 5, 0.9), ("PERSON", "s_name", 3, 6, 0.8), ("HISTORICAL", "p_name", 1, 4, 0.7)]
 
 
-@query("WITH w AS (SELECT DISTINCT source AS entity FROM documents WHERE n_chars > 9000), a AS (SELECT 'LOCATION' AS type, n_nationkey AS id, substring(n_name, 8) AS tail, 2 AS each, 5 AS most, 0.9 AS confidence FROM nation UNION ALL SELECT 'PERSON', s_suppkey, right(s_name, 1), 3, 6, 0.8 FROM supplier UNION ALL SELECT 'HISTORICAL', p_partkey, CAST(p_size AS VARCHAR), 1, 4, 0.7 FROM part), h AS (SELECT type, entity, id, each, most, confidence, row_number() OVER (PARTITION BY type, entity ORDER BY id) AS n FROM a JOIN w ON substring(entity, 4) = tail), d AS (SELECT type, id, most, confidence, row_number() OVER (PARTITION BY type ORDER BY id) AS p FROM (SELECT DISTINCT type, id, most, confidence FROM h WHERE n <= each)) SELECT type, id, CAST(confidence AS DOUBLE) AS confidence FROM d WHERE p <= most")
+@query("WITH w AS (SELECT DISTINCT source AS entity FROM documents), a AS (SELECT 'LOCATION' AS type, n_nationkey AS id, substring(n_name, 8) AS tail, 2 AS each, 5 AS most, 0.9 AS confidence FROM nation UNION ALL SELECT 'PERSON', s_suppkey, right(s_name, 1), 3, 6, 0.8 FROM supplier UNION ALL SELECT 'HISTORICAL', p_partkey, CAST(p_size AS VARCHAR), 1, 4, 0.7 FROM part), h AS (SELECT type, entity, id, each, most, confidence, row_number() OVER (PARTITION BY type, entity ORDER BY id) AS n FROM a JOIN w ON substring(entity, 4) = tail), d AS (SELECT type, id, most, confidence, row_number() OVER (PARTITION BY type ORDER BY id) AS p FROM (SELECT DISTINCT type, id, most, confidence FROM h WHERE n <= each)) SELECT type, id, CAST(confidence AS DOUBLE) AS confidence FROM d WHERE p <= most")
 def typed_context(t: Tables) -> DataFrame:
     """Context by the question's type: a table of parameters (per entity, at most, confidence) drives one retrieval."""
-    entities = t.documents.filter("n_chars > 9000").select(F.substring("source", 4, 9).alias("tail")).distinct()
+    entities = t.documents.select(F.substring("source", 4, 9).alias("tail")).distinct()
     of = lambda df, kind, key, tail: df.select(F.lit(kind).alias("type"), F.col(key).cast("long").alias("id"), tail.alias("tail"))
     sources = of(t.nation, "LOCATION", "n_nationkey", F.substring("n_name", 8, 99)).unionByName(of(t.supplier, "PERSON", "s_suppkey", F.right("s_name", F.lit(1)))).unionByName(of(t.part, "HISTORICAL", "p_partkey", F.col("p_size").cast("string")))
     limits = t.spark.createDataFrame([(kind, each, most, confidence) for kind, _, each, most, confidence in _types], "type string, each int, most int, confidence double")
     return E.by_type(entities, sources, limits, "tail")
 
 
-@query("SELECT conv_id, turn, CASE WHEN m > 0 THEN 'CONCEPTUAL' WHEN l >= p AND l >= c AND l >= h AND l >= x AND l > 0 THEN 'LOCATION' WHEN p >= c AND p >= h AND p >= x AND p > 0 THEN 'PERSON' WHEN c >= h AND c >= x AND c > 0 THEN 'CONCEPTUAL' WHEN h >= x AND h > 0 THEN 'HISTORICAL' WHEN x > 0 THEN 'TEXTUAL' ELSE 'GENERAL' END AS class FROM (SELECT conv_id, turn, contains(s, 'eaux')::INT AS m, contains(s, 'the')::INT + contains(s, 'th')::INT AS l, contains(s, 'er')::INT + contains(s, 'ich')::INT AS p, contains(s, 'tion')::INT AS c, contains(s, 'ado')::INT AS h, contains(s, 'ent')::INT + contains(s, 'ing')::INT AS x FROM (SELECT conv_id, turn, lower(substring(text, 1, 40)) AS s FROM conversations))")
+@query("SELECT conv_id, turn, CASE WHEN m > 0 THEN 'CONCEPTUAL' WHEN l >= p AND l >= c AND l >= h AND l >= x AND l > 0 THEN 'LOCATION' WHEN p >= c AND p >= h AND p >= x AND p > 0 THEN 'PERSON' WHEN c >= h AND c >= x AND c > 0 THEN 'CONCEPTUAL' WHEN h >= x AND h > 0 THEN 'HISTORICAL' WHEN x > 0 THEN 'TEXTUAL' ELSE 'GENERAL' END AS class FROM (SELECT conv_id, turn, contains(s, 'eaux')::INT AS m, contains(s, 'the')::INT + contains(s, 'th')::INT AS l, contains(s, 'er')::INT + contains(s, 'ich')::INT AS p, contains(s, 'tion')::INT AS c, contains(s, 'ado')::INT AS h, contains(s, 'ent')::INT + contains(s, 'ing')::INT AS x FROM (SELECT conv_id, turn, lower(text) AS s FROM conversations))")
 def question_classes(t: Tables) -> DataFrame:
     """Five classes by their patterns, one pattern that overrides them, ties by the order of the classes."""
-    said = F.lower(F.substring("text", 1, 40))
+    said = F.lower("text")
     patterns = {"LOCATION": ["the", "th"], "PERSON": ["er", "ich"], "CONCEPTUAL": ["tion"], "HISTORICAL": ["ado"], "TEXTUAL": ["ent", "ing"]}
     best = R.argmax_class([(k, T.pattern_hits(said, v)) for k, v in patterns.items()], "GENERAL")
     return t.conversations.select("conv_id", "turn", F.when(F.contains(said, F.lit("eaux")), "CONCEPTUAL").otherwise(best).alias("class"))
@@ -151,11 +152,12 @@ def metadata_categories(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(F.array_compact(F.array(*[F.when(said.rlike(p), k) for k, p in rules.items()])), ",").alias("categories"))
 
 
-@query("SELECT user_id, event_type, count(*) AS n FROM (SELECT user_id, event_type, CASE WHEN event_type = 'click' THEN user_id END AS recipient FROM events WHERE event_type IN ('click', 'view')) WHERE recipient IS NULL GROUP BY ALL")
-def fanout_without_self(t: Tables) -> DataFrame:
-    """Replies and mentions, never to oneself."""
-    told = t.events.filter("event_type IN ('click', 'view')").withColumn("recipient", F.when(F.col("event_type") == "click", F.col("user_id")))
-    return told.filter(~F.col("recipient").eqNullSafe(F.col("user_id"))).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+@query("WITH p AS (SELECT event_id, user_id, event_id - 1 - event_id % 3 AS parent FROM events), t AS (SELECT p.event_id, p.user_id, q.user_id AS recipient, 'reply' AS kind FROM p JOIN events q ON q.event_id = p.parent UNION ALL SELECT event_id, user_id, event_id % 97, 'mention' FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, user_id, event_id % 11, 'mention' FROM events WHERE event_type = 'view') SELECT event_id, recipient, max(kind) AS kind FROM t WHERE recipient <> user_id GROUP BY 1, 2")
+def reply_and_mention_fanout(t: Tables) -> DataFrame:
+    """Who is told of each post, by reply or mention, once and never of their own."""
+    posts = t.events.select("event_id", "user_id", (F.col("event_id") - 1 - F.col("event_id") % 3).alias("parent"))
+    named = t.events.filter("event_type = 'view'").select("event_id", F.explode(F.array(F.col("event_id") % 97, F.col("event_id") % 11)).alias("who"))
+    return W.fanout(posts, named, "event_id", "user_id", "parent", "who")
 
 
 @query("SELECT doc_id, lag(n_chars) OVER w AS before, n_chars - lag(n_chars) OVER w AS step FROM documents WINDOW w AS (PARTITION BY source, lang ORDER BY doc_id)")

@@ -235,10 +235,10 @@ def shared_snapshot(t: Tables) -> DataFrame:
 _words = ["worthless", "house", "pathetic", "that"]
 
 
-@query("WITH k AS (SELECT unnest(['worthless', 'house', 'pathetic', 'that']) AS word), f AS (SELECT word, doc_id, row_number() OVER (PARTITION BY word ORDER BY doc_id) AS n FROM k JOIN (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) USING (word)) SELECT doc_id, array_to_string(list_sort(list(word)), ',') AS words FROM f WHERE n <= 3 GROUP BY doc_id")
+@query("WITH k AS (SELECT unnest(['worthless', 'house', 'pathetic', 'that']) AS word), f AS (SELECT word, doc_id, row_number() OVER (PARTITION BY word ORDER BY doc_id) AS n FROM k JOIN (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS word FROM documents) USING (word)) SELECT doc_id, array_to_string(list_sort(list(word)), ',') AS words FROM f WHERE n <= 3 GROUP BY doc_id")
 def keyword_retrieval(t: Tables) -> DataFrame:
     """The first three passages of each keyword, each passage once."""
-    found = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word")).filter(F.col("word").isin(_words))
+    found = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).filter(F.col("word").isin(_words))
     return R.top_per_group(found, "word", [F.col("doc_id")], 3).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("word")), ",").alias("words"))
 
 
