@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.text import name_id
+from quire.operators.graph import settled
 from quire.operators.lineage import Publications, replace_file
 
 
@@ -82,22 +86,81 @@ def register(known: DataFrame, offered: DataFrame, key: str, value: str) -> Data
 
 
 def find_or_create(known: DataFrame, wanted: DataFrame, key: str, number: str) -> DataFrame:
-    """(key, number, created): known keys keep their numbers, new ones follow the greatest, in order of the key. Keys are ordered in ranges, each numbered from its own start, so none is ordered whole in one task."""
-    fresh = wanted.select(key).distinct().join(known, key, "left_anti")
-    ranged = fresh.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
-    placed = ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_nth", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    """(key, number, created): known keys keep their numbers, new ones follow the greatest, in order of the key. Keys are ordered in ranges, each numbered from its own start, so none is ordered whole in one task; the ranges are settled before they are counted, so both uses see the same ones. Null keys get no number."""
+    asked = wanted.select(key).filter(F.col(key).isNotNull()).distinct()
+    fresh = asked.join(known, key, "left_anti")
+    placed = settled(fresh.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_nth", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
     top = known.agg(F.max(number)).first()[0] or 0
     made = placed.join(F.broadcast(before), "_part").select(key, (F.col("_nth") + F.col("_before") + top + 1).alias(number), F.lit(True).alias("created"))
-    return made.unionByName(known.join(wanted.select(key).distinct(), key, "left_semi").select(key, number, F.lit(False).alias("created")))
+    return made.unionByName(known.join(asked, key, "left_semi").select(key, number, F.lit(False).alias("created")))
+
+
+def guarded_copy(source: DataFrame, path: str, group: list[str]) -> int:
+    """Copies source to the folder path, which must not exist or hold no rows, and returns how many rows there are. The copy is written beside it, its counts by group and a sum over its rows are compared with the source's, and one rename puts it in place: a crash before leaves the target as it was, and a copy that differs is taken away."""
+    spark = source.sparkSession
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    target, staged = hadoop.Path(path), f"{path}-{uuid.uuid4()}.staged"
+    files = target.getFileSystem(conf)
+    if files.exists(target):
+        found = [f.getPath().getName() for f in files.listStatus(target)]
+        if any(n.endswith(".parquet") for n in found) and spark.read.parquet(path).limit(1).count():
+            raise ValueError("the target isn't empty")
+    source.write.parquet(staged)
+    copy = spark.read.schema(source.schema).parquet(staged)
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)"))).first()
+    if verified(source, copy, group).limit(1).count() or mark(source) != mark(copy):
+        files.delete(hadoop.Path(staged), True)
+        raise ValueError("the copy differs from its source")
+    if files.exists(target):
+        files.delete(target, True)  # holds no rows
+    if not files.rename(hadoop.Path(staged), target):
+        raise ValueError("the copy could not be put in place")
+    return copy.sparkSession.read.parquet(path).count()
 
 
-def guarded_copy(source: DataFrame, target: DataFrame) -> int:
-    """How many rows a copy of source into target would add; refused if target holds any."""
-    if target.limit(1).count():
-        raise ValueError("the target isn't empty")
-    return source.count()
+@dataclass(frozen=True)
+class Kind:
+    """A kind of record: its key, the fields that must agree, and for each link (field to kind) the kind whose key the field must name."""
+
+    name: str
+    key: str
+    fields: tuple[str, ...]
+    links: tuple[tuple[str, str], ...] = ()
+
+
+def register_linked(kinds: list[Kind], known: dict[str, DataFrame], offered: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Outcomes (kind, id, key, outcome, fields) of records offered in several linked tables, and the rows to add to each: none at all if any record conflicts.
+
+    An id hangs on kind and key alone. A record is created, existing (every field equal, null to null) or in conflict, and then `fields` names what differs: a field, one that is offered with several values, or a link to a key that is neither known nor offered. Null keys are left out. Kinds are given in order, what is linked to first.
+    """
+    keys: dict[str, DataFrame] = {}
+    outcomes, fresh = [], {}
+    for kind in kinds:
+        old, new = known[kind.name], offered[kind.name].filter(F.col(kind.key).isNotNull())
+        one = [F.first(f, ignorenulls=False).alias(f) for f in kind.fields]
+        several = [F.when(F.min(F.struct(f)) != F.max(F.struct(f)), F.lit(f)) for f in kind.fields]
+        merged = new.groupBy(kind.key).agg(*one, F.array_compact(F.array(*several)).alias("_several"))
+        before = old.select(F.col(kind.key), F.lit(True).alias("_known"), *[F.col(f).alias(f"_old_{f}") for f in kind.fields])
+        joined = merged.join(before, kind.key, "left")
+        differs = F.array_compact(F.array(*[F.when(F.col("_known") & ~F.col(f).eqNullSafe(F.col(f"_old_{f}")), F.lit(f)) for f in kind.fields]))
+        lost = []
+        for field, other in kind.links:
+            there = keys[other].select(F.col("_key").alias(field), F.lit(True).alias(f"_there_{field}"))
+            joined = joined.join(there, field, "left")
+            lost.append(F.when(F.col(field).isNotNull() & F.col(f"_there_{field}").isNull(), F.lit(f"link {field}")))
+        bad = F.array_distinct(F.concat("_several", differs, F.array_compact(F.array(*lost)) if lost else F.array().cast("array<string>")))
+        judged = joined.withColumn("_bad", bad)
+        outcome = F.when(F.size("_bad") > 0, "conflict").when(F.col("_known"), "existing").otherwise("created")
+        outcomes.append(judged.select(F.lit(kind.name).alias("kind"), name_id(kind.name, F.col(kind.key).cast("string")).alias("id"), F.col(kind.key).cast("string").alias("key"), outcome.alias("outcome"), F.array_join("_bad", ",").alias("fields")))
+        fresh[kind.name] = judged.filter(F.col("_known").isNull()).select(kind.key, *kind.fields)
+        keys[kind.name] = old.select(F.col(kind.key).alias("_key")).unionByName(new.select(F.col(kind.key).alias("_key"))).distinct()
+    found = settled(reduce(DataFrame.unionByName, outcomes))
+    if found.filter("outcome = 'conflict'").limit(1).count():
+        fresh = {name: df.limit(0) for name, df in fresh.items()}
+    return found, fresh
 
 
 def verified(source: DataFrame, copy: DataFrame, group: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from quire.functions import prose as P
 from quire.functions import text as T
 from quire.operators import ingest as I
 from quire.operators import quality as Q
+from quire.operators import releases as R
+from quire.plans.files import scratch
 from quire.plans.readers import _notes, notes
 from quire.plans.registry import Tables, query
 
@@ -181,9 +183,51 @@ def forum_migration(t: Tables) -> DataFrame:
 
 @query("SELECT a.o_orderstatus, a.o_orderpriority, a.n AS source, b.n AS copy FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) a LEFT JOIN (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice < 400000 GROUP BY ALL) b USING (o_orderstatus, o_orderpriority) WHERE a.n IS DISTINCT FROM b.n")
 def copy_verification(t: Tables) -> DataFrame:
+    """A table beside one that lacks some of its rows: counts that differ."""
     return I.verified(t.orders, t.orders.filter("o_totalprice < 400000"), ["o_orderstatus", "o_orderpriority"])
 
 
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def copied_table(t: Tables) -> DataFrame:
+    """A table copied into an empty place, verified there before it is put in place."""
+    path = f"{scratch(t.spark)}/orders"
+    I.guarded_copy(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), path, ["o_orderstatus"])
+    return t.spark.read.parquet(path)
+
+
+@query(
+    "WITH n AS (SELECT 'nation' AS kind, CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_nationkey % 5 = 1 THEN 'created' ELSE 'existing' END AS outcome, '' AS fields FROM nation), s AS (SELECT 'supplier', CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey % 4 = 0 THEN 'created' WHEN s_suppkey % 9 = 0 OR s_suppkey % 7 = 0 THEN 'conflict' ELSE 'existing' END, CASE WHEN s_suppkey % 4 = 0 THEN '' WHEN s_suppkey % 63 = 0 THEN 's_name,s_phone' WHEN s_suppkey % 9 = 0 THEN 's_name' WHEN s_suppkey % 7 = 0 THEN 's_phone' ELSE '' END FROM supplier),"
+    " a AS (SELECT * FROM n UNION ALL SELECT * FROM s) SELECT kind, key, outcome, fields, 0::BIGINT AS added FROM a"
+)
+def linked_registration(t: Tables) -> DataFrame:
+    """Nations and suppliers offered for registration: what is new, known, or differs and in which field; as some differ, nothing is added."""
+    kinds = [I.Kind("nation", "n_nationkey", ("n_name",)), I.Kind("supplier", "s_suppkey", ("s_name", "s_phone", "s_nationkey"), (("s_nationkey", "nation"),))]
+    offered = {"nation": t.nation.select("n_nationkey", "n_name"), "supplier": t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 9 == 0, F.upper(F.concat("s_name", F.lit("x")))).otherwise(F.col("s_name")).alias("s_name"), F.when(F.col("s_suppkey") % 7 == 0, F.lit(None)).otherwise(F.col("s_suppkey").cast("string")).alias("s_phone"), "s_nationkey")}
+    known = {"nation": offered["nation"].filter("n_nationkey % 5 <> 1"), "supplier": t.supplier.filter("s_suppkey % 4 <> 0").select("s_suppkey", "s_name", F.col("s_suppkey").cast("string").alias("s_phone"), "s_nationkey")}
+    found, fresh = I.register_linked(kinds, known, offered)
+    added = sum(df.count() for df in fresh.values())
+    return found.select("kind", "key", "outcome", "fields", F.lit(added).cast("long").alias("added"))
+
+
+@query("SELECT source AS work, count(DISTINCT lang) AS chapters, count(*) AS entries FROM documents GROUP BY 1")
+def released_tables(t: Tables) -> DataFrame:
+    """Two releases of several tables, one that the gates refuse, and a rollback: the coverage of the first is active again."""
+    sealed = F.sha2(F.concat_ws("|", "source", "lang", "doc_id", "text"), 256)
+    rows = t.documents.select("source", "lang", "doc_id", "text").withColumn("checksum", sealed)
+    store, head, none = R.Releases(t.spark, scratch(t.spark)), {"status": "verified", "errors": 0, "edition": "e"}, t.spark.createDataFrame([], "code string, severity string")
+    known = t.documents.select(F.col("source").alias("work")).distinct()
+    publish = lambda df, head=head: store.publish(head, {"edition": "e"}, df, none, ["source", "lang", "doc_id"], "source", "lang", known, sealed, "checksum")
+    publish(rows)
+    publish(rows.filter("doc_id % 2 = 0"))
+    try:
+        publish(rows.withColumn("text", F.lit("altered")), head | {"status": "staged"})
+    except R.Blocked as refused:
+        if refused.codes != ["status", "checksum"]:
+            raise
+    store.rollback()
+    return store.table("coverage")
+
+
 @query("SELECT p_partkey, p_partkey AS first, coalesce(CASE WHEN p_size > 25 THEN p_partkey + p_size END, p_partkey) AS last, count(l_linenumber) AS held FROM part LEFT JOIN lineitem ON l_orderkey BETWEEN p_partkey AND coalesce(CASE WHEN p_size > 25 THEN p_partkey + p_size END, p_partkey) GROUP BY p_partkey, p_size")
 def range_resolution(t: Tables) -> DataFrame:
     """Ranges whose end may be missing: then they end where they start. Ranges of at most fifty are unfolded, so they meet their places by equality."""

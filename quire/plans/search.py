@@ -211,6 +211,12 @@ def rate_limited(t: Tables) -> DataFrame:
     return S.limited(t.events, "user_id", "ts", 3, 86_400)
 
 
+@query()
+def two_window_limits(t: Tables) -> DataFrame:
+    """Events of each user under two limits at once, three a minute and fifty a day. Tested against a plain loop, and the stream against that."""
+    return S.limited_by_windows(t.events, "user_id", "ts")
+
+
 @query("SELECT user_id, event_type, min(ts) AS ts FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY ALL")
 def notifications_once(t: Tables) -> DataFrame:
     notes = t.events.select("user_id", "event_type", "ts")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -79,3 +80,75 @@ def sent_once(notes: DataFrame, recipient: str, key: str, time: str, muted: Data
         return heard.withWatermark(time, late).dropDuplicatesWithinWatermark([recipient, key])
     first = F.row_number().over(Window.partitionBy(recipient, key).orderBy(time))
     return heard.withColumn("_n", first).filter("_n = 1").drop("_n")
+
+
+#: Events let through in a minute and in a day.
+MINUTE, DAY = (3, 60), (50, 86_400)
+DECIDED = "key string, at timestamp, allowed boolean"
+
+
+def decide(times: list[int], accepted: list[int], windows: tuple[tuple[int, int], ...]) -> tuple[list[bool], list[int]]:
+    """For times (microseconds) in order, whether each is let through: if every window (limit, seconds) that ends with it, its start included, holds fewer accepted ones. What is refused uses no quota. And the accepted times that the longest window may still hold."""
+    longest, out = max(s for _, s in windows) * 1_000_000, []
+    accepted = list(accepted)
+    for now in times:
+        accepted = [t for t in accepted if t >= now - longest]
+        allowed = all(sum(t >= now - seconds * 1_000_000 for t in accepted) < limit for limit, seconds in windows)
+        if allowed:
+            accepted.append(now)
+        out.append(allowed)
+    return out, accepted
+
+
+class TwoWindows(StatefulProcessor):
+    """Each key's events in the order of their own time, whatever order they come in: they wait until the watermark has passed them, a timer on event time decides them, and only accepted times stay, at most the day's limit. Events later than the watermark are dropped by Spark before they come here."""
+
+    def __init__(self, windows: tuple[tuple[int, int], ...]):
+        self.windows = windows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long")
+        self.accepted = handle.getListState("accepted", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        times = [(int(t),) for part in rows for t in part["at"]]
+        self.waiting.appendList(times)
+        for at in {t // 1000 for (t,) in times}:
+            self.handle.registerTimer(at)  # fires once the watermark is beyond
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        every = sorted(t for (t,) in self.waiting.get()) if self.waiting.exists() else []
+        due, later = [t for t in every if t // 1000 <= until], [(t,) for t in every if t // 1000 > until]
+        if due:
+            allowed, accepted = decide(due, [t for (t,) in self.accepted.get()] if self.accepted.exists() else [], self.windows)
+            self.waiting.put(later) if later else self.waiting.clear()
+            self.accepted.put([(t,) for t in accepted]) if accepted else self.accepted.clear()
+            yield pd.DataFrame({"key": key[0], "at": pd.to_datetime(due, unit="us"), "allowed": allowed})
+
+    def close(self) -> None:
+        pass
+
+
+def limited_by_windows(events: DataFrame, key: str, time: str, late: str = "1 minute", windows: tuple[tuple[int, int], ...] = (MINUTE, DAY)) -> DataFrame:
+    """(key, at, allowed) of events under several limits at once (by default three a minute and fifty a day), by event time. Null keys and times are left out.
+
+    A batch passes each key's events in order through the accepted times, at most the largest limit of them. A stream gives the same rows for events that come out of order by at most `late`; those beyond it are dropped. An event is decided once the watermark has passed it. A stream needs the RocksDB state store.
+    """
+    source = events.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("time"), F.unix_micros(F.col(time).cast("timestamp")).alias("at")).filter("key IS NOT NULL AND at IS NOT NULL")
+    if events.isStreaming:
+        held = source.withWatermark("time", late).groupBy("key")
+        return held.transformWithStateInPandas(TwoWindows(windows), DECIDED, "append", "eventTime")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, accepted = None, []
+        for batch in batches:
+            for k, part in batch.groupby("key", sort=False):
+                if k != now:
+                    now, accepted = k, []
+                allowed, accepted = decide(part["at"].tolist(), accepted, windows)
+                yield pd.DataFrame({"key": k, "at": pd.to_datetime(part["at"].to_numpy(), unit="us"), "allowed": allowed})
+
+    return source.select("key", "at").repartition("key").sortWithinPartitions("key", "at").mapInPandas(run, DECIDED)
