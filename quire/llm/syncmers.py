@@ -5,6 +5,8 @@ A text's symbols are its runs of at most twelve non-space characters; a longer r
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ K, S = 7, 2
 SYMBOL, ENDS = 12, "aoAO037"
 PATTERN = rf"((?<!\S)\S{{1,{SYMBOL}}}+(?!\S)|[^\x00-\x7f]|[\x00-\x7f&&\S&&[^{ENDS}\p{{Punct}}]]*+[{ENDS}\p{{Punct}}]|[\x00-\x7f&&\S&&[^{ENDS}\p{{Punct}}]]++)"
 #: Rows in a range of ids, about; ranges at the most.
-RANGE_ROWS, RANGES = 100, 4096
+RANGE_ROWS, RANGES = 100, 1 << 16
 LOWEST = -(1 << 63)
 
 
@@ -59,12 +61,14 @@ def likeness(a: str, b: str) -> Column:
     return F.greatest(share(lambda s: s["h"]), share(lambda s: s["h"] + F.shiftleft(s["at"].cast("long"), 32)))
 
 
-def range_column(df: DataFrame, key: str, rows: int = RANGE_ROWS) -> tuple[list[int], Column]:
-    """First keys of ranges of about so many rows, at most RANGES, and a column that finds a key's range through a coarse and a fine list: struct (range, begins, whether the key is its first)."""
+def range_column(df: DataFrame, key: str, rows: int = RANGE_ROWS) -> tuple[list[int], dict[int, int], Column]:
+    """First keys of ranges of about so many rows, at most RANGES; for the nth range that begins with a key of more rows than that, in how many parts to cut that key's rows; and a column that finds a key's range through a coarse and a fine list: struct (range, begins, whether the key is its first)."""
     n = df.count()
     ranges = max(1, min(RANGES, n // rows))
     cuts = df.agg(F.min(key).alias("low"), F.percentile_approx(key, F.lit([i / ranges for i in range(1, ranges)] or [0.5]), 20 * ranges + 1000).alias("cuts")).first()
     starts = sorted({cuts["low"], *cuts["cuts"]}) if n else [LOWEST]
+    met = Counter(cuts["cuts"] if n and ranges > 1 else ())
+    hot = {i: met[k] for i, k in enumerate(starts) if met[k] > 1}
     step = max(1, int(len(starts) ** 0.5))
     blocks = [starts[i : i + step] for i in range(0, len(starts), step)]
     text = lambda xs: "array(" + ",".join("cast('%d' as bigint)" % x for x in xs) + ")"
@@ -72,7 +76,31 @@ def range_column(df: DataFrame, key: str, rows: int = RANGE_ROWS) -> tuple[list[
     block = F.greatest(F.size(F.filter(coarse, lambda x: x <= F.col(key))), F.lit(1))
     inner = F.get(fine, block - 1)
     nth = F.greatest(F.size(F.filter(inner, lambda x: x <= F.col(key))) - 1, F.lit(0))
-    return starts, F.struct(((block - 1) * step + nth).alias("range"), (F.get(inner, nth) == F.col(key)).alias("begins"))
+    return starts, hot, F.struct(((block - 1) * step + nth).alias("range"), (F.get(inner, nth) == F.col(key)).alias("begins"))
+
+
+def in_ranges(rows: DataFrame) -> DataFrame:
+    """rows (_id, _k, _text) in ranges of keys, each with a copy, as a guest, of what begins the next one (the first range's, in the last): _id, _k, _text, _range, _guest. A key of very many rows makes ranges of its own, by a hash of the text."""
+    starts, hot, own = range_column(rows.select("_k"), "_k")
+    last = len(starts) - 1
+    if not hot:
+        range_, begins = F.col("_own.range"), F.col("_own.begins")
+        before = F.when(range_ > 0, range_ - 1).otherwise(last)
+        placed = rows.withColumn("_own", own)
+    else:
+        spark, wide = rows.sparkSession, 2 * RANGES
+        parts = spark.createDataFrame([(i, starts[i], m) for i, m in hot.items()], "_r int, _start long, _m int")  # fewer than RANGES
+        cut = rows.withColumn("_r", own["range"]).withColumn("_h", F.xxhash64("_text")).join(F.broadcast(parts), "_r", "left")
+        share = F.least(F.floor((F.col("_h") / 2.0**64 + 0.5) * F.col("_m")).cast("int"), F.col("_m") - 1)
+        part = F.when(F.col("_m").isNull(), 0).when(F.col("_k") == F.col("_start"), share).otherwise(F.col("_m") - 1)
+        cut = cut.withColumn("_range", F.col("_r").cast("long") * wide + part)
+        firsts = sorted((r["_range"], *r["f"]) for r in cut.groupBy("_range").agg(F.min(F.struct("_k", "_h")).alias("f")).collect())  # at most 2 RANGES
+        table = spark.createDataFrame([(at, k, h, firsts[i - 1][0]) for i, (at, k, h) in enumerate(firsts)], "_range long, _fk long, _fh long, _before long")
+        placed = cut.join(F.broadcast(table), "_range")
+        range_, begins, before = F.col("_range"), (F.col("_k") == F.col("_fk")) & (F.col("_h") == F.col("_fh")), F.col("_before")
+    stay, visit = F.struct(range_.alias("range"), F.lit(False).alias("guest")), F.struct(before.alias("range"), F.lit(True).alias("guest"))
+    placed = placed.withColumn("_p", F.explode(F.when(begins, F.array(stay, visit)).otherwise(F.array(stay))))
+    return placed.select("_id", "_k", "_text", F.col("_p.range").alias("_range"), F.col("_p.guest").alias("_guest"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,16 +108,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many of the next document by id, the first after the last. Null texts count as empty; texts without symbols have empty fingerprints, which are alike. Null ids come first; rows of equal ids follow each other by a hash of the text. Other columns are ignored; an empty table gives an empty result.
 
-    Only neighbours meet: ids are cut into ranges of about a hundred rows, each range gets a copy of the next one's first row, and a window within the range finds what follows.
+    Only neighbours meet: ids are cut into ranges of about a hundred rows (rows of one id or of none, if there are very many, by a hash of their text), each range gets a copy of the next one's first row, and a window within the range finds what follows. Only rows equal in id and text stay together however many there are.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_k"), whole(text_col).alias("_text"))
-    starts, own = range_column(rows.select("_k"), "_k")
-    last = len(starts) - 1
-    begins = F.col("_own.range")
-    stay = F.struct(begins.alias("range"), F.lit(False).alias("guest"))
-    visit = F.struct(F.when(begins > 0, begins - 1).otherwise(last).alias("range"), F.lit(True).alias("guest"))
-    placed = rows.withColumn("_own", own).withColumn("_p", F.explode(F.when(F.col("_own.begins"), F.array(stay, visit)).otherwise(F.array(stay))))
-    placed = placed.select("_id", "_k", "_text", F.col("_p.range").alias("_range"), F.col("_p.guest").alias("_guest")).repartition(partitions(docs.sparkSession), "_range")
+    placed = in_ranges(rows).repartition(partitions(docs.sparkSession), "_range")
     placed = with_anchors(placed, "_text", "_anchors")
     order = Window.partitionBy("_range").orderBy("_guest", "_k", F.xxhash64("_text"))
     paired = placed.withColumn("_next", F.lead("_text").over(order)).withColumn("_next_anchors", F.lead("_anchors").over(order)).filter(~F.col("_guest"))

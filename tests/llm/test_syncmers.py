@@ -6,7 +6,7 @@ import struct
 
 import xxhash
 
-from quire.llm.syncmers import ENDS, K, S, SYMBOL, fingerprints
+from quire.llm.syncmers import ENDS, K, S, SYMBOL, fingerprints, in_ranges
 
 
 def folded(values):
@@ -87,6 +87,26 @@ def test_edges(spark):
     assert one.near_next == 1.0 and one.n_chars == 3
 
 
+def test_many_rows_of_one_id_and_of_none(spark):
+    """50,000 rows of one id and as many of none: ranges stay small, and each row still meets its successor."""
+    n = 50_000
+    hot = spark.range(2 * n).selectExpr("CASE WHEN id % 2 = 0 THEN 777 END AS doc_id", "concat('text ', id, ' of many words') AS text")
+    rest = spark.range(20_000).selectExpr("id AS doc_id", "concat('other ', id) AS text")
+    df = hot.unionByName(rest).repartition(4)
+    rows = df.selectExpr("doc_id AS _id", f"coalesce(doc_id, {-(1 << 63)}) AS _k", "text AS _text")
+    sizes = in_ranges(rows).groupBy("_range").count()
+    assert sizes.agg({"count": "max"}).first()[0] < 2000 and sizes.agg({"count": "sum"}).first()[0] < 123_000
+    import pyspark.sql.functions as F
+
+    got = fingerprints(df).select("doc_id", "n_chars", "edited_sha256")
+    order = sorted((r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["h"], r["text"]) for r in df.withColumn("h", F.xxhash64("text")).collect())
+    want = []
+    for (k, _, text), (_, _, after) in zip(order, order[1:] + order[:1]):
+        cut = len(text) // 4
+        want.append((None if k < 0 else k, len(text), hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_anchors_hang_on_nothing_outside_them(spark):
     """One character put in front moves no other anchor, with or without spaces."""
     rng = random.Random(5)
