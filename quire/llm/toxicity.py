@@ -1,6 +1,6 @@
 """Toxicity scores by a subsequence string kernel, Nyström features and a linear support vector machine.
 
-The kernel of two words sums their common subsequences of three letters, each weighted by how far it is spread in both, so an insult with letters put in, left out or doubled stays near. Landmarks are words that distinct toxic training texts hold significantly more often than clean ones. A document has two features for each: how far its nearest word goes beyond what clean texts reach, which is learned too, and how often its words come near. They are whitened by the landmarks' own kernel matrix (Nyström), a support vector machine weighs them and a logistic curve makes its decision a score.
+The kernel of two words sums their common subsequences of three letters, each weighted by how far it is spread in both, so an insult with letters put in, left out or doubled stays near. A second kernel of longer subsequences, weighed against the landmark alone, stays high however many letters stand in the gaps, which the first, weighed against both words, does not. Landmarks are words that distinct toxic training texts hold significantly more often than clean ones. A document has two features for each: how far its nearest word, by either kernel, goes beyond what clean texts reach, which is learned too, and how often its words come near. They are whitened by the landmarks' own kernel matrix (Nyström), a support vector machine weighs them and a logistic curve makes its decision a score.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ from quire.llm.common import bounded_rows, checkpoint, digest, once, whole
 ROWS = 6000
 #: Letters in a subsequence; what each letter of spread costs.
 ORDER, DECAY = 3, 0.9
+#: Letters in a subsequence of the second kernel, all of a shorter landmark's; a text's value counts from this share of what the landmark has with a strange letter in every gap, or from what clean texts reach.
+LONG, NEARLY = 5, 0.85
+#: Landmarks whose level is greater get nothing from the second kernel: clean words come so near them that they have forms of their own there.
+CROWDED = 0.65
 #: Landmarks at the most, and candidates for them that come to the driver; the fewest distinct toxic texts that hold one; the least likelihood ratio (2 ln) for its being more frequent there, which chance gives less than once in 20 million words.
 LANDMARKS, CANDIDATES, LEAST_DOCS, SIGNIFICANT = 96, 600, 3, 30.0
 #: A landmark's kernel with each one before it is less than this.
@@ -98,11 +102,23 @@ class Kernel:
         self.sets = [frozenset(w) for w in landmarks]
         self.alphabet = sorted(frozenset().union(*self.sets))
         self.needed = np.array([max(min(ORDER, len(s)), len(s) - 1) for s in self.sets], dtype=np.uint8)
+        self.long = np.array([min(LONG, len(w)) for w in landmarks], dtype=int)
+        self.own = self.whole(self.codes, np.arange(len(landmarks)))
+        open_codes, _ = coded(["\0".join(w) for w in landmarks])  # a gap is like padding: it matches nothing
+        self.spread = self.whole(open_codes, np.arange(len(landmarks))) / self.own
         self.by_set = Remembered(lambda own: [j for j, s in enumerate(self.sets) if len(own & s) >= self.needed[j]], 50_000)
 
+    def whole(self, codes: np.ndarray, rights: np.ndarray) -> np.ndarray:
+        """The second kernel of each row with the landmark of its number."""
+        out = np.zeros(len(codes))
+        for order in np.unique(self.long[rights]):
+            some = np.flatnonzero(self.long[rights] == order)
+            out[some] = raw_kernel(codes[some], self.codes[rights[some]], int(order))
+        return out
+
     def of(self, words: list[str]) -> np.ndarray:
-        """A row for each word: its kernels, of its nearest window if it is long; zero below FLOOR and where a word lacks two or more of a landmark's letters."""
-        out = np.zeros((len(words), len(self.landmarks)))
+        """A row for each word: its kernels, of its nearest window if it is long, zero below FLOOR and where a word lacks two or more of a landmark's letters; then its second kernels as shares of the landmark's own, zero where it lacks any letter or the share is under NEARLY of that with all gaps filled."""
+        out, open_ = np.zeros((2, len(words), len(self.landmarks)))
         parts = [(i, part) for i, w in enumerate(words) for part in windows(w)]
         near = [self.by_set[frozenset(part)] for _, part in parts]
         need = sorted((k for k, js in enumerate(near) if js), key=lambda k: len(parts[k][1]))  # by length, so little is padded
@@ -114,7 +130,13 @@ class Kernel:
             left, right = lefts[s : s + PAIRS], rights[s : s + PAIRS]
             value = raw_kernel(codes[left, : size[left[-1]]], self.codes[right]) / (norms[left] * self.norms[right])
             np.maximum.at(out, (owner[left], right), np.where(value >= FLOOR, value, 0.0))
-        return out
+        full = np.array([self.sets[j] <= frozenset(parts[need[i]][1]) for i, j in zip(lefts, rights, strict=True)], dtype=bool)
+        lefts, rights = lefts[full], rights[full]
+        for s in range(0, len(lefts), PAIRS):
+            left, right = lefts[s : s + PAIRS], rights[s : s + PAIRS]
+            value = self.whole(codes[left, : size[left[-1]]], right) / self.own[right]
+            np.maximum.at(open_, (owner[left], right), np.where(value >= NEARLY * self.spread[right], value, 0.0))
+        return np.c_[out, open_]
 
 
 class Reader:
@@ -137,9 +159,9 @@ class Reader:
         self.rows: dict[str, np.ndarray | None] = {}
 
     def near(self, texts: list[str]) -> np.ndarray:
-        """A row for each text: for each landmark the greatest kernel of its words, then for each the share of its words that are near."""
+        """A row for each text: for each landmark the greatest kernel of its words, then for each the share of its words that are near, then for each the greatest second kernel."""
         size = len(self.kernel.landmarks)
-        out, lengths = np.zeros((len(texts), 2 * size)), np.zeros(len(texts))
+        out, lengths = np.zeros((len(texts), 3 * size)), np.zeros(len(texts))
         parts: list[tuple[int, str]] = []
         held = 0
         for i, text in enumerate(texts if size else []):
@@ -151,7 +173,7 @@ class Reader:
                 held += len(part) + 1
         if parts:
             self.scan(parts, out, lengths)
-        out[:, size:] /= np.maximum(lengths, SHORT)[:, None]
+        out[:, size : 2 * size] /= np.maximum(lengths, SHORT)[:, None]
         return out
 
     def scan(self, parts: list[tuple[int, str]], out: np.ndarray, lengths: np.ndarray) -> None:
@@ -181,9 +203,11 @@ class Reader:
         self.look_up(words)
         found = [(i, row) for i, row in zip(docs, map(self.rows.__getitem__, words), strict=True) if row is not None]
         if found:
-            owners, rows = [i for i, _ in found], np.array([row for _, row in found])
-            np.maximum.at(out[:, : rows.shape[1]], owners, rows)
-            np.add.at(out[:, rows.shape[1] :], owners, np.maximum(rows - FLOOR, 0) / (1 - FLOOR))
+            owners, size = [i for i, _ in found], len(self.kernel.landmarks)
+            rows, gaps = np.split(np.array([row for _, row in found]), [size], axis=1)
+            np.maximum.at(out[:, :size], owners, rows)
+            np.add.at(out[:, size : 2 * size], owners, np.maximum(rows - FLOOR, 0) / (1 - FLOOR))
+            np.maximum.at(out[:, 2 * size :], owners, gaps)
 
     def look_up(self, words: list[str]) -> None:
         """See that rows holds all words: None where no landmark is near. Kernels of many words together take little longer than of one."""
@@ -256,14 +280,16 @@ class Scorer:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         m = self.model
-        decisions = features(self.reader.near(texts), m["levels"]) @ m["whiten"] @ m["weights"] + m["base"]
+        decisions = features(self.reader.near(texts), m["levels"], m["gaps"], self.reader.kernel.spread) @ m["whiten"] @ m["weights"] + m["base"]
         return 1 / (1 + np.exp(-np.clip(decisions * m["curve"][0] + m["curve"][1], -30, 30)))
 
 
-def features(near: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """How far each kernel goes beyond its level, 0 up to there, 1 from WHOLE_FROM of the way to an equal word; then how near the share of near words comes to RATE."""
+def features(near: np.ndarray, levels: np.ndarray, gaps: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """How far each kernel goes beyond its level, 0 up to there, 1 from WHOLE_FROM of the way to an equal word, or how far the second goes beyond its own on the way to a word with all gaps filled, whichever is more; then how near the share of near words comes to RATE. Where clean texts reach as far as filled gaps the second says nothing."""
     size = len(levels)
-    return np.c_[np.clip((near[:, :size] - levels) / ((1 - levels) * WHOLE_FROM), 0, 1), np.minimum(near[:, size:] / RATE, 1)]
+    closed = (near[:, :size] - levels) / ((1 - levels) * WHOLE_FROM)
+    room = np.where(spread > gaps, spread - gaps, np.inf) * WHOLE_FROM
+    return np.c_[np.clip(np.maximum(closed, (near[:, 2 * size :] - gaps) / room), 0, 1), np.minimum(near[:, size : 2 * size] / RATE, 1)]
 
 
 def sketch(text: str) -> list[int]:
@@ -303,7 +329,7 @@ def learn(labelled: DataFrame) -> dict:
     sample = checkpoint(distinct_texts(checkpoint(labelled.filter("text IS NOT NULL").select("label", "text"))))
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    constant = {"landmarks": [], "levels": np.zeros(0), "whiten": np.zeros((0, 0)), "weights": np.zeros(0), "base": 0.0, "curve": np.array([0.0, np.log((pos + 0.5) / (neg + 0.5))])}
+    constant = {"landmarks": [], "levels": np.zeros(0), "gaps": np.zeros(0), "whiten": np.zeros((0, 0)), "weights": np.zeros(0), "base": 0.0, "curve": np.array([0.0, np.log((pos + 0.5) / (neg + 0.5))])}
     if not pos or not neg:
         return constant
 
@@ -331,24 +357,26 @@ def learn(labelled: DataFrame) -> dict:
     rows = sample.mapInPandas(featured, "label int, near array<double>").toPandas()
     near, y = np.array(rows["near"].tolist()), rows["label"].to_numpy(float)
     size = len(landmarks)
-    clean = np.sort(near[y == 0, :size], axis=0)
-    levels = np.clip(clean[len(clean) - 1 - int(BEYOND * len(clean))], FLOOR, 0.95)
     kernel = Kernel(landmarks)
-    gram = kernel.of(landmarks)
+    clean = np.sort(near[y == 0], axis=0)
+    reached = clean[len(clean) - 1 - int(BEYOND * len(clean))]
+    levels = np.clip(reached[:size], FLOOR, 0.95)
+    gaps = np.maximum(reached[2 * size :], np.where(levels > CROWDED, 1, NEARLY) * kernel.spread)
+    gram, open_ = np.split(kernel.of(landmarks), 2, axis=1)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     whiten = np.kron(np.eye(2), vectors @ np.diag(1 / np.sqrt(np.maximum(values, EIGEN))) @ vectors.T)
     # a landmark alone in a long text is toxic too, as often as texts hold it: no training text need have just one
-    x = features(np.r_[near, np.c_[gram, np.zeros_like(gram)]], levels) @ whiten
+    x = features(np.r_[near, np.c_[gram, np.zeros_like(gram), open_]], levels, gaps, kernel.spread) @ whiten
     y, each = np.r_[y, np.ones(size)], np.r_[np.ones(len(near)), [float(held[m]) for m in landmarks]]
     weights, base = train_svm(x, np.where(y > 0, 1.0, -1.0), each)
-    return {"landmarks": landmarks, "levels": levels, "whiten": whiten, "weights": weights, "base": base, "curve": train_logistic(x @ weights + base, y, each)}
+    return {"landmarks": landmarks, "levels": levels, "gaps": gaps, "whiten": whiten, "weights": weights, "base": base, "curve": train_logistic(x @ weights + base, y, each)}
 
 
 def spread(candidates: list[str]) -> list[str]:
     """The first LANDMARKS candidates that lie APART from those before them."""
     if not candidates:
         return []
-    like = Kernel(candidates).of(candidates)
+    like = Kernel(candidates).of(candidates)[:, : len(candidates)]
     chosen: list[int] = []
     for i in range(len(candidates)):
         if len(chosen) < LANDMARKS and not (like[i, chosen] >= APART).any():

@@ -32,6 +32,20 @@ def test_kernel_against_all_subsequences():
     assert np.allclose(got, want)
 
 
+def test_second_kernel_against_all_subsequences():
+    rng = random.Random(2)
+    landmarks = ["abc", "abcd", "dcbad", "abcdabd"]
+    words = ["".join(rng.choices("abcd", k=rng.randint(3, 10))) for _ in range(60)] + landmarks + ["#".join(w) for w in landmarks]
+    kernel = T.Kernel(landmarks)
+    got = kernel.of(words)[:, len(landmarks) :]
+    for j, mark in enumerate(landmarks):
+        order = min(T.LONG, len(mark))
+        share = lambda w: brute(w, mark, order, T.DECAY) / brute(mark, mark, order, T.DECAY)  # noqa: E731, B023
+        assert np.isclose(kernel.spread[j], share("#".join(mark)))
+        want = [v if set(mark) <= set(w) and (v := share(w)) >= T.NEARLY * kernel.spread[j] - 1e-9 else 0 for w in words]
+        assert np.allclose(got[:, j], want)
+
+
 INSULTS = ["scum", "trash", "clown", "idiot", "moron", "stupid", "blockhead", "numbskull"]
 
 
@@ -72,7 +86,7 @@ def test_scores(spark):
 
 
 def test_one_altered_insult_is_enough(spark):
-    """Any letter put in, left out, doubled or changing places with the next, in a text that training never saw; no altered word is trained on."""
+    """Any letter put in, left out, doubled or changing places with the next, or one put into every gap, in a text that training never saw; no altered word is trained on."""
     data, labels = rows()
     rng = random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -81,6 +95,7 @@ def test_one_altered_insult_is_enough(spark):
         "out": [w[:i] + w[i + 1 :] for w in INSULTS for i in range(len(w))],
         "doubled": [w[:i] + w[i] + w[i:] for w in INSULTS for i in range(len(w))],
         "swapped": [w[:i] + w[i + 1] + w[i] + w[i + 2 :] for w in INSULTS for i in range(len(w) - 1)],
+        "gapped": [c.join(w) for w in INSULTS for c in "xyqj"] + ["".join(x + rng.choice(letters) for x in w)[:-1] for w in INSULTS for _ in range(4)],
         "plain": INSULTS,
     }
     sound = clean_words(random.Random(9))
