@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import chunks as C
 from quire.operators import merkle as M
+from quire.operators import postings as P
 from quire.operators import ranges as G
 from quire.operators.graph import settled
 from quire.operators.vectorindex import VectorIndex
@@ -116,3 +117,48 @@ def range_editions(t: Tables) -> DataFrame:
     pairs = G.range_join(told, placed, ["event"], ["half"], "low", "high", "verse")
     best = G.complete_editions(pairs, told, ["event"], ["half"], "low", "high", "verse", "lang", "doc_id", _trust)
     return best.select("event", "lang", F.array_join(F.col("rows").cast("array<string>"), ",").alias("ids"))
+
+
+_spaced = lambda column: f"' ' || array_to_string(list_filter(string_split_regex(lower({column}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ') || ' '"
+_kinds = ["LOCATION", "PERSON", "CONCEPTUAL", "HISTORICAL", "TEXTUAL", "GENERAL"]
+_held = f"""
+WITH t AS (SELECT 'note' AS kind, doc_id AS id, {_spaced("text")} AS said FROM documents UNION ALL SELECT 'lexicon', conv_id, {_spaced("text")} FROM conversations UNION ALL SELECT 'place', page_id, {_spaced("html")} FROM pages),
+w AS (SELECT item_id AS question, string_split(trim({_spaced("text")}), ' ') AS words FROM benchmark),
+e AS (SELECT question, nth, words[2 * nth + 1] || ' ' || words[2 * nth + 2] AS phrase FROM (SELECT *, unnest(range(len(words) // 2)) AS nth FROM w)),
+h AS (SELECT DISTINCT phrase, kind, id FROM (SELECT DISTINCT phrase FROM e) JOIN t ON contains(said, ' ' || phrase || ' '))
+"""
+
+
+def _texts(t: Tables) -> DataFrame:
+    of = lambda df, kind, key, text: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(text).alias("text"))
+    return of(t.documents, "note", "doc_id", "text").unionByName(of(t.conversations, "lexicon", "conv_id", "text")).unionByName(of(t.pages, "place", "page_id", "html"))
+
+
+def _pairs(t: Tables) -> DataFrame:
+    """Each benchmark item as a question, its words two by two as its entities."""
+    words = t.benchmark.select(F.col("item_id").alias("question"), P.terms(F.col("text")).alias("words")).filter("size(words) > 1")
+    starts = words.select("question", "words", F.explode(F.sequence(F.lit(0), F.floor(F.size("words") / 2).cast("int") - 1)).alias("nth"))
+    return starts.select("question", "nth", F.array_join(F.slice("words", F.col("nth") * 2 + 1, F.lit(2)), " ").alias("phrase"))
+
+
+@query(_held + "SELECT phrase, kind, count(*) AS texts, min(id) AS first, max(id) AS last FROM h GROUP BY ALL")
+def indexed_phrases(t: Tables) -> DataFrame:
+    """How many documents, conversations and pages hold each two words of the benchmark next to each other, by a stored index of places."""
+    held = P.TextIndex.build(_texts(t), scratch(t.spark)).holding(_pairs(t).select("phrase"))
+    return held.groupBy("phrase", "kind").agg(F.count("*").alias("texts"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+@query(
+    _held
+    + f", r AS (SELECT * FROM (VALUES {', '.join(map(str, P.ROUTES))}) AS r(type, kind, each, most, counted, confidence)), "
+    + f"q AS (SELECT item_id AS question, {_kinds}[item_id % 6 + 1] AS type FROM benchmark), "
+    + "n AS (SELECT *, row_number() OVER (PARTITION BY phrase, kind ORDER BY id) AS place FROM h), "
+    + "f AS (SELECT question, n.kind, id, most, r.confidence, min(nth) AS nth FROM q JOIN e USING (question) JOIN r USING (type) JOIN n ON n.phrase = e.phrase AND n.kind = r.kind WHERE (counted = 0 OR nth < counted) AND place <= each GROUP BY ALL) "
+    + "SELECT question, kind, id, position, CAST(confidence AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY question, kind ORDER BY nth, id) AS position FROM f) WHERE position <= most"
+)
+def typed_texts(t: Tables) -> DataFrame:
+    """Context of questions of six types from three kinds of texts, over the same index."""
+    index = P.TextIndex.build(_texts(t), scratch(t.spark))
+    kinds = F.array(*[F.lit(k) for k in _kinds])
+    questions = t.benchmark.select(F.col("item_id").alias("question"), F.element_at(kinds, (F.col("item_id") % 6 + 1).cast("int")).alias("type"))
+    return P.typed_retrieval(index, questions, _pairs(t))
