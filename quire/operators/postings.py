@@ -47,13 +47,14 @@ class TextIndex:
     def build(texts: DataFrame, path: str) -> TextIndex:
         """Indexes all words of texts (kind, id, text); rows without kind, id or text are in no list, other columns aren't kept.
 
-        Words are sorted by ranges of term, id and place, so a term that stands in every text is cut over many tasks and files. Texts that share kind and id are told apart by a hash, so no phrase spans two of them.
+        A folder is written in as many parts as the session's shuffle partitions leave for each, texts being told to parts by their hash, so a term that stands in every text is no single task's. Texts that share kind and id are told apart by a hash, so no phrase spans two of them.
         """
         rows = texts.filter("kind IS NOT NULL AND id IS NOT NULL").select("kind", "id", F.xxhash64("text").alias("version"), F.posexplode(terms(F.col("text"))).alias("at", "term"))
-        order = ["bucket", "term", "kind", "id", "version", "at"]
-        placed = rows.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange(*order).sortWithinPartitions(*order)
-        placed.write.partitionBy("bucket").parquet(path)
-        return TextIndex(texts.sparkSession, path)
+        spark = texts.sparkSession
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+        placed = rows.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod("version", F.lit(parts)))
+        placed.sortWithinPartitions("bucket", "term", "version", "at").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+        return TextIndex(spark, path)
 
     def rows(self) -> DataFrame:
         kind = "bucket int, term string, kind string, version long, at int"
