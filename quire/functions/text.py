@@ -71,11 +71,11 @@ def reference(book: Column, chapter: Column, verse: Column) -> Column:
 
 
 def parsed_reference(text: Column) -> Column:
-    """Struct of book, chapter, first and last verse of `Book 3:16-18` or `Bk. 3.16`; nulls where there is none. A lone verse ends where it starts."""
-    pattern = r"^\s*([1-3]?\s?[A-Za-z][A-Za-z ]*?)\.?\s+(\d{1,3})[:.](\d{1,3})(?:-(\d{1,3}))?\s*$"
+    """Struct of book, chapter, first and last verse of `Book 3:16-18` or `Bk. 3.16`; nulls where there is none. A lone verse ends where it starts. Numbers have any number of digits; one that no int holds is null."""
+    pattern = r"^\s*([1-3]?\s?[A-Za-z][A-Za-z ]*?)\.?\s+(\d+)[:.](\d+)(?:-(\d+))?\s*$"
     part = lambda i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
-    first = part(3).cast("int")
-    return F.struct(part(1).alias("book"), part(2).cast("int").alias("chapter"), first.alias("first"), F.coalesce(part(4).cast("int"), first).alias("last"))
+    first = part(3).try_cast("int")
+    return F.struct(part(1).alias("book"), part(2).try_cast("int").alias("chapter"), first.alias("first"), F.when(part(4).isNull(), first).otherwise(part(4).try_cast("int")).alias("last"))
 
 
 def canonical_key(label: Column, chapter: Column, verse: Column) -> Column:

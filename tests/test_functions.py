@@ -20,6 +20,11 @@ def test_reference(spark, text, want):
     assert tuple(one(spark, T.parsed_reference(F.col("t")), t=text)) == want
 
 
+@pytest.mark.parametrize("text,want", [("Sa. 1000.7", ("Sa", 1000, 7, 7)), ("S 12345:1234", ("S", 12345, 1234, 1234)), ("S 99999999999:1", ("S", None, 1, 1))])
+def test_reference_of_many_chapters(spark, text, want):
+    assert tuple(one(spark, T.parsed_reference(F.col("t")), t=text)) == want
+
+
 def test_scalars(spark):
     assert one(spark, T.mentions(F.col("t")), t="@abc x@def @ghi-1 @abc") == ["abc", "ghi-1"]
     assert one(spark, T.citations(F.col("t")), t="a [scripture:1] [x] [scripture:1] [note_b:22]") == ["scripture:1", "note_b:22"]
