@@ -25,6 +25,11 @@ def test_reference_of_many_chapters(spark, text, want):
     assert tuple(one(spark, T.parsed_reference(F.col("t")), t=text)) == want
 
 
+@pytest.mark.parametrize("text,want", [("src 1000:99-102", ("src", 1000, 99, 102)), ("src 1:998-1001", ("src", 1, 998, 1001)), ("src 1:2-99999999999", ("src", 1, 2, None))])
+def test_reference_of_long_ranges(spark, text, want):
+    assert tuple(one(spark, T.parsed_reference(F.col("t")), t=text)) == want
+
+
 def test_scalars(spark):
     assert one(spark, T.mentions(F.col("t")), t="@abc x@def @ghi-1 @abc") == ["abc", "ghi-1"]
     assert one(spark, T.citations(F.col("t")), t="a [scripture:1] [x] [scripture:1] [note_b:22]") == ["scripture:1", "note_b:22"]
