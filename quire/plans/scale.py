@@ -63,14 +63,16 @@ def chunk_keys(t: Tables) -> DataFrame:
 
 
 _row = "concat_ws(';', " + ", ".join(f"CASE WHEN {c} IS NULL THEN 'n' ELSE length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in ("doc_id", "text", "lang", "source", "n_chars")) + ")"
-_blocks = f"WITH l AS (SELECT k0, sha256(h || ':' || count(*)) AS leaf, count(*) AS n FROM (SELECT doc_id AS k0, sha256({_row}) AS h FROM documents) GROUP BY k0, h), b AS (SELECT *, count(*) FILTER (WHERE starts_with(leaf, '00')) OVER (ORDER BY k0, leaf) AS block FROM l), d AS (SELECT block, min(k0) AS first, max(k0) AS last, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(leaf, '' ORDER BY k0, leaf)) AS digest FROM b GROUP BY block)"
+_blocks = f"WITH RECURSIVE l AS (SELECT k0, sha256(h || ':' || count(*)) AS leaf, count(*) AS n FROM (SELECT doc_id AS k0, sha256({_row}) AS h FROM documents) GROUP BY k0, h), b AS (SELECT *, count(*) FILTER (WHERE starts_with(leaf, '00')) OVER (ORDER BY k0 NULLS FIRST, leaf) AS block FROM l), d AS (SELECT block, arg_min_null(k0, nth) AS first, arg_max_null(k0, nth) AS last, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(leaf, '' ORDER BY nth)) AS digest FROM (SELECT *, row_number() OVER (ORDER BY k0 NULLS FIRST, leaf) AS nth FROM b) GROUP BY block)"
+#: As long as they are more than ROOT, the digests in their order are cut into blocks again, each with the digest of its own.
+_levels = f"v AS (SELECT 0 AS level, block, digest FROM d UNION ALL SELECT level + 1, b, sha256(string_agg(digest, '' ORDER BY block)) FROM (SELECT *, count(*) OVER () AS n, count(*) FILTER (WHERE starts_with(digest, '{M.OPENS}')) OVER (ORDER BY block) AS b FROM v) WHERE n > {M.ROOT} GROUP BY level, b)"
 
 
 def _tree(t: Tables, df: DataFrame) -> DataFrame:
     return M.blocks(df, ["doc_id"], ["doc_id", "text", "lang", "source", "n_chars"])
 
 
-@query(_blocks + " SELECT block, first, last, rows, digest FROM d UNION ALL SELECT -1, min(first), max(last), CAST(sum(rows) AS BIGINT), sha256(string_agg(digest, '' ORDER BY block)) FROM d")
+@query(f"{_blocks}, {_levels} SELECT block, first, last, rows, digest FROM d UNION ALL SELECT -1, (SELECT min(first) FROM d), (SELECT max(last) FROM d), (SELECT CAST(sum(rows) AS BIGINT) FROM d), sha256(coalesce(string_agg(digest, '' ORDER BY block), '')) FROM v WHERE level = (SELECT max(level) FROM v)")
 def ordered_digest(t: Tables) -> DataFrame:
     """Blocks of a table in its order with their digests, and as block -1 the digest of all."""
     found = settled(_tree(t, t.documents).select("block", F.col("first.doc_id").alias("first"), F.col("last.doc_id").alias("last"), "rows", "digest"))

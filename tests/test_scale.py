@@ -9,6 +9,8 @@ from quire.operators import ranges as G
 from quire.operators.chunks import Cutter, anchored_chunks, keyed
 from quire.operators.retrieval import vector_top
 from quire.operators.vectorindex import VectorIndex
+from quire.plans import ORACLES, QUERIES
+from tests.compare import connect, differences
 
 
 def vectors(n=1500, seed=1):
@@ -118,6 +120,14 @@ def test_ordered_digest(spark, monkeypatch):
     assert tree(df.limit(0)).count() == 0 and M.root(tree(df.limit(0))) == M.root(tree(df.limit(0)))
 
 
+def test_ordered_digest_of_several_levels_against_sql(spark, monkeypatch):
+    """Few blocks are joined at once as a table of many thousands would have them."""
+    sql = ORACLES["ordered_digest"]
+    monkeypatch.setattr(M, "ROOT", 1)
+    folder = "/root/testdata/sf0.01"
+    assert "n > 1024" in sql and differences(spark, connect(folder), folder, QUERIES["ordered_digest"], sql.replace("n > 1024", "n > 1")) == ""
+
+
 def test_range_join_against_brute_force(spark):
     rng = random.Random(4)
     ranges = [(rng.randrange(6), rng.choice("ab"), lo, lo + rng.choice([0, 1, 5, 300, 5000, -1])) for lo in (rng.randrange(-500, 6000) for _ in range(80))] + [(9, "a", None, 3), (9, "a", 1, None)]
