@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Folders that terms are spread over by their hash; a lookup reads those of its terms only.
 BUCKETS = 64
+#: Words after which a segment ends, with the text that is being read; distinct phrases that one pass looks up, about.
+SEGMENT, PHRASES = 1 << 19, 100_000
+COLUMNS = ["term", "segment", "places", "start", "kind", "id"]
 
 #: For each type of question, the kinds of context it reads, how many rows an entity gives, how many there are in all, how many entities count (0: all), and the confidence of the whole.
 ROUTES = (
@@ -36,9 +47,110 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def packed(places: np.ndarray) -> bytes:
+    """Ascending numbers as their differences, in as many bytes each as the largest needs."""
+    steps = np.diff(places, prepend=0)
+    most = steps.max()
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([width]) + steps.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).cumsum(dtype=np.int64)
+
+
+def segments(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Texts (kind, id, said: words between single spaces) of a task as segments of whole texts, of SEGMENT words and the last text's: a row for each term with its places in the segment, and one for each text (term null) with its first place. A place is left free after each text."""
+    part, nth = TaskContext.get().partitionId(), 0
+    known: dict[str, int] = {}
+    codes, at, starts, sizes, kinds, ids = array("i"), 0, [], [], [], []
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        nonlocal nth, at
+        number = (part << 32) + nth
+        all_codes, lengths = np.frombuffer(codes, np.int32), np.array(sizes)
+        places = np.arange(len(all_codes)) + np.repeat(np.arange(len(sizes)), lengths)
+        order = np.argsort(all_codes, kind="stable")
+        ends = np.cumsum(np.bincount(all_codes, minlength=len(known)))
+        places, names = places[order], list(known)
+        for low in range(0, len(names), 50_000):
+            some = range(low, min(low + 50_000, len(names)))
+            lists = [packed(places[ends[i - 1] if i else 0 : ends[i]]) for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(names[low : low + 50_000], pa.string()), pa.array([number] * len(some), pa.int64()), pa.array(lists, pa.binary()), pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.string()), pa.nulls(len(some), id_type)], names=COLUMNS)
+        n = len(starts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.array([number] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(starts, pa.int32()), pa.array(kinds, pa.string()), pa.array(ids, id_type)], names=COLUMNS)
+        nth, at = nth + 1, 0
+
+    for batch in batches:
+        for kind, own, said in zip(batch["kind"], batch["id"], batch["said"], strict=True):
+            words = said.as_py().split(" ")
+            codes.extend([known.setdefault(w, len(known)) for w in words])
+            starts.append(at)
+            sizes.append(len(words))
+            kinds.append(kind.as_py())
+            ids.append(own.as_py())
+            at += len(words) + 1
+            if len(codes) >= SEGMENT:
+                yield from closed()
+                known, codes, starts, sizes, kinds, ids = {}, array("i"), [], [], [], []
+    if starts:
+        yield from closed()
+
+
+@dataclass
+class Trie:
+    """Phrases as ways through numbered terms: node 0 is the root, an edge is node * len(terms) + term, edges ascend."""
+
+    phrases: list[str]
+    terms: dict[str, int]
+    edges: np.ndarray
+    targets: np.ndarray
+    ends: np.ndarray
+
+    @staticmethod
+    def of(phrases: Sequence[str]) -> Trie:
+        terms: dict[str, int] = {}
+        numbers = [[terms.setdefault(w, len(terms)) for w in p.split(" ")] for p in phrases]
+        made: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for i, way in enumerate(numbers):
+            node = 0
+            for x in way:
+                node = made.setdefault(node * len(terms) + x, len(made) + 1)
+            ends[node] = i
+        edges = np.array(sorted(made), np.int64)
+        last = np.full(len(made) + 1, -1, np.int64)
+        last[list(ends)] = list(ends.values())
+        return Trie(list(phrases), terms, edges, np.array([made[e] for e in edges.tolist()], np.int64), last)
+
+    def step(self, nodes: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """The nodes that terms lead to; -1 where there is none."""
+        wanted = nodes * len(self.terms) + terms
+        found = np.minimum(np.searchsorted(self.edges, wanted), len(self.edges) - 1)
+        return np.where(self.edges[found] == wanted, self.targets[found], -1)
+
+    def found(self, places: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, where it begins) for terms at ascending places: all beginnings go on together, word by word, so the time is that of the places whatever the number of phrases."""
+        at, nodes, length = np.arange(len(places)), self.step(np.zeros(len(places), np.int64), terms), 1
+        out = []
+        while True:
+            kept = nodes >= 0
+            at, nodes = at[kept], nodes[kept]
+            whole = self.ends[nodes] >= 0
+            out.append((self.ends[nodes[whole]], places[at[whole]]))
+            more = at + length < len(places)
+            at, nodes = at[more], nodes[more]
+            more = places[at + length] == places[at] + length
+            at, nodes = at[more], nodes[more]
+            if not len(at):
+                return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+            nodes = self.step(nodes, terms[at + length])
+            length += 1
+
+
 @dataclass
 class TextIndex:
-    """The index below `path`: a row for each word of each text (bucket, term, kind, id, version, at)."""
+    """The index below `path`: for each segment of texts a row a term (bucket, term, segment, places) and a row a text (bucket -1, segment, start, kind, id)."""
 
     spark: SparkSession
     path: str
@@ -47,30 +159,58 @@ class TextIndex:
     def build(texts: DataFrame, path: str) -> TextIndex:
         """Indexes all words of texts (kind, id, text); rows without kind, id or text are in no list, other columns aren't kept.
 
-        A folder is written in as many parts as the session's shuffle partitions leave for each, texts being told to parts by their hash, so a term that stands in every text is no single task's. Texts that share kind and id are told apart by a hash, so no phrase spans two of them.
+        A task numbers the words of its texts through and packs a term's places, so what is shuffled and stored is a few bytes a word. A folder is written in as many parts as the session's shuffle partitions leave for each, segments being told to parts by their hash, so a term that stands in every text is no single task's.
         """
-        rows = texts.filter("kind IS NOT NULL AND id IS NOT NULL").select("kind", "id", F.xxhash64("text").alias("version"), F.posexplode(terms(F.col("text"))).alias("at", "term"))
-        spark = texts.sparkSession
+        said = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
+        rows = texts.filter("kind IS NOT NULL AND id IS NOT NULL AND text IS NOT NULL").select("kind", "id", said.alias("said")).filter("said <> ''")
+        spark, kind = texts.sparkSession, texts.schema["id"].dataType
+        id_type = to_arrow_type(kind)
+        made = rows.mapInArrow(lambda batches: segments(batches, id_type), f"term string, segment long, places binary, start int, kind string, id {kind.simpleString()}")
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-        placed = rows.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod("version", F.lit(parts)))
-        placed.sortWithinPartitions("bucket", "term", "version", "at").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+        placed = made.withColumn("bucket", F.coalesce(F.when(F.col("term").isNotNull(), _bucket(F.col("term"))), F.lit(-1))).repartition("bucket", F.pmod(F.xxhash64("segment"), F.lit(parts)))
+        placed.sortWithinPartitions("bucket", "term", "segment").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
         return TextIndex(spark, path)
 
     def rows(self) -> DataFrame:
-        kind = "bucket int, term string, kind string, version long, at int"
-        stored = self.spark.read.parquet(self.path)
-        return stored.select("id", *[F.col(x.split()[0]).cast(x.split()[1]) for x in kind.split(", ")])
+        return self.spark.read.parquet(self.path).withColumn("bucket", F.col("bucket").cast("int"))
 
     def holding(self, phrases: DataFrame) -> DataFrame:
         """(phrase, kind, id), once each: the texts that hold a phrase's words next to each other in their order. Phrases that are null or have no word are held by nothing.
 
-        Each word's places, less its place in the phrase, are where the phrase would begin; it stands where all its words agree. Counting is by beginning, so a phrase in a third of all texts is no single group.
+        PHRASES at a time are looked up in one pass over the lists of their terms; a segment's lists meet in one place, where its terms, ascending by place, run through a trie of the phrases.
         """
-        asked = phrases.select("phrase").distinct().withColumn("_words", terms(F.col("phrase")))
-        each = asked.select("phrase", F.size("_words").alias("size"), F.posexplode("_words").alias("nth", "term")).withColumn("bucket", _bucket(F.col("term")))
-        met = self.rows().join(each, ["bucket", "term"]).withColumn("start", F.col("at") - F.col("nth"))
-        whole = met.groupBy("phrase", "size", "kind", "id", "version", "start").agg(F.size(F.collect_set("nth")).alias("agree")).filter("agree = size")
-        return whole.select("phrase", "kind", "id").distinct()
+        asked = phrases.select("phrase").distinct().withColumn("_key", F.array_join(terms(F.col("phrase")), " ")).filter("_key <> ''")
+        keys = asked.select("_key").distinct()
+        blocks = max(1, -(-keys.count() // PHRASES))
+        found = [self._pass(keys.filter(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == b)) for b in range(blocks)]
+        return reduce(DataFrame.unionByName, found).join(asked, "_key").select("phrase", "kind", "id").distinct()
+
+    def _pass(self, keys: DataFrame) -> DataFrame:
+        trie = Trie.of(sorted(r["_key"] for r in keys.collect()))
+        stored = self.rows()
+        schema = f"_key string, kind string, id {stored.schema['id'].dataType.simpleString()}"
+        if not trie.phrases:
+            return self.spark.createDataFrame([], schema)
+        shared = self.spark.sparkContext.broadcast(trie)
+
+        def met(rows: pa.Table) -> pa.Table:
+            known, texts = shared.value, rows.filter(pc.is_null(rows["term"])).sort_by("start")
+            lists = rows.filter(pc.is_valid(rows["term"]))
+            names = [known.terms[x] for x in lists["term"].to_pylist()]
+            places = [unpacked(x) for x in lists["places"].to_pylist()]
+            at = np.concatenate([np.zeros(0, np.int64), *places])
+            order = np.argsort(at)
+            phrase, start = known.found(at[order], np.repeat(np.array(names, np.int64), [len(x) for x in places])[order]) if len(at) else (at, at)
+            text = np.searchsorted(texts["start"].to_numpy(), start, side="right") - 1
+            pairs = np.unique(phrase * max(1, len(texts)) + text)
+            phrase, text = pairs // max(1, len(texts)), pairs % max(1, len(texts))
+            held = texts.take(pa.array(text))
+            return pa.table({"_key": pa.array(np.array(known.phrases, object)[phrase], pa.string()), "kind": held["kind"], "id": held["id"]})
+
+        wanted = keys.select(F.explode(F.split("_key", " ")).alias("term")).distinct().withColumn("bucket", _bucket(F.col("term")))
+        lists = stored.join(F.broadcast(wanted), ["bucket", "term"], "left_semi")
+        both = lists.unionByName(stored.filter("bucket = -1")).select("segment", "term", "places", "start", "kind", "id")
+        return both.groupBy("segment").applyInArrow(met, schema)
 
 
 def _first(df: DataFrame, group: list[str], order: list[Column], most: Column | int) -> DataFrame:

@@ -51,3 +51,12 @@ def test_types_limits_and_thresholds(spark, tmp_path):
     assert got[2, "passage"] == got[5, "passage"] == [0, 4, 5, 6, 2, 1]
     assert {q for q, _ in got} == set(range(6)) and (5, "place") not in got and (4, "note") not in got
     assert {r.confidence for r in out.filter(F.col("question") == 3).collect()} == {0.82}
+
+
+def test_a_term_of_a_segment_is_one_row(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("note", i, "sea the " * 500 + f"x{i}") for i in range(40)], "kind string, id long, text string").coalesce(1)
+    index = P.TextIndex.build(df, f"{tmp_path}/i")
+    assert index.rows().filter("bucket >= 0").count() == 42 and index.rows().filter("bucket = -1").count() == 40
+    monkeypatch.setattr(P, "PHRASES", 2)  # several passes
+    got = {(r.phrase, r.id) for r in index.holding(spark.createDataFrame([("Sea  the",), ("the x7",), ("x7 sea",), ("the sea the",), ("x1",)], "phrase string")).collect()}
+    assert got == {(p, i) for p in ("Sea  the", "the sea the") for i in range(40)} | {("the x7", 7), ("x1", 1)}
