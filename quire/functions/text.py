@@ -6,7 +6,7 @@ import unicodedata
 import uuid
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -141,25 +141,44 @@ def pattern_hits(text: Column, patterns: list[str]) -> Column:
 
 
 def _each(function):
-    @F.pandas_udf(StringType())
-    def mapped(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else function(x))
+    """A function of one text over columns. A few texts at a time are Python's own; the rest of a batch stays in Arrow."""
+
+    @F.arrow_udf(StringType())
+    def mapped(texts: pa.Array) -> pa.Array:
+        some = (texts.slice(i, 64).to_pylist() for i in range(0, len(texts), 64))
+        return pa.concat_arrays([pa.array([None if x is None else function(x) for x in part], pa.string()) for part in some]) if len(texts) else pa.array([], pa.string())
 
     return mapped
 
 
+def _where(text: Column, needed: str, function, otherwise: Column) -> Column:
+    """The function of those texts alone that hold a character `needed`; Python isn't handed the others."""
+    needs = text.rlike(needed)
+    return F.when(needs, _each(function)(F.when(needs, text))).otherwise(otherwise)
+
+
+def _lower(text: Column) -> Column:
+    """Case folded, for characters of Latin-1 but for those below."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
+#: Characters beyond those whose compatible form, case folded, is their lower case, but for ß: ASCII and the letters of Latin-1.
+_UNLIKE = r"[^\x00-\x7f\u00c0-\u00ff]"
+
+
 def nfc(text: Column) -> Column:
-    return _each(lambda x: unicodedata.normalize("NFC", x))(text)
+    """The normal form C; texts without characters from U+0300 on are in it."""
+    return _where(text, r"[^\x00-\u02ff]", lambda x: unicodedata.normalize("NFC", x), text)
 
 
 def folded(text: Column) -> Column:
     """NFKC, case folded, other characters than letters and digits as one space."""
     fold = lambda x: unicodedata.normalize("NFKC", x).casefold()
-    return F.trim(F.regexp_replace(_each(fold)(text), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(_where(text, _UNLIKE, fold, _lower(text)), r"[^\p{L}\p{N}]+", " "))
 
 
 def casefolded(text: Column) -> Column:
-    return _each(str.casefold)(text)
+    return _where(text, _UNLIKE, str.casefold, _lower(text))
 
 
 def secret_parameter(name: Column) -> Column:

@@ -1,6 +1,8 @@
 import hashlib
 import json
 import random
+import re
+import unicodedata
 import uuid
 
 import pytest
@@ -44,6 +46,24 @@ def test_scalars(spark):
     assert [one(spark, T.safe_url(F.col("t")), t=x) for x in ("https://a.b/c", "http://a.b", "https://u:p@a.b/", "https://a.b/?q")] == [True, False, False, False]
 
 
+def test_python_normalises_only_what_it_must(spark):
+    """Python gets no other texts; those left to Spark are as Python would give them, over all of the first characters."""
+    texts = [f"A{chr(i)}b {chr(i)}" for i in range(1, 0x350)] + ["é", "é", "straße ÀÞ", None, "", "ﬁ x²"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    assert df.select(T._where(F.col("t"), T._UNLIKE, counted, F.col("t"))).collect() and seen.value == sum(bool(re.search(T._UNLIKE, t or "")) for t in texts) < len(texts)
+    got = df.select("t", T.nfc(F.col("t")).alias("n"), T.casefolded(F.col("t")).alias("c"), T.folded(F.col("t")).alias("f")).collect()
+    assert all((r.n, r.c) == (unicodedata.normalize("NFC", r.t), r.t.casefold()) for r in got if r.t is not None)
+    kept = [unicodedata.normalize("NFKC", r.t).casefold() for r in got if r.t is not None and not re.search(T._UNLIKE, r.t)]
+    assert [r.f for r in got if r.t is not None and not re.search(T._UNLIKE, r.t)] == [re.sub(r"[\W_]+", " ", k).strip() for k in kept]
+    assert [(r.n, r.c, r.f) for r in got if r.t is None] == [(None, None, None)]
+
+
 def test_checksum_is_json(spark):
     values = ['a"b\\c', "x\ny\t\x00\x0b\x1f\x7f", "é"]
     want = hashlib.sha256(json.dumps([*values, None, 3], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
