@@ -8,6 +8,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def supported(statements: DataFrame, sources: DataFrame, statement: str, text: s
     Every text is read once, in time linear in its length, whatever the number of statements. As long as the distinct statements have at most `automaton` characters, one Aho-Corasick automaton of them all runs over the texts, and no text is shuffled. More statements are looked for by the hash of one window each; what a hash finds is verified.
     """
     asked = statements.select(key, folded(F.col(statement)).alias("_s")).filter("_s <> ''")
-    said = sources.select(source, folded(F.col(text)).alias("_t")).filter("_t <> ''")
+    said = sources.select(source, folded(F.col(text)).alias("_t"))  # empty ones are left in: a filter would fold every text twice
     distinct = asked.select("_s").distinct()
     if (distinct.agg(F.sum(F.length("_s"))).first()[0] or 0) > automaton:
         return by_hashes(asked, said, key, source)
@@ -37,22 +38,24 @@ def supported(statements: DataFrame, sources: DataFrame, statement: str, text: s
 @lru_cache(2)
 def automaton_of(statements: tuple[str, ...]) -> ahocorasick.Automaton:
     made = ahocorasick.Automaton()
-    for s in statements:
-        made.add_word(s, s)
+    for n, s in enumerate(statements):
+        made.add_word(s, n)
     made.make_automaton()
     return made
 
 
 def by_automaton(asked: DataFrame, said: DataFrame, distinct: list[str], source: str) -> DataFrame:
     """(source, _s) of the distinct statements that each text holds."""
-    shared = said.sparkSession.sparkContext.broadcast(tuple(sorted(distinct)))
+    ordered = sorted(distinct)
+    shared = said.sparkSession.sparkContext.broadcast(tuple(ordered))
 
-    @F.pandas_udf("array<string>")
-    def held(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def held(texts: pa.Array) -> pa.Array:
         find = automaton_of(shared.value).iter if shared.value else lambda _: ()
-        return pd.Series([sorted({s for _, s in find(t)}) for t in texts], dtype=object)
+        return pa.array([sorted({n for _, n in find(t.as_py() or "")}) for t in texts], pa.list_(pa.int32()))  # one text at a time is Python's own, hits are numbers
 
-    return said.select(source, F.explode(held("_t")).alias("_s"))
+    numbers = asked.sparkSession.createDataFrame(list(enumerate(ordered)), "_n int, _s string")
+    return said.select(source, F.explode(held("_t")).alias("_n")).join(F.broadcast(numbers), "_n").select(source, "_s")
 
 
 @lru_cache(4)
@@ -100,7 +103,7 @@ def by_hashes(asked: DataFrame, said: DataFrame, key: str, source: str) -> DataF
     @F.pandas_udf("w array<int>, h array<long>")
     def hits_of(texts: pd.Series) -> pd.DataFrame:
         own, rows = shared.value, []
-        for t in texts:
+        for t in texts.fillna(""):
             found = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
             for w, h in window_hashes(t, sorted(own)):
                 b = h & np.int64((1 << FILTER_BITS) - 1)
