@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ QUERIES = 5_000
 TUNED_ON = 200
 #: Parts in which a list is written, so that one list of very many vectors is no single task's.
 PARTS = 4
+#: Rows that a task scores at a time.
+ROWS = 2048
 
 
 def normal(vectors: pd.Series) -> np.ndarray:
@@ -42,6 +47,16 @@ def fit(sample: np.ndarray, lists: int) -> np.ndarray:
     return centres
 
 
+def _foremost(who: np.ndarray, row: np.ndarray, cos: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each query, ties by row."""
+    order = np.lexsort((row, -cos, who))
+    who = who[order]
+    start = np.r_[0, np.flatnonzero(np.diff(who)) + 1]
+    nth = np.arange(len(who)) - np.repeat(start, np.diff(np.r_[start, len(who)]))
+    order = order[nth < k]
+    return who[nth < k], row[order], cos[order], place[order]
+
+
 @dataclass
 class VectorIndex:
     """The index below `path`: lists of (key, vector), centroids, and how many lists a query probes unless told."""
@@ -109,35 +124,49 @@ class VectorIndex:
         return out.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
     def _pass(self, asked: pd.DataFrame, k: int, probes: int, like: DataFrame) -> DataFrame:
-        """Scored rows of one block of queries; each batch of a list hands on its k best for each query that probes the list."""
+        """Scored rows of one block of queries; each task hands on its k best for each query."""
         kind = like.schema["query"].dataType.simpleString()
         if not len(asked) or not len(self.centroids):
             return self.rows().limit(0).select(F.lit(None).cast(kind).alias("query"), self.key, F.lit(0.0).alias("similarity"), F.lit(0).alias("place")) if len(self.centroids) else self.spark.createDataFrame([], f"query {kind}, {self.key} {kind}, similarity double, place int")
         q = normal(asked["v"])
-        order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
-        visitors: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for at in np.unique(order):
-            who, place = np.nonzero(order == at)
-            visitors[int(at)] = who, place
-        shared = self.spark.sparkContext.broadcast((q, visitors))
-
-        @F.pandas_udf("array<struct<nth: int, similarity: double, place: int>>")
-        def score(vs: pd.Series, lists: pd.Series) -> pd.Series:
+        order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :probes]
+        places = np.full((len(self.centroids), len(q)), -1, np.int16)  # by list: the place in each query's order, -1 if it isn't probed
+        places[order, np.arange(len(q))[:, None]] = np.arange(order.shape[1])
+        shared = self.spark.sparkContext.broadcast((q, places))
+        key, n = self.key, len(q)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The k best of each query among a task's rows, ties by key: what is held grows with the queries of a pass, not with rows or lists."""
             mine, probed = shared.value
-            data, at = normal(vs), lists.to_numpy()
-            out: list[list[tuple]] = [[] for _ in range(len(vs))]
-            for one in np.unique(at):
-                rows = np.flatnonzero(at == one)
-                who, place = probed[int(one)]
-                for s in range(0, len(who), 512):
-                    cos = np.round(mine[who[s : s + 512]] @ data[rows].T, 6)
-                    # ties at the k-th place stay: the key decides later
-                    least = np.partition(cos, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(cos), -2.0)
-                    for w, r in zip(*np.nonzero(cos >= least[:, None]), strict=True):
-                        out[rows[r]].append((int(who[s + w]), float(cos[w, r]), int(place[s + w])))
-            return pd.Series(out, dtype=object)
-
-        probed = self.rows().filter(F.col("list").isin([int(x) for x in visitors]))
-        hits = probed.select(self.key, F.explode(score(self.vector, "list")).alias("h")).select(self.key, "h.*")
+            held: pa.Table | None = None
+            for batch in batches:
+                for low in range(0, len(batch), ROWS):
+                    some = batch.slice(low, ROWS)
+                    some = some.take(pc.sort_indices(some[0]))
+                    data, at = normal(some[1].to_pandas()), some[2].to_numpy(zero_copy_only=False)
+                    fresh: list[tuple[np.ndarray, ...]] = []
+                    for one in np.unique(at):
+                        rows = np.flatnonzero(at == one)
+                        who = np.flatnonzero(probed[one] >= 0)
+                        for s in range(0, len(who), 512):
+                            cos = np.round(mine[who[s : s + 512]] @ data[rows].T, 6)
+                            first = np.argsort(-cos, axis=1, kind="stable")[:, :k]  # rows ascend by key
+                            w = np.repeat(who[s : s + 512], first.shape[1])
+                            fresh.append((w, rows[first.ravel()], np.take_along_axis(cos, first, 1).ravel(), probed[one][w]))
+                            if sum(len(x[0]) for x in fresh) > 20 * k * n:
+                                fresh = [_foremost(*map(np.concatenate, zip(*fresh, strict=True)), k)]
+                    if fresh:
+                        w, r, cos, place = _foremost(*map(np.concatenate, zip(*fresh, strict=True)), k)
+                        new = pa.table({"nth": pa.array(w, pa.int32()), key: some[0].take(pa.array(r)), "similarity": pa.array(cos, pa.float64()), "place": pa.array(place, pa.int32())})
+                        every = new if held is None else pa.concat_tables([held, new])
+                        every = every.take(pc.sort_indices(every, sort_keys=[(key, "ascending")]))
+                        w, r, _, _ = _foremost(every["nth"].to_numpy(), np.arange(len(every)), every["similarity"].to_numpy(), every["place"].to_numpy(), k)
+                        held = every.take(pa.array(r)).combine_chunks()
+            if held is not None:
+                yield from held.to_batches(10_000)
+
+        probed = self.rows().filter(F.col("list").isin([int(x) for x in np.unique(order)]))
+        name = self.rows().schema[self.key].dataType.simpleString()
+        hits = probed.select(self.key, self.vector, "list").mapInArrow(best, f"nth int, `{self.key}` {name}, similarity double, place int")
         names = self.spark.createDataFrame([(i, x) for i, x in enumerate(asked["query"].tolist())], f"nth int, query {kind}")
         return hits.join(F.broadcast(names), "nth").select("query", self.key, "similarity", "place")

@@ -120,6 +120,17 @@ def test_ordered_digest(spark, monkeypatch):
     assert tree(df.limit(0)).count() == 0 and M.root(tree(df.limit(0))) == M.root(tree(df.limit(0)))
 
 
+def test_tasks_hand_on_the_best_of_a_query_only(spark, tmp_path):
+    """Copies in great number tie at every place; a task gives k rows a query, not all that tie."""
+    df = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(3000)], "id long, v array<double>").coalesce(1)
+    index = VectorIndex.build(df, f"{tmp_path}/i", "id", "v", lists=2)
+    asked = df.filter("id < 4")
+    found = index._pass(asked.select(F.col("id").alias("query"), "v").toPandas(), 5, 2, asked.select(F.col("id").alias("query")))
+    assert found.count() <= 4 * 5 * index.rows().rdd.getNumPartitions()
+    got = index.search(asked, 5, probes=2).orderBy("query", "position").collect()
+    assert [r["id"] for r in got] == [0, 2, 4, 6, 8, 1, 3, 5, 7, 9] * 2
+
+
 def test_ordered_digest_of_several_levels_against_sql(spark, monkeypatch):
     """Few blocks are joined at once as a table of many thousands would have them."""
     sql = ORACLES["ordered_digest"]
