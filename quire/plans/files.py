@@ -178,14 +178,25 @@ def roman_numerals(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.roman(F.lower(_roman(F.col("p_size")))).alias("number"))
 
 
+_HEX, _LETTERS = "0123456789ABCDEF", "abcdefghijklmnop"
+
+
+def _lettered(text: Column) -> Column:
+    """A name of letters alone, another one for each text; an empty text and none have theirs too."""
+    return F.coalesce(F.concat(F.lit("src"), F.translate(F.hex(text), _HEX, _LETTERS)), F.lit("none"))
+
+
+def _unlettered(name: Column) -> Column:
+    return F.when(name.startswith("src"), F.unhex(F.translate(F.substr(name, F.lit(4)), _LETTERS, _HEX)).cast("string"))
+
+
 @query("SELECT doc_id, source AS book, CAST(doc_id // 100 + 1 AS INT) AS chapter, CAST(doc_id % 100 AS INT) AS first, CAST(doc_id % 100 + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END AS INT) AS last FROM documents WHERE n_chars < 100000")
 def reference_parts(t: Tables) -> DataFrame:
-    """References written and taken apart again, with and without a range."""
+    """References written and taken apart again, with and without a range, to books named by letters for whatever a source is called."""
     first = F.col("doc_id") % 100
-    names = F.translate("source", "0123456789", "abcdefghij")
-    said = F.concat(names, F.lit(" "), F.floor(F.col("doc_id") / 100) + 1, F.lit(":"), first, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("-"), first + 3)).otherwise(""))
-    read = t.documents.filter("n_chars < 100000").select("doc_id", T.parsed_reference(said).alias("r"), "source")
-    return read.select("doc_id", F.concat(F.lit("src"), F.translate(F.substring("r.book", 4, 9), "abcdefghij", "0123456789")).alias("book"), "r.chapter", "r.first", "r.last")
+    said = F.concat(_lettered(F.col("source")), F.lit(" "), F.floor(F.col("doc_id") / 100) + 1, F.lit(":"), first, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("-"), first + 3)).otherwise(""))
+    read = t.documents.filter("n_chars < 100000").select("doc_id", T.parsed_reference(said).alias("r"))
+    return read.select("doc_id", _unlettered(F.col("r.book")).alias("book"), "r.chapter", "r.first", "r.last")
 
 
 @query("SELECT event_id, 'user-' || user_id || ',' || event_type AS mentions, 'event:' || event_id AS cited, length(event_type) + 5 AS escaped, event_id % 4 = 1 AS control FROM events WHERE user_id >= 0")
@@ -226,9 +237,8 @@ def canonical_keys(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, source AS work, CAST(doc_id // 100 + 1 AS INT) AS chapter, CAST(doc_id % 100 AS INT) AS first FROM documents")
 def abbreviated_references(t: Tables) -> DataFrame:
-    """References by short names, with a full stop or a colon before the verse, resolved by a dictionary."""
-    letters = F.translate("source", "0123456789", "abcdefghij")
-    short = F.concat(F.upper(F.substring(letters, 1, 1)), F.substring(letters, 4, 9))
+    """References by names of letters in another case, with a full stop or a colon before the verse, resolved by a dictionary."""
+    short = F.initcap(_lettered(F.col("source")))
     names = t.documents.select(short.alias("alias"), F.col("source").alias("work")).distinct()
     said = F.concat(short, F.when(F.col("doc_id") % 2 == 0, ". ").otherwise(" "), F.floor(F.col("doc_id") / 100) + 1, F.when(F.col("doc_id") % 3 == 0, ".").otherwise(":"), F.col("doc_id") % 100)
     read = t.documents.select("doc_id", T.parsed_reference(said).alias("r")).select("doc_id", "r.*")
