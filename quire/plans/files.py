@@ -190,12 +190,12 @@ def _unlettered(name: Column) -> Column:
     return F.when(name.startswith("src"), F.unhex(F.translate(F.substr(name, F.lit(4)), _LETTERS, _HEX)).cast("string"))
 
 
-@query("SELECT doc_id, source AS book, CAST(doc_id // 100 + 1 AS INT) AS chapter, CAST(doc_id % 100 AS INT) AS first, CAST(doc_id % 100 + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END AS INT) AS last FROM documents WHERE n_chars < 100000")
+@query("SELECT doc_id, source AS book, CAST(doc_id // 100 + 1 AS INT) AS chapter, CAST(doc_id % 100 AS INT) AS first, CAST(doc_id % 100 + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END AS INT) AS last FROM documents")
 def reference_parts(t: Tables) -> DataFrame:
     """References written and taken apart again, with and without a range, to books named by letters for whatever a source is called."""
     first = F.col("doc_id") % 100
     said = F.concat(_lettered(F.col("source")), F.lit(" "), F.floor(F.col("doc_id") / 100) + 1, F.lit(":"), first, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("-"), first + 3)).otherwise(""))
-    read = t.documents.filter("n_chars < 100000").select("doc_id", T.parsed_reference(said).alias("r"))
+    read = t.documents.select("doc_id", T.parsed_reference(said).alias("r"))
     return read.select("doc_id", _unlettered(F.col("r.book")).alias("book"), "r.chapter", "r.first", "r.last")
 
 

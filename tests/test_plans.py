@@ -28,3 +28,12 @@ def test_references_to_sources_of_any_name(spark, tmp_path, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert differences(spark, con, tmp_path, QUERIES[name], ORACLES[name]) == ""
+
+
+def test_references_of_texts_of_any_length(spark, tmp_path):
+    rows = [(i, "src3", n) for i, n in enumerate([0, 99_999, 100_000, 100_001, 5_000_000_000, None])]
+    spark.createDataFrame(rows, "doc_id long, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert QUERIES["reference_parts"](spark, str(tmp_path)).count() == len(rows)
+    assert differences(spark, con, tmp_path, QUERIES["reference_parts"], ORACLES["reference_parts"]) == ""
